@@ -57,17 +57,18 @@ def _friendships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _build_keyed(spark: SparkSession, sf_dir: str) -> dict:
-    categories, products, events = assign_keys(_events(spark, sf_dir))
-    return {"categories": categories, "products": products, "events": materialise(events, "events")}
+    categories, products, events = assign_keys(materialise(_events(spark, sf_dir), "fx_events"))
+    tables = {"categories": categories, "products": products, "events": events}
+    return {name: materialise(df, name) for name, df in tables.items()}
 
 
 _keyed = _once("keyed", _build_keyed)
 
 
-def _build_resolved(spark: SparkSession, sf_dir: str) -> dict:
+def resolved_tables(spark: SparkSession, sf_dir: str) -> dict:
     keyed = _keyed(spark, sf_dir)
-    clients, friends = view(spark, sf_dir, "fx_clients"), _friends(spark, sf_dir)
-    return models.resolve(
+    clients, friends = view(spark, sf_dir, "fx_clients"), materialise(_friends(spark, sf_dir), "friends")
+    resolved = models.resolve(
         {
             **keyed,
             "users": build_users(keyed["events"], clients, friends),
@@ -77,9 +78,10 @@ def _build_resolved(spark: SparkSession, sf_dir: str) -> dict:
             "friends": friends,
         }
     )
+    return {name: materialise(df, name) for name, df in resolved.items()}
 
 
-_resolved = _once("resolved", _build_resolved)
+_resolved = _once("resolved", resolved_tables)
 
 
 def _double_price(df: DataFrame, column: str = "price") -> DataFrame:

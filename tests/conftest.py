@@ -1,0 +1,39 @@
+import pytest
+
+from tradewind.session import local_session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session(8, "tradewind-tests")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def rows():
+    """Rows of a frame as sorted tuples, in the column order given."""
+
+    def collect(df, *columns):
+        return sorted((tuple(r) for r in df.select(*(columns or df.columns)).collect()), key=repr)
+
+    return collect
+
+
+@pytest.fixture
+def settings(spark):
+    """Change session settings for one test."""
+    changed = {}
+
+    def change(**values):
+        for key, value in values.items():
+            key = key.replace("__", ".")
+            changed.setdefault(key, spark.conf.get(key, None))
+            spark.conf.set(key, value)
+
+    yield change
+    for key, value in changed.items():
+        if value is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, value)

@@ -1,0 +1,129 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tradewind.operators import integrity
+from tradewind.operators.embed import embed
+from tradewind.operators.integrity import keep_known
+from tradewind.operators.keys import dense_keys, null_safe_join, rank_within
+from tradewind.operators.ordering import keep_one, nulls_last, top_per_group
+from tradewind.operators.quality import audit, check, diff, foreign_key, not_null, null_counts, row_counts, unique, violations
+from tradewind.operators.storage import materialise, shared_folder
+
+
+def test_tables_go_to_the_folder_the_session_names(spark):
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert shared_folder(spark) == folder
+    written = materialise(spark.range(5).toDF("x"), "numbers")
+    assert written.count() == 5 and all(folder in f for f in written.inputFiles())
+
+
+def test_materialised_empty_frame_keeps_its_columns(spark):
+    assert materialise(spark.range(0).withColumn("y", F.lit("a")), "none").columns == ["id", "y"]
+
+
+def test_keep_one_follows_the_stated_order(spark, rows):
+    df = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (1, None, 0), (2, None, 1)], "k int, v string, w int")
+    assert rows(keep_one(df, ["k"])) == [(1, "a", 9), (2, None, 1)]
+    assert rows(keep_one(df, ["k"], [F.desc("w")])) == [(1, "a", 9), (2, None, 1)]
+
+
+def test_top_per_group_with_a_hot_group(spark, rows):
+    data = [("hot", i % 50, i) for i in range(3000)] + [(f"g{i}", i % 7, i) for i in range(2000)]
+    df = spark.createDataFrame(data, "g string, score int, id int").repartition(8)
+    got = rows(top_per_group(df, ["g"], [F.desc("score"), F.asc("id")], 3))
+    want = []
+    for g in {d[0] for d in data}:
+        want += sorted((d for d in data if d[0] == g), key=lambda d: (-d[1], d[2]))[:3]
+    assert got == sorted(want, key=repr)
+
+
+def test_dense_keys_equal_one_global_numbering(spark):
+    rng = random.Random(1)
+    pairs = list({(rng.randrange(40), rng.choice([None, "a", "B", "c", "é", "a.b"])) for _ in range(400)})
+    df = spark.createDataFrame(pairs, "a int, b string").repartition(7)
+    keyed = dense_keys(df, nulls_last("a", "b"), "sk")
+    order = sorted(pairs, key=lambda p: (p[0], p[1] is None, (p[1] or "").encode()))
+    assert keyed.columns == ["sk", "a", "b"]
+    assert [tuple(r) for r in keyed.orderBy("sk").collect()] == [(i + 1, *p) for i, p in enumerate(order)]
+
+
+def test_dense_keys_over_many_partitions_are_gapless(spark, settings):
+    settings(spark__sql__adaptive__coalescePartitions__enabled="false")
+    keyed = dense_keys(spark.range(10_000).select((F.col("id") * 37 % 10_000).alias("x")), nulls_last("x"), "sk")
+    assert keyed.filter(F.col("sk") != F.col("x") + 1).count() == 0
+    assert keyed.agg(F.countDistinct("sk"), F.max("sk")).first() == (10_000, 10_000)
+
+
+def test_dense_keys_of_nothing(spark):
+    assert dense_keys(spark.range(0), nulls_last("id"), "sk").count() == 0
+
+
+def test_rank_within_a_hot_group_and_a_null_group(spark, rows):
+    data = [("hot", i) for i in range(1000)] + [(None, i) for i in range(10)] + [("x", 5)]
+    df = spark.createDataFrame(data, "g string, v int").repartition(5)
+    ranked = rank_within(df, ["g"], [F.desc("v")], "r", nullable=["g"])
+    want = [("hot", i, 1000 - i) for i in range(1000)] + [(None, i, 10 - i) for i in range(10)] + [("x", 5, 1)]
+    assert rows(ranked) == sorted(want, key=repr)
+
+
+def test_null_safe_join_matches_null_with_null(spark, rows):
+    left = spark.createDataFrame([(1, None, "l1"), (1, "a", "l2"), (2, None, "l3")], "a int, b string, l string")
+    right = spark.createDataFrame([(1, None, "r1"), (1, "b", "r2")], "a int, b string, r string")
+    assert rows(null_safe_join(left, right, ["a", "b"], "inner", ["b"])) == [(1, None, "l1", "r1")]
+    joined = null_safe_join(left, right, ["a", "b"], "left", ["b"])
+    assert rows(joined) == sorted([(1, None, "l1", "r1"), (1, "a", "l2", None), (2, None, "l3", None)], key=repr)
+
+
+@pytest.mark.parametrize("bound", [integrity.BROADCAST_ROWS, 0])
+def test_keep_known_with_few_and_with_many_orphans(spark, rows, monkeypatch, bound):
+    monkeypatch.setattr(integrity, "BROADCAST_ROWS", bound)
+    child = spark.createDataFrame([(1, 1, "x"), (2, 9, "y"), (3, None, "z"), (4, 9, "w")], "id int, k int, v string")
+    parent = spark.createDataFrame([(1,), (1,), (2,)], "key int")
+    assert rows(keep_known(child, ["k"], parent, ["key"]), "id") == [(1,)]
+    assert rows(keep_known(child, ["k"], parent, ["key"], allow_null=True), "id") == [(1,), (3,)]
+
+
+def test_keep_known_with_a_pair_key_and_no_orphans(spark, rows):
+    child = spark.createDataFrame([(1, "a", 0), (1, "b", 1)], "k int, t string, id int")
+    parent = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "k2 int, t2 string")
+    assert rows(keep_known(child, ["k", "t"], parent, ["k2", "t2"]), "id") == [(0,), (1,)]
+
+
+def test_embed_spreads_a_hot_owner_over_parts_and_loses_nothing(spark):
+    data = [(0, i) for i in range(2500)] + [(u, i) for u in range(1, 40) for i in range(u)]
+    items = spark.createDataFrame(data, "user_id int, friend_id int").repartition(6)
+    docs = embed(items, "user_id", F.col("friend_id"), "friends", max_items=100).collect()
+    parts = {}
+    for row in docs:
+        assert row.friends == sorted(row.friends)
+        parts.setdefault(row.user_id, []).append(row)
+    assert {r.part for r in parts[0]} == set(range(25)) and max(len(r.friends) for r in parts[0]) < 200
+    assert all([r.part for r in parts[u]] == [0] for u in range(1, 40))
+    assert sorted((r.user_id, f) for r in docs for f in r.friends) == sorted(data)
+
+
+def test_reports(spark, rows):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z"), (2, None)], "k int, v string")
+    b = spark.createDataFrame([(1,)], "k int")
+    assert rows(row_counts({"a": a, "b": b})) == [("a", 4), ("b", 1)]
+    assert rows(null_counts(a, ["k", "v"])) == [(1, 1)]
+    assert rows(audit("t", a, b)) == [("t", 4, 1, 3)]
+    report = violations(
+        [
+            unique("pk", a, ["k"]),
+            not_null("nn", a, "k"),
+            foreign_key("fk", a, ["k"], b),
+            check("ck", a, F.col("v") < "y"),
+            unique("fine", b, ["k"]),
+        ]
+    )
+    assert rows(report) == sorted([("pk", 1), ("nn", 1), ("fk", 1), ("ck", 2), ("fine", 0)])
+
+
+def test_diff_counts_copies_and_treats_nulls_as_equal(spark, rows):
+    a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "k int, v string")
+    b = spark.createDataFrame([(None, 1), ("y", 3)], "v string, k int")
+    assert rows(diff(a, b)) == sorted([(1, None, 1), (2, "x", 1), (3, "y", -1)], key=repr)
+    assert diff(a, a).count() == 0

@@ -2,17 +2,15 @@
 
 Lenient parsers turn bad text into NULL. Strict ones fail the job on it, whether or not the session
 runs in ANSI mode. Times are UTC wall-clock times (TIMESTAMP_NTZ), so that results do not depend on
-the session time zone.
+the session time zone. Spark's casts ignore whitespace around a value.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
-
 
 def lenient_timestamp(c: Column) -> Column:
-    return strip(c).try_cast("timestamp_ntz")
+    return c.try_cast("timestamp_ntz")
 
 
 def lenient_date(c: Column) -> Column:
@@ -20,27 +18,25 @@ def lenient_date(c: Column) -> Column:
 
 
 def lenient_double(c: Column) -> Column:
-    number = strip(c).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nullif(c.try_cast("double"), F.lit(float("nan")))
 
 
 def lenient_long(c: Column) -> Column:
     """Whole numbers, also when written with a fraction of zero ("146.0"); 64-bit ids stay exact."""
-    number = strip(c).try_cast("decimal(38,6)")
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    number = c.try_cast("decimal(38,6)")
+    return F.coalesce(c.try_cast("bigint"), F.when(number == F.floor(number), number.try_cast("bigint")))
 
 
 def strict_long(c: Column, name: str) -> Column:
     """Whole number that must be there: NULL and bad text are errors."""
-    number = lenient_long(c)
-    return F.when(number.isNull(), _fail(name, c)).otherwise(number).cast("bigint")
+    return F.coalesce(lenient_long(c), _fail(name, c, "bigint"))
 
 
 def strict_utc_timestamp(c: Column, name: str) -> Column:
     """Time written as "2019-10-01 00:00:00 UTC"; NULL stays NULL and bad text is an error."""
-    time = lenient_timestamp(F.replace(c.cast("string"), F.lit(" UTC"), F.lit("")))
-    return F.when(c.isNotNull() & time.isNull(), _fail(name, c)).otherwise(time).cast("timestamp_ntz")
+    time = lenient_timestamp(F.replace(c, F.lit(" UTC"), F.lit("")))
+    return F.when(c.isNotNull(), F.coalesce(time, _fail(name, c, "timestamp_ntz")))
 
 
-def _fail(name: str, c: Column) -> Column:
-    return F.raise_error(F.concat(F.lit(f"bad value in {name}: "), F.coalesce(c.cast("string"), F.lit("NULL"))))
+def _fail(name: str, c: Column, type_name: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"bad value in {name}: "), F.coalesce(c, F.lit("NULL")))).cast(type_name)

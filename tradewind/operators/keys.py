@@ -32,23 +32,27 @@ def dense_keys(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
 
 
-def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str, nullable: list[str] = ()) -> DataFrame:
     """Add ``name``: 1..n inside each group, in ``order``, also for groups too large for one task.
 
-    A row's rank is its key over (group, order) less the first key of its group.
+    A row's rank is its key over (group, order) less the first key of its group. ``nullable`` names
+    the group columns that may be NULL.
     """
     keyed = dense_keys(df, [*[F.col(g).asc_nulls_last() for g in group], *order], "_key")
     firsts = keyed.groupBy(*group).agg(F.min("_key").alias("_first"))
-    return null_safe_join(keyed, firsts, group, "inner").select(
+    return null_safe_join(keyed, firsts, group, "inner", nullable).select(
         *df.columns, (F.col("_key") - F.col("_first") + 1).alias(name)
     )
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Equi-join in which NULL keys are equal. The key columns of ``left`` are kept."""
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str, nullable: list[str]) -> DataFrame:
+    """Equi-join in which NULLs in the ``nullable`` key columns are equal. The keys of ``left`` are kept.
+
+    Other keys are compared plainly, which lets the join use a partitioning that is already there.
+    """
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
-    condition = None
+    condition = F.lit(True)
     for c in on:
-        equal = left[c].eqNullSafe(renamed[f"_r_{c}"])
-        condition = equal if condition is None else condition & equal
+        mine, other = left[c], renamed[f"_r_{c}"]
+        condition &= mine.eqNullSafe(other) if c in nullable else mine == other
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])

@@ -7,6 +7,7 @@ from ..operators.integrity import keep_known
 from ..operators.keys import dense_keys, null_safe_join
 from ..operators.ordering import keep_one, nulls_last
 from ..operators.quality import union_all
+from ..operators.storage import materialise
 
 CLIENT = ["client_id", "user_id", "user_device_id"]
 
@@ -55,11 +56,14 @@ def assign_keys(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     category = ["category_id", "category_code"]
     version = ["product_id", *category]
-    categories = dense_keys(events.select(*category).distinct(), nulls_last(*category), "category_sk")
-    latest = events.groupBy(*version).agg(
-        _last_known("brand").alias("brand"), _last_known("price").alias("last_known_price")
+    code = ["category_code"]
+    # The versions are written once: the events are read for them, and then for the keys only.
+    latest = materialise(
+        events.groupBy(*version).agg(_last_known("brand").alias("brand"), _last_known("price").alias("last_known_price")),
+        "versions",
     )
-    versions = dense_keys(null_safe_join(latest, categories, category, "left"), nulls_last(*version), "product_sk")
+    categories = dense_keys(latest.select(*category).distinct(), nulls_last(*category), "category_sk")
+    versions = dense_keys(null_safe_join(latest, categories, category, "left", code), nulls_last(*version), "product_sk")
     products = versions.select("product_sk", "product_id", "category_sk", "brand", "last_known_price")
-    keyed = null_safe_join(events, versions.select(*version, "product_sk"), version, "left")
+    keyed = null_safe_join(events, versions.select(*version, "product_sk"), version, "left", code)
     return categories, products, keyed

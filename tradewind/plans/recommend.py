@@ -11,6 +11,9 @@ from ..operators.ordering import nulls_last, top_per_group
 # What an event of each type says about interest; any other type counts 1.
 WEIGHTS = {"purchase": 3, "cart": 2}
 
+# Of all category keys, only the code may be NULL.
+NULLABLE = ["category_code"]
+
 OUTPUT = ["user_id", "category_code", "product_id", "brand", "price", "global_purchases"]
 
 
@@ -153,7 +156,7 @@ def _recommend(
     bought = purchased_pairs(events)
     if exclusion == "after_rank":
         # At most n_categories rows per user meet at most n_products rows per category.
-        offered = null_safe_join(favourites, top_products(rated, key, n_products), key, "inner")
+        offered = null_safe_join(favourites, top_products(rated, key, n_products), key, "inner", NULLABLE)
         picked = offered.join(bought, ["user_id", "product_sk"], "left_anti")
     elif exclusion == "before_rank":
         picked = _first_not_bought(favourites, rated, bought, key, n_products)
@@ -176,7 +179,7 @@ def _first_not_bought(favourites: DataFrame, rated: DataFrame, bought: DataFrame
     returned, plus one per purchased pair.
     """
     place = ["user_id", *key]
-    ranked = rank_within(rated, key, _by_popularity(), "_rank")
+    ranked = rank_within(rated, key, _by_popularity(), "_rank", NULLABLE)
     taken = bought.join(ranked.select("product_sk", *key, "_rank"), "product_sk").select(*place, "_rank")
     # A mark behind the last rank closes the last gap and brings the score of a favourite category.
     ends = favourites.select(*place, F.lit(2**62).alias("_rank"), "cat_score")
@@ -192,4 +195,4 @@ def _first_not_bought(favourites: DataFrame, rated: DataFrame, bought: DataFrame
     )
     last = F.least(F.col("_rank") - 1, F.col("_before") + n - F.col("_free"))
     slots = gaps.select(*place, "cat_score", F.explode(F.sequence(F.col("_before") + 1, last)).alias("_rank"))
-    return null_safe_join(slots, ranked, [*key, "_rank"], "inner")
+    return null_safe_join(slots, ranked, [*key, "_rank"], "inner", NULLABLE)
