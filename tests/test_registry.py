@@ -1,0 +1,38 @@
+"""Every registered query against its SQL in DuckDB."""
+
+import pytest
+
+import __spark_entry__
+from registry.oracle import ORACLE
+from registry.queries import QUERIES
+from tests.compare import compare, connect
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    return connect(SF)
+
+
+def test_every_query_has_sql():
+    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql()) == set(QUERIES) == set(ORACLE)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_equals_its_sql(spark, duck, name):
+    assert compare(spark, duck, name, SF) is None
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() == 50
+
+
+def test_all_models_agree(spark):
+    report = QUERIES["model_consistency"](spark, SF).collect()
+    assert len(report) == 12 and all(r.n_diff == 0 and r.n_rows > 0 for r in report)
+
+
+def test_late_exclusion_gives_a_subset_of_early_exclusion(spark):
+    late, early = (QUERIES[f"recommend_{x}_rank"](spark, SF) for x in ("after", "before"))
+    assert late.exceptAll(early).count() == 0 and late.count() < early.count()
