@@ -10,7 +10,7 @@ from tradewind.plans import models
 from tradewind.plans.analyses import ANALYSES, analyse
 from tradewind.plans.load import MODELS, clean_dataset, load_models, tables_of
 from tradewind.schemas import CLEAN, EVENT_COLUMNS, MESSAGE_COLUMNS, RAW
-from tradewind.sources.csv import NO_VALUE, read_csv
+from tradewind.sources.csv import NO_VALUE, read_clean_csv, read_csv, read_typed_csv
 from tradewind.sources.tables import read_clean, read_tables
 from tradewind.sources.testdata import KEYWORDS, view
 
@@ -36,6 +36,36 @@ def test_csv_columns_are_found_by_name_and_marked_values_are_null(spark, tmp_pat
     assert "" in NO_VALUE
 
 
+def test_typed_csv(spark, tmp_path, rows):
+    path = str(tmp_path / "x.csv")
+    with open(path, "w") as f:
+        f.write("t,n,f,d,x,s\n2019-10-01 00:00:05+00:00,146.0,True,2020-01-02,1.5,007\n,,,,,\n")
+    schema = "n bigint, t timestamp_ntz, f boolean, d date, x double, s string"
+    assert rows(read_typed_csv(spark, path, schema)) == [
+        (146, dt.datetime(2019, 10, 1, 0, 0, 5), True, dt.date(2020, 1, 2), 1.5, "007"),
+        (None,) * 6,
+    ]
+    assert rows(read_typed_csv(spark, path, schema, ["s", "n"])) == sorted([("007", 146), (None, None)], key=repr)
+
+
+def test_files_of_one_folder_must_have_one_header(spark, tmp_path):
+    for name, header in (("a", "x,y"), ("b", "y,x")):
+        (tmp_path / f"{name}.csv").write_text(f"{header}\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path), ["x", "y"]).collect()
+
+
+def test_cleaned_tables_survive_a_trip_through_csv(spark, shop, tmp_path):
+    folder, _ = shop
+    clean = read_clean(spark, f"{folder}/clean")
+    for name, df in clean.items():
+        writer = df.write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+        writer.csv(f"{tmp_path}/{name}.csv", header=True, escape='"')
+    for name, df in read_clean_csv(spark, str(tmp_path)).items():
+        assert df.dtypes == clean[name].dtypes
+        assert diff(df, clean[name]).count() == 0, name
+
+
 def test_cleaning_run_writes_typed_tables_and_an_audit(spark, shop):
     folder, audit = shop
     clean = read_clean(spark, f"{folder}/clean")

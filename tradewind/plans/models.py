@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.embed import MAX_ITEMS, embed
 from ..operators.integrity import keep_known
 from ..operators.keys import dense_keys
-from ..operators.ordering import nulls_last
+from ..operators.ordering import keep_one, nulls_last
 from ..operators.quality import check, foreign_key, not_null, union_all, unique
 from ..schemas import CAMPAIGN_COLUMNS, EVENT_COLUMNS, MESSAGE_COLUMNS
 
@@ -30,7 +30,7 @@ def resolve(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     Events get an event_month column, the layout column of event tables. Numbering leaves them
     sorted by time, so writing them by month makes few files per month.
     """
-    campaigns = t["campaigns"].withColumnRenamed("id", "campaign_id").dropDuplicates(["campaign_id", "campaign_type"])
+    campaigns = keep_one(t["campaigns"].withColumnRenamed("id", "campaign_id"), ["campaign_id", "campaign_type"])
     messages = keep_known(
         t["messages"], ["campaign_id", "message_type"], campaigns, ["campaign_id", "campaign_type"]
     )
@@ -43,7 +43,7 @@ def resolve(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     friends = keep_known(keep_known(friends, ["user_id_1"], t["users"], ["user_id"]), ["user_id_2"], t["users"], ["user_id"])
     return {
         "users": t["users"].select("user_id").distinct(),
-        "clients": t["clients"].dropDuplicates(["client_id"]),
+        "clients": keep_one(t["clients"], ["client_id"]),
         "categories": t["categories"],
         "products": t["products"],
         "campaigns": campaigns,

@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import RAW
+from ..functions.parse import lenient_date, lenient_double, lenient_long, lenient_timestamp
+from ..functions.text import flag
+from ..schemas import CLEAN, RAW
 
 # The texts that mean "no value" in the raw files.
 NO_VALUE = (
@@ -15,13 +17,38 @@ NO_VALUE = (
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """The named columns as text, whatever their order in the file; "no value" texts become NULL.
 
-    Only the header line is read here. Types are not inferred: that would cost a second pass over
-    the file and would lose 't'/'f' flags and long ids.
+    Only the header line is read here, and every file of a folder must have the same one. Types are
+    not inferred: that would cost a second pass over the file and would lose 't'/'f' flags and long ids.
     """
-    found = spark.read.csv(path, header=True, escape='"')
+    found = spark.read.csv(path, header=True, escape='"', enforceSchema=False)
     return found.select(*[F.when(~F.col(c).isin(*NO_VALUE), F.col(c)).alias(c) for c in columns])
 
 
 def read_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The five raw files of a data set."""
     return {name: read_csv(spark, f"{folder}/{name}.csv", columns) for name, columns in RAW.items()}
+
+
+_CONVERSIONS = {
+    "bigint": lenient_long,
+    "double": lenient_double,
+    "boolean": flag,
+    "date": lenient_date,
+    "timestamp_ntz": lenient_timestamp,
+    "string": lambda c: c,
+}
+
+
+def read_typed_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
+    """A CSV file of cleaned data with the types of ``schema`` ("a bigint, b string"), or some of its columns.
+
+    Whole numbers may be written with a fraction of zero, and UTC times with "+00:00".
+    """
+    types = dict(field.split(" ") for field in schema.split(", "))
+    wanted = columns or list(types)
+    return read_csv(spark, path, wanted).select(*[_CONVERSIONS[types[c]](F.col(c)).alias(c) for c in wanted])
+
+
+def read_clean_csv(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The eight cleaned tables, kept as CSV files."""
+    return {name: read_typed_csv(spark, f"{folder}/{name}.csv", schema) for name, schema in CLEAN.items()}
