@@ -134,10 +134,10 @@ _MATCH = {
 }
 
 
-def _search(match: str, category_key: str = "category_sk,") -> str:
+def _search(match: str) -> str:
     return _sql(
         f"""
-SELECT keyword, product_sk, product_id, {category_key} category_code, brand,
+SELECT keyword, product_sk, product_id, category_sk, category_code, brand,
        CAST(round(last_known_price, 2) AS DOUBLE) AS price, buy_count AS global_purchases
 FROM (SELECT k.keyword, p.*, row_number() OVER (PARTITION BY k.keyword ORDER BY p.buy_count DESC, p.product_sk) AS rn
       FROM {_KEYWORDS} JOIN rated p ON {_MATCH[match]}) t
@@ -378,9 +378,10 @@ FROM resolved_messages GROUP BY campaign_id, message_type""",
     "search_token": _search("token"),
     "search_segment": _search("segment"),
     "search_contains": _search("contains"),
-    "search_documents": _search("segment", ""),
+    "search_documents": _search("segment"),
     "search_graph": _search("contains"),
-    **{f"clean_{t}": _clean_sql(f"SELECT * FROM cleaned_{t}", f"cleaned_{t}") for t in ("events", "campaigns", "messages", "friends")},
+    **{f"clean_{t}": _clean_sql(f"SELECT * FROM cleaned_{t}", f"cleaned_{t}") for t in ("events", "campaigns", "friends")},
+    "clean_messages": _clean_sql("SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM cleaned_messages", "cleaned_messages"),
     "clean_audit": _audit(),
     "clean_messages_integrity": _clean_sql(
         """
@@ -390,7 +391,9 @@ GROUP BY campaign_id, message_type""",
         "cleaned_messages",
         "cleaned_campaigns",
     ),
-    "build_clients": _clean_sql("SELECT * FROM built_clients", "built_clients"),
+    "build_clients": _clean_sql(
+        "SELECT * REPLACE (CAST(first_purchase_date AS VARCHAR) AS first_purchase_date) FROM built_clients", "built_clients"
+    ),
     "build_users": _clean_sql(
         """
 SELECT user_id FROM (SELECT user_id FROM cleaned_events UNION SELECT user_id FROM built_clients

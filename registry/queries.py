@@ -175,8 +175,9 @@ def _search(spark, sf_dir, match):
 
 
 def _search_documents(spark, sf_dir):
-    docs = models.documents(_resolved(spark, sf_dir))
-    return search_documents(KEYWORDS, docs["products"], docs["events"])
+    resolved = _resolved(spark, sf_dir)
+    docs = models.documents(resolved)
+    return search_documents(KEYWORDS, docs["products"], docs["events"], categories=resolved["categories"])
 
 
 def _search_graph(spark, sf_dir):
@@ -190,7 +191,12 @@ _CLEANERS = {"events": clean_events, "campaigns": clean_campaigns, "messages": c
 
 
 def _cleaner(name: str) -> Query:
-    return lambda spark, sf_dir: _CLEANERS[name](view(spark, sf_dir, f"raw_{name}"))[0].select(*RAW[name])
+    return lambda spark, sf_dir: _dates_as_text(_CLEANERS[name](view(spark, sf_dir, f"raw_{name}"))[0].select(*RAW[name]))
+
+
+def _dates_as_text(df: DataFrame) -> DataFrame:
+    """Engines hand dates to Python in different types; as text they compare."""
+    return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
 
 
 def _clean_audit(spark, sf_dir):
@@ -407,7 +413,7 @@ QUERIES: dict[str, Query] = {
     "clean_friends": _cleaner("friends"),
     "clean_audit": _clean_audit,
     "clean_messages_integrity": _clean_messages_integrity,
-    "build_clients": _build_clients,
+    "build_clients": lambda s, d: _dates_as_text(_build_clients(s, d)),
     "build_users": _build_users,
     "dim_categories": lambda s, d: _keyed(s, d)["categories"],
     "dim_products": _dim_products,

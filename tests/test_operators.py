@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tradewind.operators import integrity
 from tradewind.operators.embed import embed
 from tradewind.operators.integrity import keep_known
-from tradewind.operators.keys import dense_keys, null_safe_join, rank_within
+from tradewind.operators.joins import null_safe_join, salted_join
+from tradewind.operators.keys import dense_keys, rank_within
 from tradewind.operators.ordering import keep_one, nulls_last, top_per_group
 from tradewind.operators.quality import audit, check, diff, foreign_key, not_null, null_counts, row_counts, unique, violations
 from tradewind.operators.storage import materialise, shared_folder
@@ -76,6 +77,23 @@ def test_null_safe_join_matches_null_with_null(spark, rows):
     assert rows(joined) == sorted([(1, None, "l1", "r1"), (1, "a", "l2", None), (2, None, "l3", None)], key=repr)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_salted_join_equals_the_plain_join_and_spreads_a_hot_key(spark, rows, settings, how):
+    settings(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__enabled="false",
+        spark__sql__shuffle__partitions="32",
+    )
+    data = [("hot", i) for i in range(500)] + [(None, i) for i in range(20)] + [(f"k{i % 30}", i) for i in range(480)]
+    left = spark.createDataFrame(data, "k string, v int")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), (None, 3), ("k1", 4), ("other", 5)], "k string, w int")
+    salted = salted_join(left, right, ["k"], how, ["v"], nullable=["k"])
+    assert salted.columns == (["k", "v"] if how == "left_semi" else ["k", "v", "w"])
+    assert rows(salted) == rows(null_safe_join(left, right, ["k"], how, ["k"]))
+    partitions = salted.filter("k = 'hot'").select(F.spark_partition_id()).distinct().count()
+    assert partitions >= 6
+
+
 @pytest.mark.parametrize("bound", [integrity.BROADCAST_ROWS, 0])
 def test_keep_known_with_few_and_with_many_orphans(spark, rows, monkeypatch, bound):
     monkeypatch.setattr(integrity, "BROADCAST_ROWS", bound)

@@ -79,11 +79,15 @@ def shuffled(settings):
     )
 
 
-def split_joins(df) -> list:
-    """Collect, and return the rows; the joins must have split a hot partition."""
+def split_joins(df, *keys: str) -> list:
+    """Collect, and return the rows; the joins on the keys named must be salted or split by Spark."""
     result = df.collect()
     text = plan(df)
-    assert "isFinalPlan=true" in text and "skew=true" in text
+    final = text[: text.index("Initial Plan")]
+    assert "isFinalPlan=true" in final
+    joins = [line for line in final.splitlines() if "SortMergeJoin" in line]
+    for key in keys:
+        assert any(f"[{key}#" in j and ("_salt#" in j or "skew=true" in j) for j in joins), (key, joins)
     return result
 
 
@@ -92,7 +96,7 @@ def test_a_hub_among_friends_is_split(spark, shuffled):
     others = [(i, i + 1 + i % 7) for i in range(1, 80_000)]
     friendships = spark.createDataFrame(hub + others, "user_id_1 bigint, user_id_2 bigint").repartition(24)
     messages = spark.range(0, 80_000, 3).select(F.col("id").alias("user_id"), F.lit(True).alias("is_purchased"))
-    got = split_joins(targeting_score(messages, None, friendships, k=None, buyer_from="messages"))
+    got = split_joins(targeting_score(messages, None, friendships, k=None, buyer_from="messages"), "friend_id")
     want = Counter()
     for a, b in hub + others:
         want[a] += b % 3 == 0 and b < 80_000
@@ -112,7 +116,7 @@ def test_a_hot_product_is_split(spark, shuffled):
         F.lit("b").alias("brand"), F.lit(1.0).alias("last_known_price"),
     )
     categories = spark.range(400).select(F.col("id").alias("category_sk"), F.col("id").cast("string").alias("category_code"))
-    got = Counter(tuple(r) for r in split_joins(recommend(events, products, categories, limit=None)))
+    got = Counter(tuple(r) for r in split_joins(recommend(events, products, categories, limit=None), "product_sk", "category_sk"))
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
     try:
         assert got == Counter(tuple(r) for r in recommend(events, products, categories, limit=None).collect())
@@ -129,7 +133,7 @@ def test_events_of_a_hot_product_are_keyed(spark, shuffled):
     )
     categories, products, keyed = assign_keys(events)
     assert categories.count() == 1
-    got = split_joins(keyed.select("product_id", "product_sk", "price"))
+    got = split_joins(keyed.select("product_id", "product_sk", "price"), "product_id")
     number = {p: i + 1 for i, p in enumerate(sorted({r.product_id for r in got}))}
     assert len(got) == 60_000 and all(r.product_sk == number[r.product_id] for r in got)
     # All events have the same time, so the last known price is the greatest one.
@@ -139,6 +143,27 @@ def test_events_of_a_hot_product_are_keyed(spark, shuffled):
 def test_a_hub_document_is_built_in_parts(spark, shuffled):
     pairs = spark.range(1, 30_000).select(F.lit(0).cast("bigint").alias("user_id_1"), F.col("id").alias("user_id_2")).repartition(24)
     docs = embed(both_directions(pairs), "user_id", F.col("friend_id"), "friends", max_items=100)
-    got = docs.select("user_id", "part", F.size("friends").alias("n")).collect()
+    got = split_joins(docs.select("user_id", "part", F.size("friends").alias("n")), "user_id")
     hub = [r.n for r in got if r.user_id == 0]
     assert sum(hub) == 29_999 and max(hub) < 200 and len(hub) == 300
+
+
+def test_products_of_a_hot_category_are_ranked(spark, shuffled):
+    """A third of all products are in category 0, and every user likes it."""
+    products = spark.range(0, 30_000, 1, 24).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("category_sk"), F.col("id").alias("product_sk"),
+        F.col("id").alias("product_id"), F.lit("b").alias("brand"), F.lit(1.0).alias("last_known_price"),
+    )
+    categories = spark.range(500).select(F.col("id").alias("category_sk"), F.col("id").cast("string").alias("category_code"))
+    # User u bought the product 3u of category 0, which are ranked by their key, and viewed another.
+    events = spark.range(0, 4_000, 1, 8).select(
+        F.col("id").alias("user_id"), (F.col("id") * 3 % 30_000).alias("product_sk"), F.lit("purchase").alias("event_type")
+    )
+    got = recommend(events, products, categories, exclusion="before_rank", n_categories=1, limit=None)
+    recommended = {}
+    for r in split_joins(got.select("user_id", "product_id"), "category_sk"):
+        recommended.setdefault(r.user_id, set()).add(r.product_id)
+    best = [3 * i for i in range(6)]
+    assert len(recommended) == 4_000
+    assert all(found == {p for p in best if p != 3 * u} - ({15} if u > 4 else set()) for u, found in recommended.items() if u < 6)
+    assert all(found == set(best[:5]) for u, found in recommended.items() if u >= 6)

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import salted_join
+
 MAX_ITEMS = 1000
 
 
@@ -14,10 +16,12 @@ def embed(items: DataFrame, owner: str, item: Column, name: str, max_items: int
     a hot owner, and no item is left out.
     """
     rows = items.select(F.col(owner), item.alias("_item"))
-    parts = rows.groupBy(owner).agg(F.ceil(F.count("*") / F.lit(max_items)).alias("_parts"))
-    part = F.pmod(F.xxhash64("_item"), F.col("_parts")).cast("int")
+    sizes = rows.groupBy(owner).agg(F.ceil(F.count("*") / F.lit(max_items)).alias("_parts"))
+    # Only the few owners with several parts need to be looked up.
+    large = sizes.filter(F.col("_parts") > 1)
+    part = F.pmod(F.xxhash64("_item"), F.coalesce("_parts", F.lit(1))).cast("int")
     return (
-        rows.join(parts, owner)
+        salted_join(rows, large, [owner], "left", ["_item"])
         .groupBy(owner, part.alias("part"))
         .agg(F.sort_array(F.collect_list("_item")).alias(name))
     )

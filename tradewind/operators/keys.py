@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import salted_join
 from .storage import materialise
 
 # monotonically_increasing_id() holds the partition number above the row number, which has 33 bits.
@@ -38,19 +39,6 @@ def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str,
     """
     keyed = dense_keys(df, [*[F.col(g).asc_nulls_last() for g in group], *order], "_key")
     firsts = keyed.groupBy(*group).agg(F.min("_key").alias("_first"))
-    return null_safe_join(keyed, firsts, group, "inner", nullable).select(
+    return salted_join(keyed, firsts, group, "inner", ["_key"], nullable).select(
         *df.columns, (F.col("_key") - F.col("_first") + 1).alias(name)
     )
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str, nullable: list[str]) -> DataFrame:
-    """Equi-join in which NULLs in the ``nullable`` key columns are equal. The keys of ``left`` are kept.
-
-    Other keys are compared plainly, which lets the join use a partitioning that is already there.
-    """
-    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
-    condition = F.lit(True)
-    for c in on:
-        mine, other = left[c], renamed[f"_r_{c}"]
-        condition &= mine.eqNullSafe(other) if c in nullable else mine == other
-    return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])

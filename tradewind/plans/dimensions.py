@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.integrity import keep_known
-from ..operators.keys import dense_keys, null_safe_join
+from ..operators.joins import null_safe_join
+from ..operators.keys import dense_keys
 from ..operators.ordering import keep_one, nulls_last
 from ..operators.quality import union_all
 from ..operators.storage import materialise

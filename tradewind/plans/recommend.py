@@ -5,7 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.keys import null_safe_join, rank_within
+from ..operators.joins import null_safe_join, salted_join
+from ..operators.keys import rank_within
 from ..operators.ordering import nulls_last, top_per_group
 
 # What an event of each type says about interest; any other type counts 1.
@@ -92,8 +93,8 @@ def recommend(
     """
     key = ["category_sk"]
     affinity = category_affinity(events, None if inline_category else products, key, weights, default_weight)
-    named = products.join(categories.select("category_sk", "category_code"), "category_sk")
-    return _recommend(affinity, named, events, key, n_categories, n_products, exclusion, limit)
+    names = categories.select("category_sk", "category_code")
+    return _recommend(affinity, products, names, events, key, n_categories, n_products, exclusion, limit)
 
 
 def recommend_documents(
@@ -113,7 +114,7 @@ def recommend_documents(
         "brand", "last_known_price",
     )
     affinity = category_affinity(events, flat, key, weights, default_weight)
-    return _recommend(affinity, flat, events, key, n_categories, n_products, exclusion, limit)
+    return _recommend(affinity, flat, None, events, key, n_categories, n_products, exclusion, limit)
 
 
 def recommend_graph(
@@ -131,10 +132,12 @@ def recommend_graph(
     """The same on the graph: users had events on products, products are in categories."""
     events = had_event.select(F.col("src").alias("user_id"), F.col("dst").alias("product_sk"), "event_type")
     members = in_category.select(F.col("src").alias("product_sk"), F.col("dst").alias("category_sk"))
-    return recommend(
-        events, products.join(members, "product_sk"), categories, weights, default_weight, n_categories, n_products,
-        exclusion, limit,
-    )
+    key = ["category_sk"]
+    affinity = category_affinity(events, members, key, weights, default_weight)
+    names = categories.select("category_sk", "category_code")
+    return _recommend(
+        affinity, products.join(members, "product_sk"), names, events, key, n_categories, n_products, exclusion, limit
+    )
 
 
 def _by_popularity() -> list[Column]:
@@ -144,6 +147,7 @@ def _by_popularity() -> list[Column]:
 def _recommend(
     affinity: DataFrame,
     products: DataFrame,
+    names: DataFrame | None,
     events: DataFrame,
     key: list[str],
     n_categories: int,
@@ -156,10 +160,15 @@ def _recommend(
     bought = purchased_pairs(events)
     if exclusion == "after_rank":
         # At most n_categories rows per user meet at most n_products rows per category.
-        offered = null_safe_join(favourites, top_products(rated, key, n_products), key, "inner", NULLABLE)
+        best = top_products(rated, key, n_products)
+        if names is not None:
+            best = best.join(names, key)
+        offered = salted_join(favourites, best, key, "inner", ["user_id"], NULLABLE)
         picked = offered.join(bought, ["user_id", "product_sk"], "left_anti")
     elif exclusion == "before_rank":
         picked = _first_not_bought(favourites, rated, bought, key, n_products)
+        if names is not None:
+            picked = salted_join(picked, names, key, "inner", ["user_id"])
     else:
         raise ValueError(f"unknown exclusion: {exclusion}")
     result = picked.withColumn("price", F.round(F.col("last_known_price"), 2)).withColumn(
