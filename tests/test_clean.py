@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tradewind.plans.clean import clean_campaigns, clean_events, clean_first_purchases, clean_friends, clean_messages
 from tradewind.plans.dimensions import assign_keys, build_clients, build_users, enforce_campaigns
@@ -106,6 +107,17 @@ def test_clean_friends(spark, rows):
     assert rows(audit) == [("friends", 6, 2, 4)]
 
 
+def test_rows_that_are_dropped_never_fail_wherever_spark_moves_the_filters(spark, rows):
+    """The raw pairs come from a join, below which each side's conversion may be moved."""
+    left = spark.createDataFrame([(1, "5"), (2, None), (3, "7"), (4, "8")], "k int, friend1 string")
+    right = spark.createDataFrame([(1, "9"), (2, "bad"), (3, None), (4, "8")], "k int, friend2 string")
+    clean, audit = clean_friends(left.join(right, "k").select("friend1", "friend2"))
+    assert rows(clean.filter("friend1 > 0 and friend2 > 0")) == [(5, 9)]
+    assert rows(audit) == [("friends", 4, 1, 3)]
+    users = build_users(clean.select(F.col("friend1").alias("user_id")), clean.select(F.col("friend2").alias("user_id")), clean)
+    assert rows(users) == [(5,), (9,)]
+
+
 def test_a_first_purchase_wins_over_a_recipient_row(spark, rows):
     messages = spark.createDataFrame([(1, 10, 0), (1, 10, 0), (2, 20, None), (None, 30, 0), (3, 31, 1), (3, 30, 2)], "client_id bigint, user_id bigint, user_device_id bigint")
     first = clean_first_purchases(

@@ -27,15 +27,24 @@ def lenient_long(c: Column) -> Column:
     return F.coalesce(c.try_cast("bigint"), F.when(number == F.floor(number), number.try_cast("bigint")))
 
 
-def strict_long(c: Column, name: str) -> Column:
+def strict_long(c: Column, name: str, kept: Column | None = None) -> Column:
     """Whole number that must be there: NULL and bad text are errors."""
-    return F.coalesce(lenient_long(c), _fail(name, c, "bigint"))
+    return _guarded(F.coalesce(lenient_long(c), _fail(name, c, "bigint")), kept)
 
 
-def strict_utc_timestamp(c: Column, name: str) -> Column:
+def strict_utc_timestamp(c: Column, name: str, kept: Column | None = None) -> Column:
     """Time written as "2019-10-01 00:00:00 UTC"; NULL stays NULL and bad text is an error."""
     time = lenient_timestamp(F.replace(c, F.lit(" UTC"), F.lit("")))
-    return F.when(c.isNotNull(), F.coalesce(time, _fail(name, c, "timestamp_ntz")))
+    return _guarded(F.when(c.isNotNull(), F.coalesce(time, _fail(name, c, "timestamp_ntz"))), kept)
+
+
+def _guarded(value: Column, kept: Column | None) -> Column:
+    """``kept`` is the condition of the rows that matter, if others are filtered out.
+
+    The optimizer may move the conversion below that filter, for one through a join, so the
+    conversion itself must know which rows cannot fail.
+    """
+    return value if kept is None else F.when(kept, value)
 
 
 def _fail(name: str, c: Column, type_name: str) -> Column:

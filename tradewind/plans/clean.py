@@ -1,6 +1,8 @@
 """Raw text frames to typed, deduplicated tables. Each job returns the table and its audit row."""
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import lenient_date, lenient_double, lenient_long, lenient_timestamp, strict_long, strict_utc_timestamp
@@ -15,21 +17,24 @@ def _conform(df: DataFrame, conversions: dict) -> DataFrame:
     return df.withColumns({c: convert(F.col(c)) for c, convert in conversions.items() if c in df.columns})
 
 
+def _present(*columns: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
 def clean_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events with a price of zero or more, a product and a user; whole-row duplicates removed."""
-    price = lenient_double(F.col("price"))
-    kept = raw.filter(price >= 0).dropna(subset=["product_id", "user_id"])
+    kept = (lenient_double(F.col("price")) >= 0) & _present("product_id", "user_id")
     clean = _conform(
-        kept,
+        raw.filter(kept),
         {
-            "event_time": lambda c: strict_utc_timestamp(c, "event_time"),
+            "event_time": lambda c: strict_utc_timestamp(c, "event_time", kept),
             "event_type": normalize,
             "category_code": strip,
             "brand": normalize,
             "price": lenient_double,
-            "product_id": lambda c: strict_long(c, "product_id"),
-            "user_id": lambda c: strict_long(c, "user_id"),
-            "category_id": lambda c: strict_long(c, "category_id"),
+            "product_id": lambda c: strict_long(c, "product_id", kept),
+            "user_id": lambda c: strict_long(c, "user_id", kept),
+            "category_id": lambda c: strict_long(c, "category_id", kept),
             "user_session": strip,
         },
     ).dropDuplicates()
@@ -38,12 +43,12 @@ def clean_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def clean_campaigns(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Campaigns with an id and a type, one row per (id, campaign_type)."""
-    kept = raw.dropna(subset=["id", "campaign_type"])
+    kept = _present("id", "campaign_type")
     clean = keep_one(
         _conform(
-            kept,
+            raw.filter(kept),
             {
-                "id": lambda c: strict_long(c, "id"),
+                "id": lambda c: strict_long(c, "id", kept),
                 "started_at": lenient_timestamp,
                 "finished_at": lenient_timestamp,
                 "campaign_type": normalize,
@@ -66,17 +71,14 @@ def clean_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Bulk messages have no client, so client, user and device may be NULL.
     """
-    kept = (
-        raw.filter(lenient_long(F.col("id")).isNotNull())
-        .filter(strip(F.col("message_id")) != "")
-        .dropna(subset=["campaign_id", "message_type"])
-    )
+    named = strip(F.col("message_id")) != ""
+    kept = lenient_long(F.col("id")).isNotNull() & named & _present("campaign_id", "message_type")
     clean = keep_one(
         _conform(
-            kept,
+            raw.filter(kept),
             {
                 "id": lenient_long,
-                "campaign_id": lambda c: strict_long(c, "campaign_id"),
+                "campaign_id": lambda c: strict_long(c, "campaign_id", kept),
                 "client_id": lenient_long,
                 "user_id": lenient_long,
                 "user_device_id": lenient_long,
@@ -106,8 +108,9 @@ def clean_first_purchases(raw: DataFrame) -> DataFrame:
 
 def clean_friends(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Undirected friendships, each once, with the lower user first; no one befriends themselves."""
-    pairs = raw.dropna(subset=["friend1", "friend2"]).select(
-        strict_long(F.col("friend1"), "friend1").alias("a"), strict_long(F.col("friend2"), "friend2").alias("b")
+    kept = _present("friend1", "friend2")
+    pairs = raw.filter(kept).select(
+        strict_long(F.col("friend1"), "friend1", kept).alias("a"), strict_long(F.col("friend2"), "friend2", kept).alias("b")
     )
     clean = (
         pairs.filter(F.col("a") != F.col("b"))
