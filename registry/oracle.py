@@ -241,9 +241,10 @@ def _counted(tables: dict[str, str], *views: str) -> str:
     return _sql("\nUNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {t}" for n, t in tables.items()), *views)
 
 
-_EVENT_IDS = """
-SELECT row_number() OVER (ORDER BY event_time, user_id, product_sk, event_type, product_id, category_id,
-                          category_code NULLS LAST, brand NULLS LAST, price, user_session) AS event_id,
+_EVENT_ORDER = """row_number() OVER (ORDER BY event_time, user_id, product_sk, event_type, product_id, category_id,
+                          category_code NULLS LAST, brand NULLS LAST, price, user_session)"""
+_EVENT_IDS = f"""
+SELECT {_EVENT_ORDER} AS event_id,
        event_time, event_type, user_id, product_sk, CAST(price AS DOUBLE) AS price, user_session
 FROM fx_keyed"""
 
@@ -463,6 +464,31 @@ FROM fx_versions""",
         "all_users", "fx_clients", "fx_categories", "fx_versions", "fx_campaigns",
     ),
     "graph_edges_summary": _edges(),
+    "graph_sent_to": _sql(
+        """
+SELECT campaign_id, message_type AS campaign_type, client_id, id, is_opened, is_purchased
+FROM resolved_messages WHERE client_id IS NOT NULL""",
+        "resolved_messages",
+    ),
+    "graph_constraint_violations": _sql(
+        "\nUNION ALL ".join(
+            _bad(f"{label} unique {key}", f"SELECT count({key}) - count(DISTINCT {key}) FROM {table}")
+            for label, key, table in [
+                ("User", "user_id", "all_users"), ("Client", "client_id", "fx_clients"),
+                ("Product", "product_sk", "fx_versions"), ("Category", "category_sk", "fx_categories"),
+            ]
+        ),
+        "all_users", "fx_clients", "fx_versions", "fx_categories",
+    ),
+    "wide_events": _sql(
+        """
+SELECT n.*, e.product_id, e.brand, e.category_id, e.category_code, e.category_sk, strftime(n.event_time, '%Y-%m') AS event_month
+FROM numbered n JOIN ordered e USING (event_id)""",
+        "numbered", "ordered",
+        numbered=_EVENT_IDS,
+        ordered=f"SELECT {_EVENT_ORDER} AS event_id, * FROM fx_keyed",
+    ),
+    "wide_messages": _sql("SELECT * FROM resolved_messages", "resolved_messages"),
     "table_counts": _counted(
         {
             "users": "all_users", "clients": "fx_clients", "categories": "fx_categories", "products": "fx_versions",

@@ -293,6 +293,23 @@ def _doc_events(spark, sf_dir):
     return events.select(F.col("_id").alias("event_id"), "event_time", "event_type", "user_id", "product_sk", "price", "user_session")
 
 
+def _wide_events(spark, sf_dir):
+    return _double_price(models.denormalised(_resolved(spark, sf_dir))["events"])
+
+
+def _wide_messages(spark, sf_dir):
+    return models.denormalised(_resolved(spark, sf_dir))["messages"]
+
+
+def _graph_sent_to(spark, sf_dir):
+    sent = models.graph(_resolved(spark, sf_dir))[1]["SENT_TO"]
+    return sent.select("src.campaign_id", "src.campaign_type", F.col("dst").alias("client_id"), "id", "is_opened", "is_purchased")
+
+
+def _graph_violations(spark, sf_dir):
+    return violations(models.vertex_checks(models.graph(_resolved(spark, sf_dir))[0]))
+
+
 def _graph_vertices(spark, sf_dir):
     return row_counts(models.graph(_resolved(spark, sf_dir))[0])
 
@@ -429,6 +446,10 @@ QUERIES: dict[str, Query] = {
     "doc_events": _doc_events,
     "graph_vertices_summary": _graph_vertices,
     "graph_edges_summary": _graph_edges,
+    "graph_sent_to": _graph_sent_to,
+    "graph_constraint_violations": _graph_violations,
+    "wide_events": _wide_events,
+    "wide_messages": _wide_messages,
     "table_counts": _table_counts,
     "events_by_month": _events_by_month,
     "constraint_violations": _constraint_violations,

@@ -131,13 +131,13 @@ def test_reports(spark, rows):
     report = violations(
         [
             unique("pk", a, ["k"]),
-            not_null("nn", a, "k"),
+            not_null("a", a, ["k", "v"]),
             foreign_key("fk", a, ["k"], b),
             check("ck", a, F.col("v") < "y"),
             unique("fine", b, ["k"]),
         ]
     )
-    assert rows(report) == sorted([("pk", 1), ("nn", 1), ("fk", 1), ("ck", 2), ("fine", 0)])
+    assert rows(report) == sorted([("pk", 1), ("a.k not null", 1), ("a.v not null", 1), ("fk", 1), ("ck", 2), ("fine", 0)])
 
 
 def test_diff_counts_copies_and_treats_nulls_as_equal(spark, rows):

@@ -33,11 +33,15 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
 
 
-# ── constraints: each check returns one row (constraint, n_bad) ─────────────────────────────────
+# ── constraints: each check returns rows (constraint, n_bad) ────────────────────────────────────
 
 
-def not_null(name: str, df: DataFrame, column: str) -> DataFrame:
-    return _report(name, df.filter(F.col(column).isNull()).agg(F.count("*").alias("n_bad")))
+def not_null(table: str, df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per column, all counted in one pass."""
+    counts = [
+        F.struct(F.lit(f"{table}.{c} not null").alias("constraint"), F.col(c).cast("bigint").alias("n_bad")) for c in columns
+    ]
+    return null_counts(df, columns).select(F.inline(F.array(*counts)))
 
 
 def check(name: str, df: DataFrame, predicate: Column) -> DataFrame:

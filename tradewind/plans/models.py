@@ -215,7 +215,7 @@ def constraint_checks(m: dict[str, DataFrame]) -> list[DataFrame]:
         ("friendships", ["user_id_2"], "users", ["user_id"]),
     ]
     checks = [unique(f"{name} primary key", m[name], key) for name, key in keys.items()]
-    checks += [not_null(f"{name}.{c} not null", m[name], c) for name, key in keys.items() for c in [*key, *required.get(name, [])]]
+    checks += [not_null(name, m[name], [*key, *required.get(name, [])]) for name, key in keys.items()]
     checks += [
         foreign_key(f"{child}.{'+'.join(cols)} in {parent}", m[child], cols, m[parent], parent_cols)
         for child, cols, parent, parent_cols in parents
@@ -230,6 +230,12 @@ def constraint_checks(m: dict[str, DataFrame]) -> list[DataFrame]:
     return checks
 
 
+def vertex_checks(vertices: dict[str, DataFrame]) -> list[DataFrame]:
+    """The unique keys of the graph model's vertices, as checks for ``quality.violations``."""
+    keys = {"User": "user_id", "Client": "client_id", "Product": "product_sk", "Category": "category_sk"}
+    return [unique(f"{label} unique {key}", vertices[label], [key]) for label, key in keys.items()]
+
+
 def month_counts(events: DataFrame) -> DataFrame:
     """event_month, n: the sizes of the event table's layout parts."""
     return events.groupBy("event_month").agg(F.count("*").alias("n"))

@@ -1,4 +1,7 @@
-"""Columns of the raw files and of the cleaned tables."""
+"""Columns of the raw files and of the cleaned tables.
+
+Fixed values: names and order are those of the files and models that users already have.
+"""
 
 CAMPAIGN_FLAGS = [
     "ab_test", "warmup_mode", "subject_with_personalization", "subject_with_deadline", "subject_with_emoji",
