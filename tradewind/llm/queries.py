@@ -1,13 +1,16 @@
 """The queries of this subpackage: each applies its operator to a whole table of the folder given."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .columns import read
 from .decontaminate import mark_contaminated
 from .line_dedup import remove_boilerplate
 from .oracle import ORACLE
 from .quality import COUNTS, apply_rules
+from .simhash import near_duplicates
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -18,11 +21,27 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_rules(docs).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
+    digests = ids.select(
+        "doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256")
+    )
+    decoded = bpe.decode(digests, path, pattern)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     marked = mark_contaminated(docs.select("doc_id", "text"), items)
@@ -36,4 +55,4 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_quality_rules, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_simhash, op6_quality_rules, op7_bpe, op9_decontaminate)}
