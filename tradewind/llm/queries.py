@@ -4,17 +4,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, toxicity
 from .columns import read
 from .decontaminate import mark_contaminated
 from .line_dedup import remove_boilerplate
 from .oracle import ORACLE
+from .ppm import score_texts
 from .quality import COUNTS, apply_rules
 from .simhash import near_duplicates
 
 __all__ = ["ORACLE", "QUERIES"]
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    scored = score_texts(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     cleaned = remove_boilerplate(docs)
@@ -27,6 +35,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    model = toxicity.fit(docs, labels.where(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(model, docs, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_rules(docs).select("doc_id", *COUNTS, "base_failed", "kept")
@@ -55,4 +71,4 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_simhash, op6_quality_rules, op7_bpe, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_ppm, op2_line_dedup, op4_simhash, op5_toxicity, op6_quality_rules, op7_bpe, op9_decontaminate)}
