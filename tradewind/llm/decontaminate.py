@@ -137,11 +137,12 @@ def find_leaks(
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with n_words, n_hit, items (sorted strings) and contaminated."""
     leaks = materialise(find_leaks(docs, benchmark, id=id, text=text, **options), "leaks")
-    same = field(id).eqNullSafe(F.col("_id")) & (F.xxhash64(field(text)) == F.col("_key"))
-    joined = packed(docs).join(leaks, same, "left")
+    # what the text is needed for is worked out before the join, so that it moves only if the caller keeps it
+    rows = packed(docs).withColumns({"_text_key": F.xxhash64(field(text)), "_n_words": F.size(item_words(field(text))).cast("long")})
+    joined = rows.join(leaks, field(id).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     outputs = {
-        "n_words": F.size(item_words(field(text))).cast("long"),
+        "n_words": F.col("_n_words"),
         "n_hit": n_hit,
         "items": F.coalesce("items", F.array().cast("array<string>")),
         "contaminated": n_hit > 0,
