@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, toxicity
+from . import bpe, fm_index, suffix_levels, toxicity
 from .columns import read
 from .decontaminate import mark_contaminated
 from .line_dedup import remove_boilerplate
@@ -29,6 +29,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_index.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -58,6 +63,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_levels.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_spans = F.size("starts").cast("long").alias("n_spans")
+    return found.select("doc_id", "n_bytes", "n_removed", n_spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     marked = mark_contaminated(docs.select("doc_id", "text"), items)
@@ -71,4 +82,4 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm, op2_line_dedup, op4_simhash, op5_toxicity, op6_quality_rules, op7_bpe, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_ppm, op2_line_dedup, op3_fm_index, op4_simhash, op5_toxicity, op6_quality_rules, op7_bpe, op8_suffix_levels, op9_decontaminate)}
