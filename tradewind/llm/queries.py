@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import bpe, fm_index, suffix_levels, toxicity
 from .columns import read
 from .decontaminate import mark_contaminated
+from .licenses import scan_licenses
 from .line_dedup import remove_boilerplate
 from .oracle import ORACLE
 from .ppm import score_texts
@@ -82,4 +83,25 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm, op2_line_dedup, op3_fm_index, op4_simhash, op5_toxicity, op6_quality_rules, op7_bpe, op8_suffix_levels, op9_decontaminate)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    found = scan_licenses(docs.select("doc_id", path.alias("path"), "text"))
+    return found.select("doc_id", "path", "license", "cosine", "is_license_file", "inherited_from")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ppm,
+        op2_line_dedup,
+        op3_fm_index,
+        op4_simhash,
+        op5_toxicity,
+        op6_quality_rules,
+        op7_bpe,
+        op8_suffix_levels,
+        op9_decontaminate,
+        op10_licenses,
+    )
+}
