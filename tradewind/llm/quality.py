@@ -10,6 +10,8 @@ verdict each; an empty table gives no rows. Other columns pass through untouched
 name of a result of ``apply_rules`` is replaced.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,84 +42,100 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 
-def _repeat_words(docs: DataFrame) -> DataFrame:
-    """Adds n_repeat_words from _words: the words in windows of three that the text has twice or more.
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, all within one expression."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _repeat_words(words_: Column) -> Column:
+    """The words in windows of three that the text has twice or more.
 
     Windows are compared by a 64-bit hash within one text. Sorting them with their places puts equal
     ones side by side; the places that have an equal neighbour are then joined to runs of words.
     """
-    window = F.transform(
-        numbers(0, F.size("_words") - 3),
-        lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
-    )
-    placed = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    none = F.array()
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    at = lambda j: F.get("_placed", j)["h"]
-    twice = F.filter("_placed", lambda x, j: (x["h"] == at(j + 1)) | ((j > 0) & (x["h"] == at(j - 1))))
-    starts = F.array_sort(F.transform(twice, lambda x: x["i"]))
-    covered = F.aggregate(
-        F.transform("_starts", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("_starts", j + 1) - p, F.lit(3)))),
-        F.lit(0).cast("long"),
-        lambda total, n: total + n,
-    )
-    return (
-        docs.withColumn("_windows", window)
-        .withColumn("_placed", F.when(repeats, placed).otherwise(none.cast("array<struct<h:bigint,i:int>>")))
-        .withColumn("_starts", F.when(F.size("_placed") > 0, starts).otherwise(none.cast("array<int>")))
-        .withColumn("n_repeat_words", covered)
-        .drop("_windows", "_placed", "_starts")
+    windows = F.transform(
+        numbers(0, F.size(words_) - 3),
+        lambda i: F.xxhash64(F.get(words_, i), F.get(words_, i + 1), F.get(words_, i + 2)),
     )
 
+    def starts(placed: Column) -> Column:
+        at = lambda j: F.get(placed, j)["h"]
+        twice = F.filter(placed, lambda x, j: (x["h"] == at(j + 1)) | ((j > 0) & (x["h"] == at(j - 1))))
+        return F.array_sort(F.transform(twice, lambda x: x["i"]))
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``_row`` and all counts that the rules use."""
-    prepared = packed(docs).withColumns(
-        {"_text": F.coalesce(field(text), F.lit("")), "_words": words(field(text)), "_lines": trimmed_lines(field(text))}
-    )
-    counted = _repeat_words(prepared).withColumn("_lines", F.array_remove("_lines", ""))
+    def covered(first: Column) -> Column:
+        fresh = F.transform(first, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(first, j + 1) - p, F.lit(3))))
+        return F.aggregate(fresh, F.lit(0).cast("long"), lambda total, n: total + n)
+
+    def counted(hashes: Column) -> Column:
+        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        repeated = F.size(F.array_distinct(hashes)) < F.size(hashes)
+        return F.when(repeated, let(placed, lambda p: let(starts(p), covered))).otherwise(F.lit(0).cast("long"))
+
+    return let(windows, counted)
+
+
+def _counts(text: Column) -> Column:
+    """A struct of all counts that the rules use."""
     long = lambda column: column.cast("long")
-    return counted.withColumns(
-        {
-            "n_words": long(F.size("_words")),
-            "word_chars": long(F.length(without_spaces(F.col("_text")))),
-            "n_symbols": count_of(F.col("_text"), "#*$%&|<>"),
-            "n_exclaims": count_of(F.col("_text"), "!"),
-            "n_upper": count_of(F.col("_text"), UPPER),
-            "n_stop_words": long(F.size(F.filter("_words", lambda w: F.translate(w, UPPER, LOWER).isin(STOP_WORDS)))),
-            "n_lines": long(F.size("_lines")),
-            "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
-            "n_ellipsis_lines": long(F.size(F.filter("_lines", lambda x: x.endswith("...") | x.endswith("…")))),
-            "n_bullet_lines": long(F.size(F.filter("_lines", lambda x: F.substring(x, 1, 1).isin("-", "*", "•")))),
+
+    def of(d: Column) -> Column:
+        plain, split, lines = d["text"], d["words"], d["lines"]
+        counts = {
+            "n_words": long(F.size(split)),
+            "word_chars": long(F.length(without_spaces(plain))),
+            "n_symbols": count_of(plain, "#*$%&|<>"),
+            "n_exclaims": count_of(plain, "!"),
+            "n_upper": count_of(plain, UPPER),
+            "n_stop_words": long(F.size(F.filter(split, lambda w: F.translate(w, UPPER, LOWER).isin(STOP_WORDS)))),
+            "n_repeat_words": _repeat_words(split),
+            "n_lines": long(F.size(lines)),
+            "n_dup_lines": long(F.size(lines) - F.size(F.array_distinct(lines))),
+            "n_ellipsis_lines": long(F.size(F.filter(lines, lambda x: x.endswith("...") | x.endswith("…")))),
+            "n_bullet_lines": long(F.size(F.filter(lines, lambda x: F.substring(x, 1, 1).isin("-", "*", "•")))),
         }
-    ).drop("_text", "_words", "_lines")
+        return F.struct(*[c.alias(name) for name, c in counts.items()])
 
+    plain = F.coalesce(text, F.lit(""))
+    lines = F.array_remove(trimmed_lines(text), "")
+    return let(F.struct(plain.alias("text"), words(text).alias("words"), lines.alias("lines")), of)
 
-def failed_rules(rules=None) -> Column:
-    """The names of the rules that a measured document breaks."""
+
+def _failed(counts: Column, rules) -> Column:
+    """The names of the rules that a document with these counts breaks."""
     found = []
-    for name, (part, whole, least, most) in (RULES if rules is None else rules).items():
-        ratio = F.when(F.col(whole) > 0, F.col(part) / F.col(whole))
+    for name, (part, whole, least, most) in rules.items():
+        ratio = F.when(counts[whole] > 0, counts[part] / counts[whole])
         low = F.lit(False) if least is None else ratio < least
         high = F.lit(False) if most is None else ratio > most
         found.append(F.when(low | high, F.lit(name)))
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
-def _judged(docs: DataFrame, text: str, rules) -> DataFrame:
-    base_failed = (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
-    )
-    judged = measures(docs, text).withColumns({"base_failed": base_failed, "failed": failed_rules(rules)})
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+def verdict(text: Column, rules=None) -> Column:
+    """One struct with the counts, base_failed, failed (names of broken rules) and kept.
+
+    It is one expression without columns in between, so a filter on it that the optimizer moves
+    towards the scan stays one expression.
+    """
+
+    def of(counts: Column) -> Column:
+        repeated = 100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"]
+        base_failed = (counts["n_words"] < MIN_WORDS) | repeated
+        failed = _failed(counts, RULES if rules is None else rules)
+        kept = ~base_failed & (F.size(failed) == 0)
+        return F.struct(*[counts[c].alias(c) for c in COUNTS], base_failed.alias("base_failed"), failed.alias("failed"), kept.alias("kept"))
+
+    return let(_counts(text), of)
 
 
 def apply_rules(docs: DataFrame, text: str = "text", rules=None) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``failed`` (names of broken rules) and ``kept``."""
+    judged = packed(docs).withColumn("_verdict", verdict(field(text), rules))
     added = [*COUNTS, "base_failed", "failed", "kept"]
-    return unpacked(_judged(docs, text, rules), docs.columns, {c: F.col(c) for c in added})
+    return unpacked(judged, docs.columns, {c: F.col(f"_verdict.{c}") for c in added})
 
 
 def quality_filter(docs: DataFrame, text: str = "text", rules=None) -> DataFrame:
     """The documents that break no rule, with the columns they came with."""
-    return unpacked(_judged(docs, text, rules).where("kept"), docs.columns, {})
+    return docs.where(verdict(F.col(f"`{text}`"), rules)["kept"])
