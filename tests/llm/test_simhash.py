@@ -1,0 +1,105 @@
+"""SimHash and components, against comparison of all pairs."""
+
+import random
+
+import regex
+import xxhash
+from pyspark.sql import functions as F
+
+from tests.llm import cases
+from tradewind.llm import simhash
+from tradewind.llm.components import connected_components
+from tradewind.llm.queries import op4_simhash
+
+
+def groups(nodes, linked):
+    """The least member that each node reaches."""
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def brute(text):
+    words = regex.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def all_pairs(prints, radius=3):
+    n = len(prints)
+    return [(i, j) for i in range(n) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= radius]
+
+
+def test_query_equals_comparison_of_all_pairs(spark):
+    docs = spark.read.parquet(f"{cases.SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    prints = [brute(r["text"]) for r in docs]
+    want = groups(range(len(docs)), all_pairs(prints))
+    got = {r["doc_id"]: r for r in op4_simhash(spark, cases.SF).collect()}
+    for i, r in enumerate(docs):
+        assert got[r["doc_id"]]["fingerprint"] == f"{prints[i]:016x}"
+        assert got[r["doc_id"]]["component_id"] == docs[want[i]]["doc_id"]
+
+
+def test_links_of_chains_and_large_tiles(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    prints = {0, (1 << 64) - 1}
+    for b in base:  # walks that drift away, and a crowd around one point
+        for _ in range(40):
+            for _ in range(rng.randint(1, 4)):
+                b ^= 1 << rng.randrange(64)
+            prints.add(b)
+    prints |= {base[0] ^ (1 << i) ^ (1 << j) for i in range(30) for j in range(i)}
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    found = spark.createDataFrame([(p,) for p in signed], "fp long")
+    edges = simhash.links(found, 3, chunk=7)
+    reached = {r["u"]: r["root"] for r in connected_components(edges).collect()}
+    want = groups(range(len(prints)), all_pairs(prints))
+    names = {}
+    for i, p in enumerate(signed):
+        assert names.setdefault(reached.get(p, p), want[i]) == want[i]
+    assert len(names) == len(set(want.values()))
+    assert edges.count() < 60 * len(prints)
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    rng = random.Random(2)
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(500, 500)]
+    pairs += [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
+    rng.shuffle(pairs)
+    want = groups({n for p in pairs for n in p}, pairs)
+    got = {r["u"]: r["root"] for r in connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {n: r for n, r in want.items() if n != r}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_one_document_of_each_group_stays(spark):
+    docs = cases.clashing(cases.documents(spark))
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    rows = cases.collected(docs)
+    want = groups(range(len(rows)), all_pairs([brute(t) for _, t in rows]))
+    members = {}
+    for i, root in want.items():
+        members.setdefault(root, []).append(rows[i][0])
+    least = sorted((min((m for m in ms if m is not None), default=None) for ms in members.values()), key=repr)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == least
+    assert simhash.drop_near_duplicates(cases.empty(docs)).count() == 0
+
+
+def test_near_duplicates_of_nothing_and_of_equal_rows(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (7, None), (7, None), (8, "  ")], "doc_id long, text string")
+    got = sorted(((r["id"], r["component"]) for r in simhash.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(None, None), (None, None), (7, 7), (7, 7), (8, 7)], key=repr)
+    assert simhash.drop_near_duplicates(docs).select(F.count("*")).first()[0] == 2
