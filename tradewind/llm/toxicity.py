@@ -17,6 +17,7 @@ there are none). Equal texts get equal scores; an empty table gives no rows.
 """
 
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ EPOCHS = 6
 MIN_STEPS = 1200  # of the optimiser; a small sample gets more epochs
 BATCH = 32
 RATE = 0.3
-MAX_ROWS = 8000
+MAX_ROWS = 6000
 MAX_BYTES = 32 << 20
 _EDGES = b".,;:!?\"'()[]"
 
@@ -44,16 +45,17 @@ def subwords(word: bytes) -> list[int]:
     return [*grams, zlib.crc32(marked) % BUCKETS]
 
 
-def _bag(text: str | None, known: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _bag(text: str | None, known: dict[bytes, array]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares."""
-    found: list[int] = []
-    weights: list[float] = []
+    found, weights = array("i"), array("f")
     for word, count in Counter((text or "").encode().lower().split()).items():
         grams = known.get(word)
         if grams is None:
-            grams = known[word] = subwords(word)
-        found += grams
-        weights += [count**0.5] * len(grams)
+            if len(known) >= 100_000:
+                known.clear()
+            grams = known[word] = array("i", subwords(word))
+        found.extend(grams)
+        weights.extend([count**0.5] * len(grams))
     buckets, place = np.unique(np.array(found, np.int32), return_inverse=True)
     weight = np.bincount(place, weights, len(buckets))
     return buckets, (weight / (PADDING + weight.sum())).astype(np.float32)
@@ -70,8 +72,9 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 0) -> Model:
     if len(set(toxic)) < 2:
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    known: dict[bytes, list[int]] = {}
+    known: dict[bytes, array] = {}
     bags = [_bag(t, known) for t in texts]
+    known.clear()
     rng = np.random.default_rng(seed)
     table = (rng.random((BUCKETS, WIDTH), dtype=np.float32) - 0.5) / WIDTH
     out = np.stack([np.full(WIDTH, -0.5, np.float32), np.full(WIDTH, 0.5, np.float32)])
