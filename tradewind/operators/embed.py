@@ -3,25 +3,13 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import salted_join
 
-MAX_ITEMS = 1000
-
-
-def embed(items: DataFrame, owner: str, item: Column, name: str, max_items: int = MAX_ITEMS) -> DataFrame:
+def embed(items: DataFrame, owner: str, item: Column, name: str, key: Column, parts: int = 1) -> DataFrame:
     """One row per (owner, part) with the sorted array ``name`` of the owner's items.
 
-    Nearly every owner has one part, number 0. An owner with more than ``max_items`` items is spread
-    over as many parts as it needs, chosen by a hash of the item, so no array and no task grows with
-    a hot owner, and no item is left out.
+    The layout is the caller's choice and the same for every owner, whatever its size: part is the
+    item's number ``key`` modulo ``parts``. Readers always meet (owner, part). Set ``parts`` so that
+    the largest owner's items over it fit a document; an owner has no more parts than items.
     """
-    rows = items.select(F.col(owner), item.alias("_item"))
-    sizes = rows.groupBy(owner).agg(F.ceil(F.count("*") / F.lit(max_items)).alias("_parts"))
-    # Only the few owners with several parts need to be looked up.
-    large = sizes.filter(F.col("_parts") > 1)
-    part = F.pmod(F.xxhash64("_item"), F.coalesce("_parts", F.lit(1))).cast("int")
-    return (
-        salted_join(rows, large, [owner], "left", ["_item"])
-        .groupBy(owner, part.alias("part"))
-        .agg(F.sort_array(F.collect_list("_item")).alias(name))
-    )
+    part = F.pmod(key, F.lit(parts)).cast("int").alias("part")
+    return items.select(owner, part, item.alias("_item")).groupBy(owner, "part").agg(F.sort_array(F.collect_list("_item")).alias(name))

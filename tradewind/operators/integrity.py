@@ -5,9 +5,6 @@ from pyspark.sql import functions as F
 
 from .storage import materialise
 
-# Foreign-key values are short, so this many of them stay far below 100 MB when broadcast.
-BROADCAST_ROWS = 500_000
-
 
 def keep_known(
     child: DataFrame, keys: list[str], parent: DataFrame, parent_keys: list[str] | None = None, allow_null: bool = False
@@ -15,17 +12,12 @@ def keep_known(
     """Rows of ``child`` whose ``keys`` occur in ``parent``; with ``allow_null`` also those with a NULL key.
 
     A semi-join would shuffle every wide child row by its key, hot keys included. Here only distinct
-    key values are shuffled, to find those without a parent. They are few in sane data, and dropping
-    their rows is then a broadcast anti-join, or nothing at all. Their number is checked: beyond the
-    bound the anti-join is left to a shuffle.
+    key values are shuffled, to find those without a parent, and their rows are dropped by an
+    anti-join. The orphans are a written table: Spark knows its bytes and broadcasts it if it is
+    small, as it is in sane data, and otherwise shuffles and splits hot keys by itself.
     """
     values = parent.select(*[F.col(p).alias(k) for p, k in zip(parent_keys or keys, keys)])
     orphans = materialise(child.select(*keys).dropna().distinct().join(values, keys, "left_anti"), "orphans")
-    n_orphans = orphans.count()
     kept = child if allow_null else child.dropna(subset=keys)
-    if n_orphans == 0:
-        return kept
-    if n_orphans <= BROADCAST_ROWS:
-        orphans = F.broadcast(orphans)
     # NULL never equals an orphan, so rows with a NULL key pass the anti-join.
     return kept.join(orphans, keys, "left_anti")

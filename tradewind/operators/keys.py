@@ -1,6 +1,6 @@
 """Dense numbering of rows over a total order, without ever sorting all rows in one task."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import salted_join
@@ -22,13 +22,13 @@ def dense_keys(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         name,
     )
     partition = F.shiftright("_place", _ROW_BITS).cast("int")
-    # One number per range partition comes to the driver, however many rows there are.
-    sizes = dict(placed.groupBy(partition).count().collect())
-    offsets = [0]
-    for p in range(max(sizes, default=0)):
-        offsets.append(offsets[-1] + sizes.get(p, 0))
-    key = F.get(F.lit(offsets).cast("array<bigint>"), partition) + F.col("_place").bitwiseAND((1 << _ROW_BITS) - 1) + 1
-    return placed.select(key.alias(name), *df.columns)
+    sizes = placed.groupBy(partition.alias("_partition")).agg(F.count("*").alias("_size"))
+    # One row per range partition, so as many as spark.sql.shuffle.partitions says, in one small task.
+    before = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialise(sizes.select("_partition", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")), "offsets")
+    key = F.col("_offset") + F.col("_place").bitwiseAND((1 << _ROW_BITS) - 1) + 1
+    numbered = placed.withColumn("_partition", partition).join(F.broadcast(offsets), "_partition")
+    return numbered.select(key.alias(name), *df.columns)
 
 
 def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str, nullable: list[str] = ()) -> DataFrame:

@@ -1,20 +1,20 @@
 """Intermediate tables in the folder that all executors share."""
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[str]] = []  # of the jobs under way, innermost last
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. A local session without one gets a folder of its own."""
+    """The session's ``spark.checkpoint.dir``, which the cluster or whoever built the session names."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="tradewind-")
-        context.setCheckpointDir(folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     return folder
 
 
@@ -23,8 +23,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: what was written is not computed again, also when executors are lost.
     Unlike ``checkpoint()`` it leaves a columnar table, so later reads prune columns and Spark knows
-    its size when it chooses joins.
+    its size when it chooses joins. Within ``table_scope`` the table goes when the scope ends.
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def table_scope(spark: SparkSession) -> Iterator[None]:
+    """Drops the tables that are materialised inside, for jobs that store their results elsewhere.
+
+    A frame that reads such a table must not be used after the scope. Queries that return a lazy
+    frame run outside of any scope; their tables stay as long as the folder does.
+    """
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)

@@ -49,7 +49,7 @@ def _last_known(column: str) -> Column:
 
 
 def assign_keys(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(categories, products, events with product_sk).
+    """(categories, products, events with product_sk and category_sk).
 
     A product has one version per category it appeared under, and each event points to the version
     with its own category values, so it keeps the category it had when it happened. A missing
@@ -66,5 +66,5 @@ def assign_keys(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     categories = dense_keys(latest.select(*category).distinct(), nulls_last(*category), "category_sk")
     versions = dense_keys(null_safe_join(latest, categories, category, "left", code), nulls_last(*version), "product_sk")
     products = versions.select("product_sk", "product_id", "category_sk", "brand", "last_known_price")
-    keyed = null_safe_join(events, versions.select(*version, "product_sk"), version, "left", code)
+    keyed = null_safe_join(events, versions.select(*version, "product_sk", "category_sk"), version, "left", code)
     return categories, products, keyed

@@ -8,7 +8,7 @@ events (with product_sk) and friends.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.embed import MAX_ITEMS, embed
+from ..operators.embed import embed
 from ..operators.integrity import keep_known
 from ..operators.keys import dense_keys
 from ..operators.ordering import keep_one, nulls_last
@@ -16,7 +16,7 @@ from ..operators.quality import check, foreign_key, not_null, union_all, unique
 from ..schemas import CAMPAIGN_COLUMNS, EVENT_COLUMNS, MESSAGE_COLUMNS
 
 MONEY = "decimal(10,2)"
-NOT_IN_EVENT_DOCUMENTS = ["product_id", "category_id", "category_code", "brand", "event_month"]
+NOT_IN_EVENT_DOCUMENTS = ["product_id", "category_id", "category_code", "category_sk", "brand", "event_month"]
 
 
 def existing(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -78,7 +78,9 @@ def denormalised(r: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The relational tables, with user and device in messages and product and category in events."""
     wide_messages = [*MESSAGE_COLUMNS[:5], "user_id", "user_device_id", *MESSAGE_COLUMNS[5:]]
     wide_events = [*EVENT_COLUMNS, "product_id", "brand", "category_id", "category_code", "category_sk", "event_month"]
-    events = r["events"].join(r["products"].select("product_sk", "category_sk"), "product_sk", "left")
+    events = r["events"]
+    if "category_sk" not in events.columns:  # cleaned elsewhere; the join loses the order by time
+        events = events.join(r["products"].select("product_sk", "category_sk"), "product_sk", "left")
     return {
         **normalised(r),
         "messages": existing(r["messages"], wide_messages),
@@ -86,15 +88,15 @@ def denormalised(r: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def documents(r: dict[str, DataFrame], max_items: int = MAX_ITEMS) -> dict[str, DataFrame]:
+def documents(r: dict[str, DataFrame], parts: int = 1) -> dict[str, DataFrame]:
     """Five collections of nested documents; an absent value is a NULL field.
 
-    A user has one document (part 0), unless their clients or friends exceed ``max_items``: then
-    the arrays are spread over several parts.
+    A user's document is cut into ``parts`` by the ids of its clients and friends: part 0 is always
+    there, others if something falls into them. One part is one document per user.
     """
     client = F.struct("client_id", "user_device_id", F.col("first_purchase_date").cast("string").alias("first_purchase_date"))
-    clients = embed(r["clients"].dropna(subset=["user_id"]), "user_id", client, "clients", max_items)
-    friends = embed(both_directions(r["friendships"]), "user_id", F.col("friend_id"), "friends", max_items)
+    clients = embed(r["clients"].dropna(subset=["user_id"]), "user_id", client, "clients", F.col("client_id"), parts)
+    friends = embed(both_directions(r["friendships"]), "user_id", F.col("friend_id"), "friends", F.col("friend_id"), parts)
     users = (
         r["users"]
         .withColumn("part", F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import null_safe_join, salted_join
 from ..operators.keys import rank_within
 from ..operators.ordering import nulls_last, top_per_group
+from ..operators.storage import materialise
 
 # What an event of each type says about interest; any other type counts 1.
 WEIGHTS = {"purchase": 3, "cart": 2}
@@ -15,6 +16,9 @@ WEIGHTS = {"purchase": 3, "cart": 2}
 # Of all category keys, only the code may be NULL.
 NULLABLE = ["category_code"]
 
+# Ranks of a category that one window task looks at.
+RANK_BLOCK = 10_000
+
 OUTPUT = ["user_id", "category_code", "product_id", "brand", "price", "global_purchases"]
 
 
@@ -27,6 +31,19 @@ def interest(weights: dict[str, int] = WEIGHTS, default_weight: int = 1) -> Colu
     return chain.otherwise(default_weight)
 
 
+def interactions(
+    events: DataFrame, key: list[str] = (), weights: dict[str, int] = WEIGHTS, default_weight: int = 1
+) -> DataFrame:
+    """user_id, product_sk, the columns of ``key``, score and purchases: all that is needed of the events.
+
+    It is written, as scores, popularity and purchased pairs are all read from it, and it is far
+    smaller than the events, which are read and shuffled once.
+    """
+    purchases = F.count_if(F.col("event_type") == "purchase")
+    grouped = events.groupBy("user_id", "product_sk", *key)
+    return materialise(grouped.agg(F.sum(interest(weights, default_weight)).alias("score"), purchases.alias("purchases")), "interactions")
+
+
 def product_popularity(events: DataFrame) -> DataFrame:
     """product_sk, buy_count for products bought at least once."""
     return events.filter(F.col("event_type") == "purchase").groupBy("product_sk").agg(F.count("*").alias("buy_count"))
@@ -49,13 +66,16 @@ def category_affinity(
     With ``products`` the category comes from them: scores are first summed per user and product,
     which leaves far fewer rows than events to join. Without, it is a column of the events.
     """
-    weight = F.sum(interest(weights, default_weight))
+    weight = F.sum(interest(weights, default_weight)).alias("score")
     if products is None:
-        return events.groupBy("user_id", *key).agg(weight.alias("cat_score"))
-    scores = events.groupBy("user_id", "product_sk").agg(weight.alias("_score"))
-    return scores.join(products.select("product_sk", *key), "product_sk").groupBy("user_id", *key).agg(
-        F.sum("_score").alias("cat_score")
-    )
+        return _affinity(events.groupBy("user_id", *key).agg(weight), None, key)
+    return _affinity(events.groupBy("user_id", "product_sk").agg(weight), products, key)
+
+
+def _affinity(scores: DataFrame, products: DataFrame | None, key: list[str]) -> DataFrame:
+    if products is not None:
+        scores = scores.join(products.select("product_sk", *key), "product_sk")
+    return scores.groupBy("user_id", *key).agg(F.sum("score").alias("cat_score"))
 
 
 def top_categories(affinity: DataFrame, key: list[str] = ("category_sk",), n: int = 3) -> DataFrame:
@@ -92,9 +112,10 @@ def recommend(
     first and fills up with the next ones. ``limit=None`` gives every user's rows, unsorted.
     """
     key = ["category_sk"]
-    affinity = category_affinity(events, None if inline_category else products, key, weights, default_weight)
+    done = interactions(events, key if inline_category else [], weights, default_weight)
+    affinity = _affinity(done, None if inline_category else products, key)
     names = categories.select("category_sk", "category_code")
-    return _recommend(affinity, products, names, events, key, n_categories, n_products, exclusion, limit)
+    return _recommend(affinity, products, names, done, key, n_categories, n_products, exclusion, limit)
 
 
 def recommend_documents(
@@ -113,8 +134,8 @@ def recommend_documents(
         F.col("_id").alias("product_sk"), "product_id", "category.category_id", "category.category_code",
         "brand", "last_known_price",
     )
-    affinity = category_affinity(events, flat, key, weights, default_weight)
-    return _recommend(affinity, flat, None, events, key, n_categories, n_products, exclusion, limit)
+    done = interactions(events, [], weights, default_weight)
+    return _recommend(_affinity(done, flat, key), flat, None, done, key, n_categories, n_products, exclusion, limit)
 
 
 def recommend_graph(
@@ -133,10 +154,11 @@ def recommend_graph(
     events = had_event.select(F.col("src").alias("user_id"), F.col("dst").alias("product_sk"), "event_type")
     members = in_category.select(F.col("src").alias("product_sk"), F.col("dst").alias("category_sk"))
     key = ["category_sk"]
-    affinity = category_affinity(events, members, key, weights, default_weight)
+    done = interactions(events, [], weights, default_weight)
+    affinity = _affinity(done, members, key)
     names = categories.select("category_sk", "category_code")
     return _recommend(
-        affinity, products.join(members, "product_sk"), names, events, key, n_categories, n_products, exclusion, limit
+        affinity, products.join(members, "product_sk"), names, done, key, n_categories, n_products, exclusion, limit
     )
 
 
@@ -148,7 +170,7 @@ def _recommend(
     affinity: DataFrame,
     products: DataFrame,
     names: DataFrame | None,
-    events: DataFrame,
+    done: DataFrame,
     key: list[str],
     n_categories: int,
     n_products: int,
@@ -156,8 +178,9 @@ def _recommend(
     limit: int | None,
 ) -> DataFrame:
     favourites = top_categories(affinity, key, n_categories)
-    rated = rated_products(products, product_popularity(events))
-    bought = purchased_pairs(events)
+    purchases = done.filter(F.col("purchases") > 0)
+    rated = rated_products(products, purchases.groupBy("product_sk").agg(F.sum("purchases").alias("buy_count")))
+    bought = purchases.select("user_id", "product_sk")
     if exclusion == "after_rank":
         # At most n_categories rows per user meet at most n_products rows per category.
         best = top_products(rated, key, n_products)
@@ -188,19 +211,31 @@ def _first_not_bought(favourites: DataFrame, rated: DataFrame, bought: DataFrame
     returned, plus one per purchased pair.
     """
     place = ["user_id", *key]
+    block = [*place, "_block"]
     ranked = rank_within(rated, key, _by_popularity(), "_rank", NULLABLE)
     taken = bought.join(ranked.select("product_sk", *key, "_rank"), "product_sk").select(*place, "_rank")
-    # A mark behind the last rank closes the last gap and brings the score of a favourite category.
-    ends = favourites.select(*place, F.lit(2**62).alias("_rank"), "cat_score")
-    marks = taken.unionByName(ends, allowMissingColumns=True)
-    in_place = Window.partitionBy(*place)
-    by_rank = in_place.orderBy("_rank")
+    # A mark behind the last rank closes the last gap.
+    ends = favourites.select(*place, F.lit(2**62).alias("_rank"))
+    marks = taken.unionByName(ends).withColumn("_block", F.floor(F.col("_rank") / RANK_BLOCK))
+    # Windows see one block of ranks, so a user who bought a third of a category is many tasks. What a
+    # block needs of those before it is its first neighbour and their number: one row per block.
+    inside = Window.partitionBy(*block).orderBy("_rank")
+    earlier = Window.partitionBy(*place).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        marks.groupBy(*block)
+        .agg(F.max("_rank").alias("_last"), F.count("*").alias("_n"))
+        .withColumn("_prior", F.coalesce(F.max("_last").over(earlier), F.lit(0)))
+        .withColumn("_prior_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .drop("_last", "_n")
+    )
+    blocks = null_safe_join(blocks, favourites.select(*place, "cat_score"), place, "inner", NULLABLE)
+    placed = marks.withColumn("_in", F.lag("_rank").over(inside)).withColumn("_number", F.row_number().over(inside))
     gaps = (
-        marks.withColumn("_before", F.lag("_rank", 1, 0).over(by_rank))
-        .withColumn("_free", F.col("_before") - F.row_number().over(by_rank) + 1)
-        .withColumn("cat_score", F.max("cat_score").over(in_place))
-        # Places without a mark are not favourites; _free counts the ranks not bought up to _before.
-        .filter(F.col("cat_score").isNotNull() & (F.col("_free") < n) & (F.col("_rank") > F.col("_before") + 1))
+        null_safe_join(placed, blocks, block, "inner", NULLABLE)
+        .withColumn("_before", F.coalesce("_in", "_prior"))
+        # _free counts the ranks not bought up to _before.
+        .withColumn("_free", F.col("_before") - F.col("_prior_n") - F.col("_number") + 1)
+        .filter((F.col("_free") < n) & (F.col("_rank") > F.col("_before") + 1))
     )
     last = F.least(F.col("_rank") - 1, F.col("_before") + n - F.col("_free"))
     slots = gaps.select(*place, "cat_score", F.explode(F.sequence(F.col("_before") + 1, last)).alias("_rank"))

@@ -61,12 +61,12 @@ _MESSAGE_TYPES = {
 }
 _EVENT_TYPES = {
     "event_time": "timestamp_ntz", "product_id": "bigint", "category_id": "bigint", "price": "double",
-    "user_id": "bigint", "product_sk": "bigint",
+    "user_id": "bigint", "product_sk": "bigint", "category_sk": "bigint",
 }
 
 # Cleaned tables, as DDL strings.
 CLEAN = {
-    "events": _typed([*RAW["events"], "product_sk"], _EVENT_TYPES),
+    "events": _typed([*RAW["events"], "product_sk", "category_sk"], _EVENT_TYPES),
     "campaigns": _typed(RAW["campaigns"], _CAMPAIGN_TYPES),
     "messages": _typed(RAW["messages"], _MESSAGE_TYPES),
     "clients": "client_id bigint, user_id bigint, user_device_id bigint, first_purchase_date date",
