@@ -66,7 +66,7 @@ class Words:
         if len(self.known) > 500_000:
             self.known.clear()
         known = self.known
-        for word in set(units) - known.keys():
+        for word in set(units).difference(known):
             known[word] = xxhash.xxh64_intdigest(word)
         return np.fromiter(map(known.__getitem__, units), np.uint64, len(units))
 
