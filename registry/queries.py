@@ -1,13 +1,14 @@
 """Each registered query: (spark, folder of test tables) to a DataFrame over those whole tables."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.operators.integrity import keep_known
-from tradewind.operators.quality import diff, null_counts, row_counts, union_all, violations
-from tradewind.operators.storage import materialise
+from tradewind.operators.quality import compared, null_counts, row_counts, union_all, violations
+from tradewind.operators.storage import materialise, shared_folder
 from tradewind.plans import models
 from tradewind.plans.campaigns import campaign_conversion, campaign_conversion_documents, campaign_conversion_graph
 from tradewind.plans.clean import clean_campaigns, clean_events, clean_first_purchases, clean_friends, clean_messages
@@ -25,7 +26,8 @@ from tradewind.plans.recommend import (
 from tradewind.plans.search import search, search_documents, search_graph
 from tradewind.plans.targeting import targeting_score, targeting_score_documents, targeting_score_graph
 from tradewind.schemas import RAW
-from tradewind.sources.testdata import KEYWORDS, view
+from tradewind.sources.csv import read_csv
+from tradewind.sources.testdata import KEYWORDS, PHRASES, SEGMENTS, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -169,9 +171,9 @@ def _recommend_graph(spark, sf_dir):
 # ── search ──────────────────────────────────────────────────────────────────────────────────────
 
 
-def _search(spark, sf_dir, match):
+def _search(spark, sf_dir, match, keywords=KEYWORDS):
     t = _keyed(spark, sf_dir)
-    return _double_price(search(KEYWORDS, t["categories"], t["products"], t["events"], match))
+    return _double_price(search(keywords, t["categories"], t["products"], t["events"], match))
 
 
 def _search_documents(spark, sf_dir):
@@ -194,6 +196,18 @@ def _cleaner(name: str) -> Query:
     return lambda spark, sf_dir: _dates_as_text(_CLEANERS[name](view(spark, sf_dir, f"raw_{name}"))[0].select(*RAW[name]))
 
 
+def _from_csv(name: str) -> Query:
+    """The raw view written as CSV into the shared folder, read back and cleaned."""
+
+    def query(spark, sf_dir):
+        path = f"{shared_folder(spark)}/csv/{name}-{uuid.uuid4().hex}.csv"
+        keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        view(spark, sf_dir, f"raw_{name}").write.csv(path, header=True, escape='"', **keep)
+        return _dates_as_text(_CLEANERS[name](read_csv(spark, path, RAW[name]))[0].select(*RAW[name]))
+
+    return query
+
+
 def _dates_as_text(df: DataFrame) -> DataFrame:
     """Engines hand dates to Python in different types; as text they compare."""
     return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
@@ -255,8 +269,8 @@ def _messages_client_fk(spark, sf_dir):
 # ── models ──────────────────────────────────────────────────────────────────────────────────────
 
 
-def _doc_users(spark, sf_dir):
-    users = models.documents(_resolved(spark, sf_dir))["users"]
+def _doc_users(spark, sf_dir, parts=1):
+    users = models.documents(_resolved(spark, sf_dir), parts)["users"]
 
     def text(c):
         return F.concat_ws(":", c.client_id.cast("string"), c.user_device_id.cast("string"), c.first_purchase_date)
@@ -283,9 +297,7 @@ def _doc_campaigns(spark, sf_dir):
 
 def _doc_messages(spark, sf_dir):
     messages = models.documents(_resolved(spark, sf_dir))["messages"]
-    return messages.select(
-        F.col("_id").alias("id"), "campaign.campaign_id", "campaign.message_type", "client_id", "is_purchased"
-    )
+    return messages.select(F.col("_id").alias("id"), "campaign.*", *[c for c in messages.columns if c not in ("_id", "campaign")])
 
 
 def _doc_events(spark, sf_dir):
@@ -306,6 +318,39 @@ def _graph_sent_to(spark, sf_dir):
     return sent.select("src.campaign_id", "src.campaign_type", F.col("dst").alias("client_id"), "id", "is_opened", "is_purchased")
 
 
+def _graph_edge(name: str) -> Query:
+    return lambda spark, sf_dir: models.graph(_resolved(spark, sf_dir))[1][name]
+
+
+def _graph_vertex(label: str) -> Query:
+    return lambda spark, sf_dir: _dates_as_text(models.graph(_resolved(spark, sf_dir))[0][label])
+
+
+def _graph_violations_found(spark, sf_dir):
+    """The check of user vertices, after every tenth user was stored twice."""
+    vertices = models.graph(_resolved(spark, sf_dir))[0]
+    users = vertices["User"]
+    twice = users.unionByName(users.filter(F.col("user_id") % 10 == 0))
+    return violations([c for c in models.vertex_checks({**vertices, "User": twice})][:1])
+
+
+def _load_audit(spark, sf_dir):
+    """The audit of a load whose parents are incomplete: clients with a purchase, users with friends, products that were bought."""
+    keyed, pairs = _keyed(spark, sf_dir), _friends(spark, sf_dir)
+    befriended = models.both_directions(_friendships(spark, sf_dir)).select("user_id").distinct()
+    sold = product_popularity(keyed["events"])
+    tables = {
+        **keyed,
+        "products": keyed["products"].join(sold, "product_sk", "left_semi"),
+        "users": befriended,
+        "clients": view(spark, sf_dir, "raw_first_purchase"),
+        "campaigns": view(spark, sf_dir, "fx_campaigns"),
+        "messages": view(spark, sf_dir, "fx_messages"),
+        "friends": pairs,
+    }
+    return models.resolve_with_audit(tables)[1]
+
+
 def _graph_violations(spark, sf_dir):
     return violations(models.vertex_checks(models.graph(_resolved(spark, sf_dir))[0]))
 
@@ -389,13 +434,16 @@ def _model_consistency(spark, sf_dir):
         ("search", "document"): search_documents(KEYWORDS, docs["products"], docs["events"], "contains"),
         ("search", "graph"): search_graph(KEYWORDS, vertices["Category"], vertices["Product"], within, had, "contains"),
     }
-    reports = []
-    for (query, model), result in others.items():
-        expected = base[query].select(*result.columns)
-        differing = diff(expected, result).agg(F.count("*").alias("n_diff"), F.lit(0).cast("bigint").alias("n_rows"))
-        rows = expected.agg(F.lit(0).cast("bigint").alias("n_diff"), F.count("*").alias("n_rows"))
-        both = differing.unionByName(rows).agg(F.sum("n_diff").alias("n_diff"), F.sum("n_rows").alias("n_rows"))
-        reports.append(both.select(F.lit(query).alias("query"), F.lit(model).alias("model"), "n_rows", "n_diff"))
+    base = {query: materialise(result, "base") for query, result in base.items()}
+    changed = base["conversion"].agg(F.min(F.struct("campaign_id", "campaign_type")).alias("c")).select("c.*", F.lit(1).alias("more"))
+    wrong = base["conversion"].join(changed, ["campaign_id", "campaign_type"], "left").withColumn(
+        "total_sent", F.col("total_sent") + F.coalesce("more", F.lit(0))
+    )
+    others["conversion", "one row changed"] = wrong.drop("more")
+    reports = [
+        compared(base[query], result).select(F.lit(query).alias("query"), F.lit(model).alias("model"), "n_rows", "n_diff")
+        for (query, model), result in others.items()
+    ]
     return union_all(reports)
 
 
@@ -421,6 +469,8 @@ QUERIES: dict[str, Query] = {
     "recommend_graph": _recommend_graph,
     "search_token": lambda s, d: _search(s, d, "token"),
     "search_segment": lambda s, d: _search(s, d, "segment"),
+    "search_phrase": lambda s, d: _search(s, d, "token", PHRASES),
+    "search_segment_any_case": lambda s, d: _search(s, d, "segment", SEGMENTS),
     "search_contains": lambda s, d: _search(s, d, "contains"),
     "search_documents": _search_documents,
     "search_graph": _search_graph,
@@ -428,6 +478,8 @@ QUERIES: dict[str, Query] = {
     "clean_campaigns": _cleaner("campaigns"),
     "clean_messages": _cleaner("messages"),
     "clean_friends": _cleaner("friends"),
+    "csv_events": _from_csv("events"),
+    "csv_messages": _from_csv("messages"),
     "clean_audit": _clean_audit,
     "clean_messages_integrity": _clean_messages_integrity,
     "build_clients": lambda s, d: _dates_as_text(_build_clients(s, d)),
@@ -440,12 +492,20 @@ QUERIES: dict[str, Query] = {
     "events_fk_filter": _events_fk_filter,
     "messages_client_fk": _messages_client_fk,
     "doc_users": _doc_users,
+    "doc_users_parts": lambda s, d: _doc_users(s, d, parts=3),
     "doc_products": _doc_products,
     "doc_campaigns": _doc_campaigns,
     "doc_messages": _doc_messages,
     "doc_events": _doc_events,
     "graph_vertices_summary": _graph_vertices,
     "graph_edges_summary": _graph_edges,
+    "graph_had_event": _graph_edge("HAD_EVENT"),
+    "graph_belongs_to": _graph_edge("BELONGS_TO"),
+    "graph_friends_with": _graph_edge("FRIENDS_WITH"),
+    "graph_in_category": _graph_edge("IN_CATEGORY"),
+    **{f"graph_vertices_{label.lower()}": _graph_vertex(label) for label in ("User", "Client", "Category", "Product", "Campaign")},
+    "graph_violations_found": _graph_violations_found,
+    "load_audit": _load_audit,
     "graph_sent_to": _graph_sent_to,
     "graph_constraint_violations": _graph_violations,
     "wide_events": _wide_events,

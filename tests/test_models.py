@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tradewind.__main__ import main
 from tradewind.operators.quality import diff, violations
+from tradewind.operators.storage import shared_folder
 from tradewind.plans import models
 from tradewind.plans.analyses import ANALYSES, analyse
 from tradewind.plans.load import MODELS, clean_dataset, load_models, tables_of
@@ -17,14 +18,25 @@ from tradewind.sources.testdata import KEYWORDS, view
 SF = "/root/testdata/sf0.001"
 
 
+def stored_tables(spark):
+    folder = f"{shared_folder(spark)}/tables"
+    return sorted(os.listdir(folder)) if os.path.isdir(folder) else []
+
+
 @pytest.fixture(scope="module")
 def shop(spark, tmp_path_factory):
     """The raw views as CSV files, cleaned and loaded."""
     folder = tmp_path_factory.mktemp("shop")
     for name in RAW:
         view(spark, SF, f"raw_{name}").write.csv(f"{folder}/raw/{name}.csv", header=True, escape='"')
+    left = stored_tables(spark)
     audit = clean_dataset(spark, f"{folder}/raw", f"{folder}/clean").collect()
-    load_models(spark, f"{folder}/clean", f"{folder}/models")
+    assert stored_tables(spark) == left
+    before = stored_tables(spark)
+    report = load_models(spark, f"{folder}/clean", f"{folder}/models").collect()
+    assert stored_tables(spark) == before
+    assert {r["key"] for r in report if r["table"] == "messages"} == {"campaign_id+message_type", "client_id", "rows"}
+    assert all(r["dropped"] >= 0 for r in report) and len(report) == 6 + 8
     return folder, {r.table: r for r in audit}
 
 
@@ -48,6 +60,15 @@ def test_typed_csv(spark, tmp_path, rows):
     assert rows(read_typed_csv(spark, path, schema, ["s", "n"])) == sorted([("007", 146), (None, None)], key=repr)
 
 
+def test_malformed_rows_fail_the_job(spark, tmp_path):
+    for i, row in enumerate(("1,2,3", "1", '"a\nb",2')):
+        path = tmp_path / f"{i}.csv"
+        path.write_text(f"x,y\n1,2\n{row}\n")
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read_csv(spark, str(path), ["x"]).collect()
+    assert {r.x for r in read_csv(spark, str(path), ["x"], multi_line=True).collect()} == {"1", "a\nb"}
+
+
 def test_files_of_one_folder_must_have_one_header(spark, tmp_path):
     for name, header in (("a", "x,y"), ("b", "y,x")):
         (tmp_path / f"{name}.csv").write_text(f"{header}\n1,2\n")
@@ -62,8 +83,9 @@ def test_cleaned_tables_survive_a_trip_through_csv(spark, shop, tmp_path):
         writer = df.write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
         writer.csv(f"{tmp_path}/{name}.csv", header=True, escape='"')
     for name, df in read_clean_csv(spark, str(tmp_path)).items():
-        assert df.dtypes == clean[name].dtypes
-        assert diff(df, clean[name]).count() == 0, name
+        expected = clean[name].drop("category_sk") if name == "events" else clean[name]
+        assert df.dtypes == expected.dtypes
+        assert diff(df, expected).count() == 0, name
 
 
 def test_cleaning_run_writes_typed_tables_and_an_audit(spark, shop):
@@ -136,11 +158,15 @@ def test_a_hub_user_is_spread_over_parts(spark, rows):
         "messages": spark.createDataFrame([(1, 1, "a", 1)], "id int, campaign_id int, message_type string, client_id int"),
         "events": spark.createDataFrame([(1, 1, 1, 2.0)], "event_id int, user_id int, product_sk int, price double"),
     }
-    users = models.documents(r, max_items=50)["users"].collect()
+    users = models.documents(r, parts=6)["users"].collect()
     hub = [u for u in users if u._id == 0]
     assert {u.part for u in hub} == set(range(6)) and sum(u.clients is not None for u in hub) == 1
     assert sorted(f for u in hub for f in u.friends) == list(range(1, 301))
-    assert len(users) == 306 and {u._id for u in users} == set(range(301))
+    # every user has part 0, and others where a friend or client falls into them
+    assert {u._id for u in users} == set(range(301)) == {u._id for u in users if u.part == 0}
+    assert all({f % 6 for f in u.friends or []} <= {u.part} for u in users)
+    one = models.documents(r)["users"].collect()
+    assert len(one) == 301 and {u.part for u in one} == {0}
 
 
 def test_graph_edges_point_to_vertices(spark, shop):
@@ -170,12 +196,26 @@ def test_every_analysis_runs_on_every_stored_model(spark, shop, form, name):
     assert result and len(result) <= 50
 
 
-def test_command_line(spark, shop, capsys):
+def test_command_line_writes_whole_results(spark, shop, tmp_path):
     folder, _ = shop
-    assert main(["run", f"{folder}/models", "wide", "q3", "light"]) == 0
-    assert "tools" in capsys.readouterr().out.lower()
-    assert main(["run", str(folder), "wide", "q9"]) == 2
-    assert main([]) == 2
+    out = str(tmp_path / "out")
+    assert main(["run", f"{folder}/models", "wide", "q3", out, "light", "--n", "all"]) == 0
+    tables = read_tables(spark, f"{folder}/models/wide", ["categories", "products", "events"])
+    want = analyse("q3", "wide", tables, ["light"], n=None)
+    assert spark.read.parquet(out).count() == want.count() > 0
+    assert main(["run", f"{folder}/models", "relational", "q2", out, "--limit=all", "--exclusion", "before_rank"]) == 0
+    assert spark.read.parquet(out).columns == want.sparkSession.read.parquet(out).columns
+    for bad in (["run", str(folder), "wide", "q9", out], [], ["run", f"{folder}/models", "wide", "q3", out, "--k", "3"]):
+        with pytest.raises(SystemExit):
+            main(bad)
+
+
+def test_many_keywords_give_all_their_rows(spark):
+    categories = spark.range(30).selectExpr("id AS category_sk", "'tools.k' || id AS category_code")
+    products = spark.range(300).selectExpr("id AS product_sk", "id AS product_id", "id % 30 AS category_sk", "'b' AS brand", "1.0D AS last_known_price")
+    events = spark.sql("SELECT 0L AS user_id, 0L AS product_sk, 'purchase' AS event_type")
+    t = {"categories": categories, "products": products, "events": events}
+    assert analyse("q3", "relational", t, [f"k{i}" for i in range(30)]).count() == 150
 
 
 def test_tables_of_each_form(spark):

@@ -1,16 +1,16 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tradewind.operators import integrity
 from tradewind.operators.embed import embed
 from tradewind.operators.integrity import keep_known
 from tradewind.operators.joins import null_safe_join, salted_join
 from tradewind.operators.keys import dense_keys, rank_within
 from tradewind.operators.ordering import keep_one, nulls_last, top_per_group
-from tradewind.operators.quality import audit, check, diff, foreign_key, not_null, null_counts, row_counts, unique, violations
-from tradewind.operators.storage import materialise, shared_folder
+from tradewind.operators.quality import audit, check, compared, diff, foreign_key, not_null, null_counts, row_counts, unique, violations
+from tradewind.operators.storage import materialise, shared_folder, table_scope
 
 
 def test_tables_go_to_the_folder_the_session_names(spark):
@@ -24,6 +24,34 @@ def test_materialised_empty_frame_keeps_its_columns(spark):
     assert materialise(spark.range(0).withColumn("y", F.lit("a")), "none").columns == ["id", "y"]
 
 
+def test_tables_of_a_scope_go_with_it(spark):
+    kept = materialise(spark.range(3), "outside")
+    with table_scope(spark):
+        inner = materialise(spark.range(4), "inside")
+        assert inner.count() == 4
+        path = inner.inputFiles()[0].removeprefix("file:").replace("///", "/")
+        assert os.path.exists(path)
+    assert not os.path.exists(os.path.dirname(path)) and kept.count() == 3
+
+
+def test_offsets_do_not_grow_into_the_plan(spark, settings):
+    sizes = {}
+    for partitions in ("4", "2000"):
+        settings(spark__sql__shuffle__partitions=partitions, spark__sql__adaptive__coalescePartitions__enabled="false")
+        keyed = dense_keys(spark.range(6000), nulls_last("id"), "sk")
+        sizes[partitions] = len(keyed._jdf.queryExecution().optimizedPlan().toString())
+        assert keyed.filter("sk <> id + 1").count() == 0
+    assert sizes["2000"] < sizes["4"] + 200
+
+
+def test_compared_counts_rows_and_differences(spark, rows):
+    a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "k int, v string")
+    b = spark.createDataFrame([(None, 1), ("y", 3)], "v string, k int")
+    assert rows(compared(a, b), "n_rows", "n_diff") == [(3, 3)]
+    assert rows(compared(a, a), "n_rows", "n_diff") == [(3, 0)]
+    assert rows(compared(a.limit(0), a.limit(0)), "n_rows", "n_diff") == [(0, 0)]
+
+
 def test_keep_one_follows_the_stated_order(spark, rows):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (1, None, 0), (2, None, 1)], "k int, v string, w int")
     assert rows(keep_one(df, ["k"])) == [(1, "a", 9), (2, None, 1)]
@@ -94,9 +122,9 @@ def test_salted_join_equals_the_plain_join_and_spreads_a_hot_key(spark, rows, se
     assert partitions >= 6
 
 
-@pytest.mark.parametrize("bound", [integrity.BROADCAST_ROWS, 0])
-def test_keep_known_with_few_and_with_many_orphans(spark, rows, monkeypatch, bound):
-    monkeypatch.setattr(integrity, "BROADCAST_ROWS", bound)
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_keep_known_with_few_and_with_many_orphans(spark, rows, settings, broadcast):
+    settings(spark__sql__autoBroadcastJoinThreshold=broadcast)
     child = spark.createDataFrame([(1, 1, "x"), (2, 9, "y"), (3, None, "z"), (4, 9, "w")], "id int, k int, v string")
     parent = spark.createDataFrame([(1,), (1,), (2,)], "key int")
     assert rows(keep_known(child, ["k"], parent, ["key"]), "id") == [(1,)]
@@ -109,16 +137,14 @@ def test_keep_known_with_a_pair_key_and_no_orphans(spark, rows):
     assert rows(keep_known(child, ["k", "t"], parent, ["k2", "t2"]), "id") == [(0,), (1,)]
 
 
-def test_embed_spreads_a_hot_owner_over_parts_and_loses_nothing(spark):
+@pytest.mark.parametrize("parts", [1, 25])
+def test_embed_has_one_layout_for_all_owners_and_loses_nothing(spark, parts):
     data = [(0, i) for i in range(2500)] + [(u, i) for u in range(1, 40) for i in range(u)]
     items = spark.createDataFrame(data, "user_id int, friend_id int").repartition(6)
-    docs = embed(items, "user_id", F.col("friend_id"), "friends", max_items=100).collect()
-    parts = {}
+    docs = embed(items, "user_id", F.col("friend_id"), "friends", F.col("friend_id"), parts).collect()
     for row in docs:
-        assert row.friends == sorted(row.friends)
-        parts.setdefault(row.user_id, []).append(row)
-    assert {r.part for r in parts[0]} == set(range(25)) and max(len(r.friends) for r in parts[0]) < 200
-    assert all([r.part for r in parts[u]] == [0] for u in range(1, 40))
+        assert row.friends == sorted(row.friends) and {f % parts for f in row.friends} == {row.part}
+    assert len(docs) == len({(u, i % parts) for u, i in data})
     assert sorted((r.user_id, f) for r in docs for f in r.friends) == sorted(data)
 
 

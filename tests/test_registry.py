@@ -16,7 +16,8 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql()) == set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE) <= set(__spark_entry__.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -30,7 +31,7 @@ def test_entry(spark):
 
 def test_all_models_agree(spark):
     report = QUERIES["model_consistency"](spark, SF).collect()
-    assert len(report) == 12 and all(r.n_diff == 0 and r.n_rows > 0 for r in report)
+    assert len(report) == 13 and all(r.n_rows > 0 and r.n_diff == (2 if r.model == "one row changed" else 0) for r in report)
 
 
 def test_late_exclusion_gives_a_subset_of_early_exclusion(spark):

@@ -17,8 +17,17 @@ def lenient_date(c: Column) -> Column:
     return lenient_timestamp(c).cast("date")
 
 
+# Decimal or exponent notation, or infinity. Spark's cast would also read "12d", "2.5f" and "0x1p3".
+_NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
+
+
 def lenient_double(c: Column) -> Column:
-    return F.nullif(c.try_cast("double"), F.lit(float("nan")))
+    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
+
+
+def whole(c: Column) -> Column:
+    """A number as a 64-bit integer if it has no fraction, else NULL."""
+    return F.when(c == F.floor(c), c.try_cast("bigint"))
 
 
 def lenient_long(c: Column) -> Column:
@@ -32,9 +41,19 @@ def strict_long(c: Column, name: str, kept: Column | None = None) -> Column:
     return _guarded(F.coalesce(lenient_long(c), _fail(name, c, "bigint")), kept)
 
 
+# A date, maybe a time of day, and maybe "UTC", "Z" or an offset. Spark's cast would ignore what follows the time.
+_ZONED = r"^\s*(\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?)\s*(?:UTC|Z|([+-])(\d{2}):?(\d{2}))?\s*$"
+
+
 def strict_utc_timestamp(c: Column, name: str, kept: Column | None = None) -> Column:
-    """Time written as "2019-10-01 00:00:00 UTC"; NULL stays NULL and bad text is an error."""
-    time = lenient_timestamp(F.replace(c, F.lit(" UTC"), F.lit("")))
+    """Time written as "2019-10-01 00:00:00 UTC", or with an offset, which is taken off.
+
+    NULL stays NULL. Bad text, and with it any other name of a zone, is an error.
+    """
+    local = F.regexp_extract(c, _ZONED, 1).try_cast("timestamp_ntz")
+    hours, minutes = (F.coalesce(F.regexp_extract(c, _ZONED, g).try_cast("int"), F.lit(0)) for g in (3, 4))
+    sign = F.when(F.regexp_extract(c, _ZONED, 2) == "-", 1).otherwise(-1)
+    time = local + F.make_dt_interval(F.lit(0), sign * hours, sign * minutes)
     return _guarded(F.when(c.isNotNull(), F.coalesce(time, _fail(name, c, "timestamp_ntz"))), kept)
 
 

@@ -78,6 +78,19 @@ def _report(name: str, counted: DataFrame) -> DataFrame:
 # ── differences ─────────────────────────────────────────────────────────────────────────────────
 
 
+def compared(expected: DataFrame, result: DataFrame) -> DataFrame:
+    """One row: n_rows expected, and n_diff rows that one side holds more often; both from one aggregation."""
+    columns = result.columns
+    signed = (
+        expected.select(*columns, F.lit(1).alias("_sign"), F.lit(1).alias("_expected"))
+        .unionByName(result.select(*columns, F.lit(-1).alias("_sign"), F.lit(0).alias("_expected")))
+        .groupBy(*columns)
+        .agg(F.sum("_sign").alias("copies"), F.sum("_expected").alias("rows"))
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return signed.agg(total("rows").alias("n_rows"), total(F.abs("copies")).alias("n_diff"))
+
+
 def diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that the two frames do not hold equally often, with ``copies`` = left less right.
 

@@ -13,24 +13,28 @@ KEYWORDS = ["light", "bicycle", "refrigerators", "tv"]
 ANALYSES = ("q1a", "q1b", "q2", "q3")
 
 
-def analyse(name: str, form: str, t: dict[str, DataFrame], keywords: list[str] = KEYWORDS) -> DataFrame:
-    """Q1a campaign conversion, Q1b targeting score, Q2 recommendations or Q3 search on the tables of a model."""
+def analyse(name: str, form: str, t: dict[str, DataFrame], keywords: list[str] = KEYWORDS, **options) -> DataFrame:
+    """Q1a campaign conversion, Q1b targeting score, Q2 recommendations or Q3 search on the tables of a model.
+
+    ``options`` go to the analysis: k (q1a, q1b), limit and exclusion (q2), match and n (q3).
+    """
+    inline = {"inline_category": True}
     queries = {
-        ("q1a", "relational"): lambda: campaign_conversion(t["messages"], t["campaigns"]),
-        ("q1a", "wide"): lambda: campaign_conversion(t["messages"], t["campaigns"]),
-        ("q1a", "document"): lambda: campaign_conversion_documents(t["messages"]),
-        ("q1a", "graph"): lambda: campaign_conversion_graph(t["SENT_TO"], t["Campaign"]),
-        ("q1b", "relational"): lambda: targeting_score(t["messages"], t["clients"], t["friendships"]),
-        ("q1b", "wide"): lambda: targeting_score(t["messages"], None, t["friendships"], buyer_from="messages"),
-        ("q1b", "document"): lambda: targeting_score_documents(t["users"], t["messages"]),
-        ("q1b", "graph"): lambda: targeting_score_graph(t["SENT_TO"], t["BELONGS_TO"], t["FRIENDS_WITH"]),
-        ("q2", "relational"): lambda: recommend(t["events"], t["products"], t["categories"]),
-        ("q2", "wide"): lambda: recommend(t["events"], t["products"], t["categories"], inline_category=True),
-        ("q2", "document"): lambda: recommend_documents(t["events"], t["products"]),
-        ("q2", "graph"): lambda: recommend_graph(t["HAD_EVENT"], t["IN_CATEGORY"], t["Product"], t["Category"]),
-        ("q3", "relational"): lambda: search(keywords, t["categories"], t["products"], t["events"]),
-        ("q3", "wide"): lambda: search(keywords, t["categories"], t["products"], t["events"]),
-        ("q3", "document"): lambda: search_documents(keywords, t["products"], t["events"]),
-        ("q3", "graph"): lambda: search_graph(keywords, t["Category"], t["Product"], t["IN_CATEGORY"], t["HAD_EVENT"]),
+        ("q1a", "relational"): lambda o: campaign_conversion(t["messages"], t["campaigns"], **o),
+        ("q1a", "wide"): lambda o: campaign_conversion(t["messages"], t["campaigns"], **o),
+        ("q1a", "document"): lambda o: campaign_conversion_documents(t["messages"], **o),
+        ("q1a", "graph"): lambda o: campaign_conversion_graph(t["SENT_TO"], t["Campaign"], **o),
+        ("q1b", "relational"): lambda o: targeting_score(t["messages"], t["clients"], t["friendships"], **o),
+        ("q1b", "wide"): lambda o: targeting_score(t["messages"], None, t["friendships"], buyer_from="messages", **o),
+        ("q1b", "document"): lambda o: targeting_score_documents(t["users"], t["messages"], **o),
+        ("q1b", "graph"): lambda o: targeting_score_graph(t["SENT_TO"], t["BELONGS_TO"], t["FRIENDS_WITH"], **o),
+        ("q2", "relational"): lambda o: recommend(t["events"], t["products"], t["categories"], **o),
+        ("q2", "wide"): lambda o: recommend(t["events"], t["products"], t["categories"], **inline, **o),
+        ("q2", "document"): lambda o: recommend_documents(t["events"], t["products"], **o),
+        ("q2", "graph"): lambda o: recommend_graph(t["HAD_EVENT"], t["IN_CATEGORY"], t["Product"], t["Category"], **o),
+        ("q3", "relational"): lambda o: search(keywords, t["categories"], t["products"], t["events"], **o),
+        ("q3", "wide"): lambda o: search(keywords, t["categories"], t["products"], t["events"], **o),
+        ("q3", "document"): lambda o: search_documents(keywords, t["products"], t["events"], **o),
+        ("q3", "graph"): lambda o: search_graph(keywords, t["Category"], t["Product"], t["IN_CATEGORY"], t["HAD_EVENT"], **o),
     }
-    return queries[name, form]()
+    return queries[name, form](options)

@@ -1,9 +1,10 @@
 """From raw files to stored tables: the cleaning run and the model load."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.quality import audit, union_all
-from ..operators.storage import materialise
+from ..operators.quality import audit, row_counts, union_all
+from ..operators.storage import materialise, table_scope
 from ..sources.csv import read_raw
 from ..sources.tables import read_clean, write_tables
 from . import models
@@ -13,38 +14,66 @@ from .dimensions import assign_keys, build_clients, build_users, enforce_campaig
 MODELS = ("relational", "wide", "document", "graph")
 
 
-def clean_dataset(spark: SparkSession, raw_folder: str, folder: str) -> DataFrame:
+def clean_dataset(spark: SparkSession, raw_folder: str, folder: str, multi_line: bool = False) -> DataFrame:
     """Clean the five raw files into the eight tables under ``folder``; returns the audit report.
 
-    Clients are taken from the messages before those without a known campaign are dropped.
+    Clients are taken from the messages before those without a known campaign are dropped. Each raw
+    file is parsed once, into a table that goes with the other intermediate ones when the job ends.
+    ``multi_line`` reads line breaks inside quotes.
     """
-    raw = read_raw(spark, raw_folder)
-    cleaners = {"events": clean_events, "campaigns": clean_campaigns, "messages": clean_messages, "friends": clean_friends}
-    clean = {name: materialise(cleaner(raw[name])[0], name) for name, cleaner in cleaners.items()}
-    categories, products, events = assign_keys(clean["events"])
-    clients = build_clients(clean["messages"], clean_first_purchases(raw["client_first_purchase_date"]))
-    messages = enforce_campaigns(clean["messages"], clean["campaigns"])
-    write_tables(
-        {
-            "events": events,
-            "campaigns": clean["campaigns"],
-            "messages": messages,
-            "clients": clients,
-            "friends": clean["friends"],
-            "categories": categories,
-            "products": products,
-        },
-        folder,
-    )
-    stored = {name: spark.read.parquet(f"{folder}/{name}") for name in ("events", "clients", "friends", "messages")}
-    write_tables({"users": build_users(stored["events"], stored["clients"], stored["friends"])}, folder)
-    reports = [audit(name, raw[name], clean[name]) for name in cleaners]
-    return union_all([*reports, audit("messages with a known campaign", clean["messages"], stored["messages"])])
-
-
-def load_models(spark: SparkSession, clean_folder: str, folder: str, forms: tuple[str, ...] = MODELS) -> None:
-    """Store the chosen models of a cleaned data set, each under ``folder``/<form>."""
-    write_models(models.resolve(read_clean(spark, clean_folder)), folder, forms)
+    with table_scope(spark):
+        raw = {name: materialise(df, f"raw-{name}") for name, df in read_raw(spark, raw_folder, multi_line).items()}
+        cleaners = {"events": clean_events, "campaigns": clean_campaigns, "messages": clean_messages, "friends": clean_friends}
+        clean = {name: materialise(cleaner(raw[name])[0], name) for name, cleaner in cleaners.items()}
+        categories, products, events = assign_keys(clean["events"])
+        clients = build_clients(clean["messages"], clean_first_purchases(raw["client_first_purchase_date"]))
+        messages = enforce_campaigns(clean["messages"], clean["campaigns"])
+        write_tables(
+            {
+                "events": events,
+                "campaigns": clean["campaigns"],
+                "messages": messages,
+                "clients": clients,
+                "friends": clean["friends"],
+                "categories": categories,
+                "products": products,
+            },
+            folder,
+        )
+        stored = {name: spark.read.parquet(f"{folder}/{name}") for name in ("events", "clients", "friends", "messages")}
+        write_tables({"users": build_users(stored["events"], stored["clients"], stored["friends"])}, folder)
+        users = spark.read.parquet(f"{folder}/users")
+        unmatched = stored["events"].filter("product_sk IS NULL")
+        reports = [audit(name, raw[name], clean[name]) for name in cleaners]
+        reports += [
+            audit("clients", raw["client_first_purchase_date"], stored["clients"]),
+            audit("messages with a known campaign", clean["messages"], stored["messages"]),
+            audit("users", users, users),
+            audit("events without a product key", unmatched, unmatched),
+        ]
+        return _kept(union_all(reports))
+
+
+def load_models(spark: SparkSession, clean_folder: str, folder: str, forms: tuple[str, ...] = MODELS) -> DataFrame:
+    """Store the chosen models of a cleaned data set, each under ``folder``/<form>.
+
+    Returns the audit: what each foreign key dropped (table, key, n_rows, dropped), and with key
+    "rows" the size of each resolved table. Resolved tables are written once, and all forms are made
+    from them.
+    """
+    with table_scope(spark):
+        resolved, dropped = models.resolve_with_audit(read_clean(spark, clean_folder))
+        resolved = {name: materialise(df, name) for name, df in resolved.items()}
+        write_models(resolved, folder, forms)
+        sizes = row_counts(resolved).select(
+            F.col("name").alias("table"), F.lit("rows").alias("key"), F.col("n").alias("n_rows"), F.lit(0).cast("bigint").alias("dropped")
+        )
+        return _kept(dropped.unionByName(sizes))
+
+
+def _kept(report: DataFrame) -> DataFrame:
+    """A report of some rows that outlives the tables it was made from."""
+    return report.sparkSession.createDataFrame(report.collect(), report.schema)
 
 
 def write_models(resolved: dict[str, DataFrame], folder: str, forms: tuple[str, ...] = MODELS) -> None:

@@ -8,6 +8,7 @@ events (with product_sk) and friends.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parse import whole
 from ..operators.embed import embed
 from ..operators.integrity import keep_known
 from ..operators.keys import dense_keys
@@ -30,18 +31,36 @@ def resolve(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     Events get an event_month column, the layout column of event tables. Numbering leaves them
     sorted by time, so writing them by month makes few files per month.
     """
+    return resolve_with_audit(t)[0]
+
+
+def resolve_with_audit(t: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """``resolve``, and what each foreign key dropped: table, key, n_rows (before), dropped.
+
+    A key is checked on the rows that the keys before it kept.
+    """
+    counts = []
+
+    def known(name: str, child: DataFrame, keys: list[str], parent: str, parent_keys: list[str] = None, allow_null: bool = False):
+        kept = keep_known(child, keys, parents[parent], parent_keys, allow_null)
+        number = F.lit("+".join(keys)).alias("key")
+        before = child.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table"), number, "n_rows", F.lit(0).cast("long").alias("left"))
+        after = kept.agg(F.count("*").alias("left")).select(F.lit(name).alias("table"), number, F.lit(0).cast("long").alias("n_rows"), "left")
+        counts.extend([before, after])
+        return kept
+
     campaigns = keep_one(t["campaigns"].withColumnRenamed("id", "campaign_id"), ["campaign_id", "campaign_type"])
-    messages = keep_known(
-        t["messages"], ["campaign_id", "message_type"], campaigns, ["campaign_id", "campaign_type"]
-    )
-    messages = keep_known(messages, ["client_id"], t["clients"], allow_null=True)
-    events = keep_known(t["events"], ["user_id"], t["users"])
-    events = keep_known(events, ["product_sk"], t["products"])
+    parents = {**t, "campaigns": campaigns}
+    messages = known("messages", t["messages"], ["campaign_id", "message_type"], "campaigns", ["campaign_id", "campaign_type"])
+    messages = known("messages", messages, ["client_id"], "clients", allow_null=True)
+    events = known("events", t["events"], ["user_id"], "users")
+    events = known("events", events, ["product_sk"], "products")
     first = ["event_time", "user_id", "product_sk"]
     events = dense_keys(events, nulls_last(*first, *[c for c in events.columns if c not in first]), "event_id")
     friends = t["friends"].select(F.col("friend1").alias("user_id_1"), F.col("friend2").alias("user_id_2"))
-    friends = keep_known(keep_known(friends, ["user_id_1"], t["users"], ["user_id"]), ["user_id_2"], t["users"], ["user_id"])
-    return {
+    friends = known("friendships", friends, ["user_id_1"], "users", ["user_id"])
+    friends = known("friendships", friends, ["user_id_2"], "users", ["user_id"])
+    resolved = {
         "users": t["users"].select("user_id").distinct(),
         "clients": keep_one(t["clients"], ["client_id"]),
         "categories": t["categories"],
@@ -51,6 +70,8 @@ def resolve(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "events": events.withColumn("event_month", F.date_format("event_time", "yyyy-MM")),
         "friendships": friends,
     }
+    report = union_all(counts).groupBy("table", "key").agg(F.sum("n_rows").alias("n_rows"), F.sum("left").alias("left"))
+    return resolved, report.select("table", "key", "n_rows", (F.col("n_rows") - F.col("left")).alias("dropped"))
 
 
 # Layout column per table, for write_tables.
@@ -58,8 +79,8 @@ PARTITION_BY = {"events": "event_month"}
 
 
 def normalised(r: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Eight relational tables."""
-    whole = {c: F.col(c).try_cast("bigint") for c in ("total_count", "hour_limit", "subject_length") if c in r["campaigns"].columns}
+    """Eight relational tables. A count of a campaign that is no whole number becomes NULL."""
+    counts = {c: whole(F.col(c)) for c in ("total_count", "hour_limit", "subject_length") if c in r["campaigns"].columns}
     return {
         "users": r["users"],
         "clients": existing(r["clients"], ["client_id", "user_id", "user_device_id", "first_purchase_date"]),
@@ -67,7 +88,7 @@ def normalised(r: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "products": r["products"].select(
             "product_sk", "product_id", "category_sk", "brand", F.col("last_known_price").cast(MONEY).alias("last_known_price")
         ),
-        "campaigns": existing(r["campaigns"].withColumns(whole), CAMPAIGN_COLUMNS),
+        "campaigns": existing(r["campaigns"].withColumns(counts), CAMPAIGN_COLUMNS),
         "messages": existing(r["messages"], MESSAGE_COLUMNS),
         "events": existing(r["events"].withColumn("price", F.col("price").cast(MONEY)), [*EVENT_COLUMNS, "event_month"]),
         "friendships": r["friendships"],

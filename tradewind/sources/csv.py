@@ -14,19 +14,24 @@ NO_VALUE = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
     """The named columns as text, whatever their order in the file; "no value" texts become NULL.
 
+    A row with too many or too few fields fails the job, which is why all columns are parsed. Line
+    breaks inside quotes need ``multi_line``; a file is then read by one task, so keep files small.
+    Without it such a row is malformed and fails the job.
+
     Only the header line is read here, and every file of a folder must have the same one. Types are
     not inferred: that would cost a second pass over the file and would lose 't'/'f' flags and long ids.
     """
-    found = spark.read.csv(path, header=True, escape='"', enforceSchema=False)
+    options = {"header": True, "escape": '"', "enforceSchema": False, "mode": "FAILFAST", "columnPruning": False}
+    found = spark.read.options(**options, multiLine=multi_line).csv(path)
     return found.select(*[F.when(~F.col(c).isin(*NO_VALUE), F.col(c)).alias(c) for c in columns])
 
 
-def read_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def read_raw(spark: SparkSession, folder: str, multi_line: bool = False) -> dict[str, DataFrame]:
     """The five raw files of a data set."""
-    return {name: read_csv(spark, f"{folder}/{name}.csv", columns) for name, columns in RAW.items()}
+    return {name: read_csv(spark, f"{folder}/{name}.csv", columns, multi_line) for name, columns in RAW.items()}
 
 
 _CONVERSIONS = {
@@ -50,5 +55,7 @@ def read_typed_csv(spark: SparkSession, path: str, schema: str, columns: list[st
 
 
 def read_clean_csv(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The eight cleaned tables, kept as CSV files."""
-    return {name: read_typed_csv(spark, f"{folder}/{name}.csv", schema) for name, schema in CLEAN.items()}
+    """The eight cleaned tables, kept as CSV files; events there have no category_sk."""
+    columns = {name: [field.split(" ")[0] for field in schema.split(", ")] for name, schema in CLEAN.items()}
+    columns["events"].remove("category_sk")
+    return {name: read_typed_csv(spark, f"{folder}/{name}.csv", schema, columns[name]) for name, schema in CLEAN.items()}

@@ -13,6 +13,8 @@ from ..schemas import CAMPAIGN_FLAGS, MESSAGE_FLAGS, MESSAGE_TIMES, RAW
 BASE = ["nation", "customer", "part", "orders", "lineitem"]
 
 KEYWORDS = ["ring", "widget", "bolt", "gear"]
+PHRASES = ["hard_ring", "Hard Widget", "hard.bolt", "ring hard", "_", "gear"]
+SEGMENTS = ["RING", "Widgets", "HARD_bolt", "economy.gear", "rin"]
 
 
 def _dirty_flag(key: str, shift: int) -> str:
@@ -57,7 +59,7 @@ _RAW_CAMPAIGN = {
     "finished_at": "CASE WHEN campaign_id % 3 = 0 THEN NULL ELSE '2021-05-01 08:00:00' END",
     "total_count": "CASE WHEN campaign_id % 6 = 0 THEN 'many' ELSE CAST(campaign_id * 10 AS STRING) || '.0' END",
     **{c: _dirty_flag("campaign_id", i) for i, c in enumerate(CAMPAIGN_FLAGS)},
-    "hour_limit": "CASE WHEN campaign_id % 4 = 0 THEN '24' WHEN campaign_id % 4 = 1 THEN '1.5' ELSE NULL END",
+    "hour_limit": "CASE WHEN campaign_id % 4 = 0 THEN '24' WHEN campaign_id % 8 = 1 THEN '1.5' WHEN campaign_id % 8 = 5 THEN '2.5f' ELSE NULL END",
     "subject_length": "CASE WHEN campaign_id % 9 = 0 THEN '-' ELSE CAST(40 + campaign_id AS STRING) END",
     "position": "CASE WHEN campaign_id % 2 = 0 THEN ' Top' ELSE NULL END",
 }
@@ -115,14 +117,16 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_
     "raw_messages": f"""
 SELECT {_columns(RAW["messages"], _RAW_MESSAGE)}
 FROM (SELECT *, '' AS suffix FROM orders UNION ALL SELECT *, '-b' AS suffix FROM orders WHERE o_orderkey % 50 = 0) o""",
-    # UTC suffix, case, blanks, bad, negative and missing prices; whole-row duplicates.
+    # UTC suffix or offset, case, blanks, bad (also number-like), negative and missing prices; whole-row duplicates.
     "raw_events": """
-SELECT CAST(l_shipdate AS STRING) || ' UTC' AS event_time,
+SELECT CAST(l_shipdate AS STRING) || CASE l_orderkey % 23 WHEN 3 THEN '+05:30' WHEN 7 THEN '-03:00' ELSE ' UTC' END AS event_time,
        CASE l_returnflag WHEN 'R' THEN ' Purchase' WHEN 'A' THEN 'CART' ELSE 'view ' END AS event_type,
        CAST(l_partkey AS STRING) AS product_id, CAST(l_partkey % 7 AS STRING) AS category_id,
        CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE ' Tools.' || CASE l_partkey % 3 WHEN 0 THEN 'Light' ELSE 'saw ' END END AS category_code,
        CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE ' Brand#' || CAST(l_partkey % 13 AS STRING) END AS brand,
-       CASE l_orderkey % 5 WHEN 0 THEN 'abc' WHEN 1 THEN '-3' WHEN 2 THEN NULL ELSE CAST(l_quantity AS STRING) END AS price,
+       CASE l_orderkey % 5 WHEN 0 THEN 'abc' WHEN 1 THEN '-3' WHEN 2 THEN NULL
+         ELSE CASE l_orderkey % 19 WHEN 1 THEN '12d' WHEN 2 THEN '2.5f' WHEN 3 THEN '0x1p3' WHEN 4 THEN '1.5e2' ELSE CAST(l_quantity AS STRING) END
+       END AS price,
        CASE WHEN l_orderkey % 31 = 0 THEN NULL ELSE CAST(l_orderkey % 150 AS STRING) END AS user_id,
        ' s-' || CAST(l_suppkey AS STRING) || ' ' AS user_session
 FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 20 = 0) l""",
