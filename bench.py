@@ -12,6 +12,7 @@ import tempfile
 import time
 
 from registry.queries import resolved_tables
+from tradewind.operators.storage import table_scope
 from tradewind.plans.analyses import ANALYSES, analyse
 from tradewind.plans.load import MODELS, tables_of, write_models
 from tradewind.session import local_session
@@ -39,11 +40,12 @@ def main() -> None:
     spark = local_session(CPUS, "tradewind-bench")
     loaded = {}
     load_time = seconds(lambda: loaded.update(load(spark, tempfile.mkdtemp(prefix="tradewind-bench-"))))
-    runs = {
-        f"{name}_{form}": lambda name=name, form=form: analyse(name, form, loaded[form], KEYWORDS).collect()
-        for name in ANALYSES
-        for form in MODELS
-    }
+
+    def run_one(name: str, form: str):
+        with table_scope(spark):
+            return analyse(name, form, loaded[form], KEYWORDS).collect()
+
+    runs = {f"{name}_{form}": lambda name=name, form=form: run_one(name, form) for name in ANALYSES for form in MODELS}
     for run in runs.values():
         run()
     timings = {name: round(statistics.mean(seconds(run) for _ in range(RUNS)), 3) for name, run in runs.items()}
