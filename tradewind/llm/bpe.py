@@ -15,7 +15,6 @@ An id beyond the vocabulary raises an error.
 
 import base64
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 LEAF = 24  # bytes that are merged directly
-CACHE = 400_000  # different pieces that a task remembers
+CACHE = 200_000  # different pieces that a task remembers
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -128,27 +127,24 @@ def _coder(shared, pattern: str) -> Bpe:
     return _coders[key]
 
 
-def _with_column(batch: pa.RecordBatch, name: str, values: list) -> Iterator[pa.RecordBatch]:
-    """The batch with a binary column put in, in parts that stay below Arrow's limit of a column."""
-    names = [n for n in batch.schema.names if n != name]
-    start = taken = 0
-    for i, value in enumerate([*values, None]):
-        if i == len(values) or taken + len(value) > 1 << 28 and i > start:
-            if i > start:
-                part = batch.select(names).slice(start, i - start)
-                columns = [*part.columns, pa.array(values[start:i], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, name])
-            start, taken = i, 0
-        taken += len(value or b"")
+OUT_BYTES = 8 << 20  # of a column that a task holds before it hands it on
 
 
 def _mapped(docs: DataFrame, name: str, source: str, change) -> DataFrame:
+    """``docs`` with a binary column made from another, a few MB at a time."""
     fields = [f for f in docs.schema.fields if f.name != name]
 
     def run(batches):
         for batch in batches:
-            values = [change(v) for v in batch.column(batch.schema.names.index(source)).to_pylist()]
-            yield from _with_column(batch, name, values)
+            values, old = batch.column(batch.schema.names.index(source)), batch.select([f.name for f in fields])
+            start, made, taken = 0, [], 0
+            for i in range(batch.num_rows):
+                made.append(change(values[i].as_py()))
+                taken += len(made[-1])
+                if taken >= OUT_BYTES or i + 1 == batch.num_rows:
+                    columns = [*old.slice(start, len(made)).columns, pa.array(made, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*old.schema.names, name])
+                    start, made, taken = i + 1, [], 0
 
     return docs.mapInArrow(run, T.StructType([*fields, T.StructField(name, T.BinaryType())]))
 
