@@ -8,8 +8,9 @@ all copies of each of them. The steps:
    anchor that occurs once belongs to windows that stand once. Most text ends here.
 2. Runs of windows with the same living anchor are written out as segments, equal segments of a
    block once, with their places. An anchor that occurs more than ``hot`` times (a common phrase)
-   would make an unbounded group; its windows are dealt again by a hash of the whole window, so that
-   a group holds copies of one window, which are counted before they move.
+   would make an unbounded group; its windows are asked about again, each by a hash of the whole
+   window, and those that repeat are dealt by it, so that a group holds copies of one window, which
+   are counted before they move. Only these stretches of text are written out for that.
 3. Segments are grouped into shards of a few MB. An index over a shard's different segments, with
    the number of copies of each, tells which of their windows stand twice or more.
 4. The answers go back to the segments' places, and each block marks what they cover.
@@ -200,79 +201,98 @@ def repeated_windows(
 
     replies = known(blocks.mapInPandas(asked, "part int, block long, ask binary"))
 
-    def segment_rows(number, kind, split, chosen) -> pd.DataFrame:
-        """Segments (anchor, first unit, windows) of a block, equal ones in one row with all places."""
+    def segment_rows(number, kind, split, bases, chosen) -> pd.DataFrame:
+        """Segments (key, first unit, windows) of pieces of text, equal ones in one row with all places.
+
+        ``bases`` says which document each piece is of, and where it begins in it.
+        """
         ends = np.cumsum([len(s) for s in split])
         rows: dict[bytes, list] = {}
-        docs_of = np.searchsorted(ends, chosen[1], "right")
-        firsts = chosen[1] - np.append(0, ends)[docs_of]
-        for anchor, doc, first, n in zip(*(x.tolist() for x in (chosen[0], docs_of, firsts, chosen[2])), strict=True):
-            segment = kind.joined(split[doc][first : first + n + size - 1])
-            row = rows.setdefault(xxhash.xxh3_128_digest(segment), [anchor, segment, n, []])
-            row[3].append((doc, first))
+        pieces = np.searchsorted(ends, chosen[1], "right")
+        firsts = chosen[1] - np.append(0, ends)[pieces]
+        for key, piece, first, n in zip(*(x.tolist() for x in (chosen[0], pieces, firsts, chosen[2])), strict=True):
+            segment = kind.joined(split[piece][first : first + n + size - 1])
+            row = rows.setdefault(xxhash.xxh3_128_digest(segment), [key, segment, []])
+            row[2].append((bases[piece][0], bases[piece][1] + first))
         return pd.DataFrame(
             {
+                "kind": "segment",
                 "block": number,
                 "key": np.array([r[0] for r in rows.values()], np.uint64).view(np.int64),
                 "digest": list(rows),
                 "segment": [r[1] for r in rows.values()],
-                "copies": [len(r[3]) for r in rows.values()],
-                "places": [dump(np.array(r[3], np.int64)) for r in rows.values()],
+                "copies": [len(r[2]) for r in rows.values()],
+                "places": [dump(np.array(r[2], np.int64)) for r in rows.values()],
             }
         )
 
-    schema = "block long, key long, digest binary, segment binary, copies long, places binary"
-
-    def living(payload: bytes, replied: dict[int, bytes]):
-        kind, split, codes = of_block(payload)
-        anchors, starts, lengths, chosen = runs_of(codes, [len(s) for s in split], size, gram)
-        unique = np.unique(chosen)
-        states = _states(unique, replied, parts)
-        return kind, split, codes, (anchors, starts, lengths), states[np.searchsorted(unique, anchors)] if len(unique) else states
+    def hot_rows(number, kind, split, codes, runs) -> list[pd.DataFrame]:
+        """Stretches of windows with hot anchors, and what is asked about each of their windows."""
+        at = np.concatenate([np.arange(s, s + n) for s, n in zip(runs[1].tolist(), runs[2].tolist(), strict=True)])
+        ends = np.cumsum([len(s) for s in split])
+        pieces = np.searchsorted(ends, at, "right")
+        # windows of one document in a row make a stretch; those of two documents are never neighbours
+        cuts = np.append(0, np.nonzero(np.diff(at) != 1)[0] + 1)
+        lengths = np.diff(np.append(cuts, len(at)))
+        firsts = (at - np.append(0, ends)[pieces])[cuts]
+        stretches = list(zip(pieces[cuts].tolist(), firsts.tolist(), lengths.tolist(), strict=True))
+        texts = [kind.joined(split[doc][first : first + n + size - 1]) for doc, first, n in stretches]
+        places = [dump(np.array([[doc, first]], np.int64)) for doc, first, _ in stretches]
+        asks = _ask_rows(number, window_hashes(codes, at, size), parts)
+        return [
+            pd.DataFrame({"kind": "stretch", "block": number, "segment": texts, "places": places}),
+            pd.DataFrame({"kind": "ask", "block": number, "part": asks["part"], "segment": asks["ask"]}),
+        ]
+
+    columns = ["kind", "block", "key", "digest", "segment", "copies", "places", "part"]
+    schema = "kind string, block long, key long, digest binary, segment binary, copies long, places binary, part int"
+
+    def written(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        whole = pd.concat([f.astype(object) for f in frames]) if frames else pd.DataFrame()
+        return whole.reindex(columns=columns).astype(object).where(lambda x: x.notna(), None)
 
     def segments(block: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
-        frames = []
+        frames, replied = [], dict(zip(reply["part"], reply["reply"], strict=True))
         for number, payload in zip(block["block"], block["payload"], strict=True):
-            kind, split, _, runs, states = living(payload, dict(zip(reply["part"], reply["reply"], strict=True)))
-            frames.append(segment_rows(number, kind, split, [x[states == 1] for x in runs]))
-        return pd.concat(frames) if frames else pd.DataFrame()
-
-    def joined(right: DataFrame):
-        return blocks.select("block", "payload").groupBy("block").cogroup(right.groupBy("block"))
-
-    found = materialise(joined(replies).applyInPandas(segments, schema), "segments")
+            kind, split, codes = of_block(payload)
+            anchors, starts, lengths, chosen = runs_of(codes, [len(s) for s in split], size, gram)
+            unique = np.unique(chosen)
+            states = _states(unique, replied, parts)[np.searchsorted(unique, anchors)] if len(unique) else np.zeros(0, np.uint8)
+            runs, bases = (anchors, starts, lengths), [(i, 0) for i in range(len(split))]
+            frames.append(segment_rows(number, kind, split, bases, [x[states == 1] for x in runs]))
+            if (states == 2).any():
+                frames += hot_rows(number, kind, split, codes, [x[states == 2] for x in runs])
+        return written(frames)
+
+    def joined(left: DataFrame, right: DataFrame):
+        return left.groupBy("block").cogroup(right.groupBy("block"))
+
+    packed = blocks.select("block", "payload")
+    stored = materialise(joined(packed, replies).applyInPandas(segments, schema), "segments")
+    found = stored.where("kind = 'segment'").select("block", "key", "digest", "segment", "copies", "places")
     grouped = found.select("key", "digest", "segment", "copies")
 
-    is_hot = F.contains(F.col("reply"), F.lit(b"\x02"))
-    if replies.where(is_hot).limit(1).count():
-        # the windows of hot anchors, each by itself
-        def hot_windows(payload, replied):
-            kind, split, codes, (_, starts, lengths), states = living(payload, replied)
-            at = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[states == 2].tolist(), lengths[states == 2].tolist(), strict=True)] or [np.zeros(0, np.int64)])
-            hashes = _sliced_hashes(codes, at, size)
-            return kind, split, at, hashes
-
-        def hot_asked(block: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
-            frames = [
-                _ask_rows(number, hot_windows(payload, dict(zip(reply["part"], reply["reply"], strict=True)))[3], parts)
-                for number, payload in zip(block["block"], block["payload"], strict=True)
-            ]
-            return pd.concat(frames) if frames else pd.DataFrame()
-
-        second = known(joined(replies).applyInPandas(hot_asked, "part int, block long, ask binary"))
-        both = replies.withColumn("level", F.lit(1)).unionByName(second.withColumn("level", F.lit(2)))
-
-        def hot_segments(block: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
-            frames = []
-            for number, payload in zip(block["block"], block["payload"], strict=True):
-                first, later = (dict(zip(r["part"], r["reply"], strict=True)) for r in (reply[reply["level"] == 1], reply[reply["level"] == 2]))
-                kind, split, at, hashes = hot_windows(payload, first)
-                unique = np.unique(hashes)
-                repeated = _states(unique, later, parts)[np.searchsorted(unique, hashes)] > 0 if len(unique) else np.zeros(0, bool)
-                frames.append(segment_rows(number, kind, split, [hashes[repeated], at[repeated], np.ones(int(repeated.sum()), np.int64)]))
-            return pd.concat(frames) if frames else pd.DataFrame()
-
-        more = materialise(joined(both).applyInPandas(hot_segments, schema), "hot-segments")
+    asks = stored.where("kind = 'ask'").select("part", "block", F.col("segment").alias("ask"))
+    if asks.limit(1).count():
+
+        def hot_segments(stretch: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
+            if not len(stretch):
+                return pd.DataFrame()
+            kind = units()
+            split = [kind.split(t) for t in stretch["segment"]]
+            codes = np.concatenate([kind.hashed(s) for s in split])
+            bases = [tuple(load(p)[0][0].tolist()) for p in stretch["places"]]
+            ends = np.cumsum([len(s) for s in split]).tolist()
+            at = np.concatenate([np.arange(e - len(s), e - size + 1) for s, e in zip(split, ends, strict=True)])
+            hashes = window_hashes(codes, at, size)
+            unique = np.unique(hashes)
+            replied = dict(zip(reply["part"], reply["reply"], strict=True))
+            repeated = _states(unique, replied, parts)[np.searchsorted(unique, hashes)] > 0
+            chosen = [hashes[repeated], at[repeated], np.ones(int(repeated.sum()), np.int64)]
+            return written([segment_rows(stretch["block"].iloc[0], kind, split, bases, chosen)])
+
+        stretches = stored.where("kind = 'stretch'").select("block", "segment", "places")
+        more = materialise(joined(stretches, known(asks)).applyInPandas(hot_segments, schema), "hot-segments").select(found.columns)
         counted = more.groupBy("key", "digest", "segment").agg(F.sum("copies").alias("copies"))
         grouped, found = grouped.unionByName(counted), found.unionByName(more)
 
@@ -309,10 +329,10 @@ def repeated_windows(
 
     kind = docs.schema[id].dataType.simpleString()
     schema_out = f"id {kind}, n_units long, n_removed long, starts array<long>, ends array<long>, kept binary"
-    return joined(marks).applyInPandas(removed, schema_out).withColumnRenamed("id", id)
+    return joined(packed, marks).applyInPandas(removed, schema_out).withColumnRenamed("id", id)
 
 
-def _sliced_hashes(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """Hashes of the windows that start at the given units."""
     result = np.zeros(len(at), np.uint64)
     for first in range(0, len(at), STRETCH):
