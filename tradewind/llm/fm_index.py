@@ -31,7 +31,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         later = np.zeros(len(rank), np.int64)
         later[:-span] = rank[span:] + 1
         key = rank * (len(rank) + 1) + later
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
         rank = np.empty(len(order), np.int64)
         rank[order] = fresh
