@@ -1,6 +1,7 @@
 """Licence scans, against plain cosines and hand-made trees."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -94,3 +95,58 @@ def test_ties_and_own_templates(spark):
     docs = spark.createDataFrame([("d/one", "beta rule\nalpha rule"), ("d/two", "gamma")], "path string, text string")
     found = licenses.scan_licenses(docs, templates={"b": ["beta rule"], "a": ["alpha rule"]})
     assert {(r["path"], r["license"]) for r in found.collect()} == {("d/one", "b"), ("d/two", "b")}
+
+
+APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
+    "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+    "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS."
+)
+
+
+def wrapped(text, mark="", width=6):
+    parts = text.split()
+    return "\n".join(mark + " ".join(parts[i : i + width]) for i in range(0, len(parts), width))
+
+
+def matcher(texts, templates, threshold=licenses.THRESHOLD):
+    known = {w for ts in templates.values() for t in ts for w in words(t)}
+    held = Counter(w for t in texts for w in set(words(t)) & known)
+    return licenses.Matcher(templates, len(texts), held, threshold)
+
+
+@pytest.mark.parametrize("code", [0, 5, 100, 5000])
+@pytest.mark.parametrize("mark", ["# ", " * ", ""])
+def test_a_wrapped_header_is_found_at_every_length(code, mark):
+    header = licenses.TEMPLATES["GPL-3.0"][1]
+    text = f"{wrapped(header, mark)}\n" + "\n".join(f"x{i} = y{i % 7}" for i in range(code))
+    found = matcher([text, *["other words"] * 99], {"GPL-3.0": [header], "MIT": licenses.TEMPLATES["MIT"]}).scan(text)
+    assert found[0] == "GPL-3.0" and found[1] > 0.99
+    assert (found[3] >= licenses.FILE_SHARE) == (len(words(header)) / len(words(text)) >= licenses.FILE_SHARE)
+
+
+def test_a_licence_text_with_an_appendix_is_a_licence_file():
+    body = " ".join(f"clause{i % 90} of the terms{i % 40} grants{i % 11} to you" for i in range(300))
+    more = " ".join(f"appendix{i}" for i in range(len(words(body)) * 3 // 2))
+    text = wrapped(f"Copyright 2020 somebody else {body} {more}", width=10)
+    found = matcher([text, *["other words"] * 99], {"own": [body], "proprietary": ["All rights reserved."]}).scan(text)
+    assert found[0] == "own" and found[3] == pytest.approx(0.4, abs=0.01)
+
+
+def test_a_short_notice_inside_a_licence_text_gives_way():
+    templates = {"long": [APACHE], "proprietary": ["All rights reserved."]}
+    text = f"All rights reserved.\n{wrapped(APACHE.replace('agreed', 'settled'))}"
+    assert matcher([text, *["other words"] * 99], templates).scan(text)[0] == "long"
+    assert matcher([text, *["other words"] * 99], templates).scan("All rights reserved.\nno more")[0] == "proprietary"
+
+
+def test_windows_equal_plain_cosines():
+    rng = random.Random(5)
+    for _ in range(30):
+        text = [rng.choice("abcdefg") for _ in range(rng.randrange(1, 60))]
+        template = [rng.choice("abcdx") for _ in range(rng.randrange(1, 9))]
+        m = matcher([" ".join(text), "a b", "c"], {"t": [" ".join(template)]}, threshold=0.05)
+        size = min(len(template), len(text))
+        every = [c for i in range(len(text) - size + 1) for _, c in m.cosines(text[i : i + size], [0])]
+        whole = [c for _, c in m.cosines(text, [0])]
+        assert m.scan(" ".join(text))[1] == (max(every + whole) if every + whole else None)

@@ -1,24 +1,31 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of a file, and a short file as a whole, is compared with every template: words weigh
-their count times ln((1 + N) / (1 + n)) + 1, where n of all N files hold the word. A word that no
-template has weighs as if no file held it, so only the templates' words are counted. The best match
-at or above ``threshold`` is the file's own licence. A file that says little else (its notice makes
-up ``file_share`` of its words) is a licence file, and speaks for its directory. A file without a
+Every block of a file is compared with every template, whatever the file's length: each line, each run
+of lines that are not blank, each run of comment lines, the whole text, and all windows of a
+template's number of words. Words weigh their count times ln((1 + N) / (1 + n)) + 1, where n of all N
+files hold the word. A word that no template has weighs as if no file held it, so only the templates'
+words are counted. The best match at or above ``threshold`` is the file's own licence; a match with a
+licence text or long header (``LONG`` words or more) goes before shorter notices, which often stand
+inside one. A file that says little else (the largest of the best blocks for its licence's templates
+makes up ``file_share`` of its words) is a licence file, and speaks for its directory. A file without a
 licence of its own inherits from the nearest directory above it that has a licence file; of several
 there the best match counts, then the licence's name. Directories are resolved once each, before
 files are joined with them, so a directory with a third of all files costs one row.
 
+Blocks are compared only with templates that they can match: a cosine is at most the share of the
+template's length that lies in words the file has, which rules most templates out for most files.
+
 Defined results: NULL text has no licence; a NULL path is a file in no directory; ties between
-templates go to the first in alphabetical order, between lines to the first line. Repeated rows are
-files of their own; an empty table gives no rows; other columns pass through, and a column with the
-name of a result is replaced.
+templates go to the first in alphabetical order, between blocks to the first of lines, runs, comment
+runs, the whole and windows. Repeated rows are files of their own; an empty table gives no rows; other
+columns pass through, and a column with the name of a result is replaced.
 """
 
 import math
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +36,10 @@ from .columns import field, packed, unpacked
 
 THRESHOLD = 0.75
 FILE_SHARE = 0.3
+LONG = 30
 _WORD = re.compile(r"[a-z0-9]+")
+_COMMENT = re.compile(r"\s*(?:#|//|/?\*|--|;|%|<!--|\.\.\s|(?:rem|dnl)\b)")
+_SLACK = 1e-6  # of bounds worked out with running sums
 
 # Usual one-paragraph notices.
 TEMPLATES = {
@@ -55,6 +65,45 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """Lines, runs of lines that are not blank, runs of comment lines and the whole, as ranges of words."""
+    lines = text.split("\n")
+    at = np.cumsum([0, *(len(_WORD.findall(line)) for line in lines)]).tolist()
+    found = list(zip(at, at[1:], strict=False))
+    for inside in ([bool(line.strip()) for line in lines], [_COMMENT.match(line) is not None for line in lines]):
+        edges = [i for i, (a, b) in enumerate(zip([False, *inside], [*inside, False], strict=True)) if a != b]
+        found += [(at[i], at[j]) for i, j in zip(edges[::2], edges[1::2], strict=True)]
+    return [(i, j) for i, j in dict.fromkeys([*found, (0, at[-1])]) if i < j]
+
+
+class _Windows:
+    """The squared lengths of all windows of so many words."""
+
+    def __init__(self, words: list[str], squares: np.ndarray):
+        numbers = {}
+        self.squares, self.n = squares, len(words)
+        self.ids = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+        self.places = self.ids * (self.n + 1) + np.arange(self.n)
+        order = np.argsort(self.places)
+        self.sorted = self.places[order]
+        self.rank = np.empty(self.n, np.int64)
+        self.rank[order] = np.arange(self.n)
+
+    def lengths(self, size: int) -> np.ndarray:
+        """Of windows from each word that has ``size`` words from it on.
+
+        A word that leaves or comes takes or adds its weight squared times 2 c - 1, c being its count
+        with itself.
+        """
+        at, base = np.arange(self.n), self.ids * (self.n + 1)
+        ahead = np.searchsorted(self.sorted, base + np.minimum(at + size, self.n)) - self.rank
+        behind = self.rank + 1 - np.searchsorted(self.sorted, base + np.maximum(at - size + 1, 0))
+        add = self.squares * (2 * behind - 1)
+        take = self.squares * (2 * ahead - 1)
+        steps = add[size:] - take[: self.n - size]
+        return np.cumsum(np.concatenate([[add[:size].sum()], steps]))
+
+
 class Matcher:
     def __init__(self, templates: dict[str, list[str]], files: int, holding: dict[str, int], threshold: float):
         weigh = lambda n: math.log((1 + files) / (1 + n)) + 1
@@ -62,40 +111,72 @@ class Matcher:
         self.templates = [(name, Counter(_words(t))) for name, texts in sorted(templates.items()) for t in texts]
         self.weights = {w: weigh(holding.get(w, 0)) for _, counts in self.templates for w in counts}
         self.norms = [math.sqrt(sum((n * self.weights[w]) ** 2 for w, n in counts.items())) for _, counts in self.templates]
-        self.longest = 2 * max((sum(counts.values()) for _, counts in self.templates), default=0)
-
-    def match(self, words: list[str]) -> tuple[float, str | None]:
-        """The best cosine and its licence, if at or above the threshold."""
-        weights = self.weights
-        shared = [w for w in words if w in weights]
-        # the cosine is at most the length of the shared part by the whole length
-        part = sum(weights[w] ** 2 for w in set(shared))
-        if not shared or len(shared) < len(words) and part * len(shared) ** 2 < self.threshold**2 * (len(words) - len(shared)) * self.other**2:
-            return 0.0, None
-        counts = Counter(words)
-        norm = math.sqrt(sum((n * weights.get(w, self.other)) ** 2 for w, n in counts.items()))
-        best = (0.0, None)
-        for (name, template), length in zip(self.templates, self.norms, strict=True):
-            dot = sum(n * counts[w] * weights[w] ** 2 for w, n in template.items() if w in counts)
-            cosine = round(dot / (norm * length), 12)
-            if cosine >= self.threshold and cosine > best[0]:
-                best = (cosine, name)
-        return best
+        self.sizes = [sum(counts.values()) for _, counts in self.templates]
+        self.ids = {w: i for i, w in enumerate(self.weights)}
+        # one row per word, the last for all words that no template has
+        self.squares = np.array([*(v**2 for v in self.weights.values()), self.other**2])
+        self.parts = np.zeros((len(self.ids) + 1, len(self.templates)))
+        for t, (_, counts) in enumerate(self.templates):
+            for w, n in counts.items():
+                self.parts[self.ids[w], t] = n * self.weights[w] ** 2 / self.norms[t]
+        self.shares = self.parts**2 / self.squares[:, None]
+
+    def cosines(self, words: list[str], wanted) -> list[tuple[int, float]]:
+        """The cosines at or above the threshold, of the templates ``wanted``."""
+        counts, found = Counter(words), []
+        norm = math.sqrt(sum((n * self.weights.get(w, self.other)) ** 2 for w, n in counts.items()))
+        for t in wanted:
+            template = self.templates[t][1]
+            dot = sum(n * template[w] * self.weights[w] ** 2 for w, n in counts.items() if w in template)
+            cosine = round(dot / (norm * self.norms[t]), 12)
+            if cosine >= self.threshold and cosine > 0:
+                found.append((t, cosine))
+        return found
+
+    def matches(self, text: str, words: list[str]):
+        """Every block that matches a template, and the best window of each template, as (template, cosine, words)."""
+        wanted = np.flatnonzero(self.shares[[self.ids[w] for w in self.ids.keys() & set(words)]].sum(axis=0) >= self.threshold**2 - _SLACK)
+        if not len(wanted):
+            return
+        rows = np.array([self.ids.get(w, len(self.ids)) for w in words])
+        sums = lambda values: np.concatenate([[0.0], np.cumsum(values)])
+        dots = {t: sums(self.parts[rows, t]) for t in wanted.tolist()}
+        squares = self.squares[rows]
+        lengths, windows = sums(squares), None  # at most the squared length, as if no word came twice
+        least = (self.threshold - _SLACK) ** 2
+        blocks = _blocks(text)
+        start, stop = np.array(blocks).T
+        able = np.array([(d[stop] - d[start]) ** 2 >= least * (lengths[stop] - lengths[start]) for d in dots.values()])
+        for b in np.flatnonzero(able.any(axis=0)).tolist():
+            i, j = blocks[b]
+            for t, cosine in self.cosines(words[i:j], wanted[able[:, b]].tolist()):
+                yield t, cosine, j - i
+        for t, d in dots.items():
+            size = self.sizes[t]
+            if size >= len(words):
+                continue  # the whole text is no longer
+            dot = d[size:] - d[:-size]
+            if (dot**2 < least * (lengths[size:] - lengths[:-size])).all():
+                continue
+            windows = windows or _Windows(words, squares)
+            cosine = dot / np.sqrt(windows.lengths(size))
+            i = int(np.argmax(cosine >= cosine.max() - 1e-9))
+            for _, exact in self.cosines(words[i : i + size], [t]):
+                yield t, exact, size
 
     def scan(self, text: str | None) -> tuple[str | None, float | None, bool, float]:
-        """Licence, cosine, whether found, and the notice's share of the words."""
-        best, size, total, every = (0.0, None), 0, 0, []
-        for line in (text or "").split("\n"):
-            words = _words(line)
-            total += len(words)
-            if total <= self.longest:
-                every += words
-            found = self.match(words)
-            if found[0] > best[0]:
-                best, size = found, len(words)
-        if total <= self.longest and (whole := self.match(every))[0] > best[0]:
-            best, size = whole, total
-        return best[1], best[0] or None, best[1] is not None, size / total if total else 0.0
+        """Licence, cosine, whether found, and the share of the words in the largest block of the licence."""
+        text = (text or "").lower()
+        words = _words(text)
+        best, license, blocks = (False, 0.0), None, {}
+        for t, cosine, size in self.matches(text, words):
+            order = (self.sizes[t] >= LONG, cosine)
+            if order > best:
+                best, license = order, self.templates[t][0]
+            if cosine > blocks.get(t, (0.0, 0))[0]:
+                blocks[t] = (cosine, size)
+        largest = max((size for t, (_, size) in blocks.items() if self.templates[t][0] == license), default=0)
+        return license, best[1] or None, license is not None, largest / len(words) if license else 0.0
 
 
 def scan_licenses(
