@@ -150,3 +150,44 @@ def test_windows_equal_plain_cosines():
         every = [c for i in range(len(text) - size + 1) for _, c in m.cosines(text[i : i + size], [0])]
         whole = [c for _, c in m.cosines(text, [0])]
         assert m.scan(" ".join(text))[1] == (max(every + whole) if every + whole else None)
+
+
+def reworded(name):
+    """The licence's text with a title, another holder, other line ends and every 40th word changed."""
+    text = licenses.TEMPLATES[name][-1].replace("<year>", "2019").replace("<owner>", "Some Company Ltd.")
+    parts = [f"changed{i}" if i % 40 == 17 else w for i, w in enumerate(text.split())]
+    return f"All rights reserved.\n\n{wrapped(' '.join(parts), width=11)}"
+
+
+TEXTS = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
+
+
+def test_licence_texts_speak_for_their_directories(spark):
+    body = "some words that say nothing of the kind and go on for a while so that no notice fills a third of it"
+    rows = [row for n in TEXTS for row in ((f"{n}/LICENSE", reworded(n)), (f"{n}/src/file", body))]
+    rows += [(f"other/{i}/file", f"{body} {i}") for i in range(200)]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()
+    got = {r["path"]: (r["license"], r["is_license_file"], r["inherited_from"]) for r in found}
+    assert {n: got[f"{n}/LICENSE"] for n in TEXTS} == {n: (n, True, None) for n in TEXTS}
+    assert {n: got[f"{n}/src/file"] for n in TEXTS} == {n: (n, False, n) for n in TEXTS}
+    assert all(got[f"other/{i}/file"] == (None, False, None) for i in range(200))
+
+
+@pytest.mark.parametrize(
+    "notice, name",
+    [
+        ("// SPDX-License-Identifier: MIT", "MIT"),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) */", "GPL-2.0"),
+        ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+        ("# SPDX-License-Identifier: Zlib", None),
+        ("# Copyright 2015 The Authors. All rights reserved.\n# Use of this source code is governed by a BSD-style\n# license that can be found in the LICENSE file.", "BSD-3-Clause"),
+        ("# you may not use this file except in compliance with the License, Version 2.0 of the Apache License;\n# it is distributed on an AS IS BASIS, without\n# warranties or conditions of any kind. You may obtain a copy of\n# the License at apache.org/licenses/LICENSE-2.0 and see it for the specific language governing permissions", "Apache-2.0"),
+        ("/* It is free software: you can redistribute it and modify it under\n * the terms of the GNU Affero General Public License as\n * published by the Free Software Foundation, version 3 of the License, or\n * any later version. */", "AGPL-3.0"),
+        ("This file is licensed\nunder the MIT license", "MIT"),
+    ],
+)
+def test_tags_and_reworded_notices_in_longer_files(notice, name):
+    code = "\n".join(f"x{i} = y{i % 7} + call{i % 5}(z)" for i in range(300))
+    texts = [f"{notice}\n{code}", f"{code}\n{notice}\n{code}", *[f"other words {i}" for i in range(200)]]
+    m = matcher(texts, licenses.TEMPLATES)
+    assert [m.scan(t)[0] for t in texts[:2]] == [name, name] and not m.scan(texts[0])[3] >= licenses.FILE_SHARE

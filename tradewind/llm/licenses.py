@@ -6,8 +6,9 @@ template's number of words. Words weigh their count times ln((1 + N) / (1 + n))
 files hold the word. A word that no template has weighs as if no file held it, so only the templates'
 words are counted. The best match at or above ``threshold`` is the file's own licence; a match with a
 licence text or long header (``LONG`` words or more) goes before shorter notices, which often stand
-inside one. A file that says little else (the largest of the best blocks for its licence's templates
-makes up ``file_share`` of its words) is a licence file, and speaks for its directory. A file without a
+inside one, and an SPDX tag, which counts as an exact match, goes between the two. A file that says
+little else (the largest of the best blocks of each template makes up ``file_share`` of its words) is a
+licence file, and speaks for its directory. A file without a
 licence of its own inherits from the nearest directory above it that has a licence file; of several
 there the best match counts, then the licence's name. Directories are resolved once each, before
 files are joined with them, so a directory with a third of all files costs one row.
@@ -24,6 +25,7 @@ columns pass through, and a column with the name of a result is replaced.
 import math
 import re
 from collections import Counter
+from importlib.resources import files as resources
 
 import numpy as np
 import pandas as pd
@@ -41,24 +43,74 @@ _WORD = re.compile(r"[a-z0-9]+")
 _COMMENT = re.compile(r"\s*(?:#|//|/?\*|--|;|%|<!--|\.\.\s|(?:rem|dnl)\b)")
 _SLACK = 1e-6  # of bounds worked out with running sums
 
-# Usual one-paragraph notices.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License."],
-    "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license."],
+_TAG = re.compile(r"spdx-license-identifier\s*:[\s(]*([a-z0-9][a-z0-9.+-]*)")
+
+
+def _gnu(work: str, name: str, version: str) -> list[str]:
+    """The usual header, also without the words in brackets, and with its second sentence."""
+    header = (
+        f"This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} License as "
+        f"published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+    )
+    warranty = (
+        f"This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        f"warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} License for more details."
+    )
+    return [header.replace("(at your option) ", ""), header, f"{header} {warranty}"]
+
+
+def _texts(notices: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The notices, and the licence texts of the folder ``license_texts``, which are named by their licence."""
+    found = {name: list(texts) for name, texts in notices.items()}
+    for file in sorted(resources(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        found.setdefault(file.name.removesuffix(".txt"), []).append(file.read_text(encoding="utf-8"))
+    return found
+
+
+# Usual notices and headers, and whole licence texts.
+TEMPLATES = _texts({
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        *_gnu("program", "Affero General Public", "3"),
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
+        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+        "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License.",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "Licensed under the MIT License.",
+        "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
+    ],
+    "BSD-3-Clause": [
+        "Use of this source code is governed by a BSD-style license.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    ],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", *_gnu("program", "General Public", "2")],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        *_gnu("program", "General Public", "3"),
+    ],
+    "LGPL-2.1": _gnu("library", "Lesser General Public", "2.1"),
+    "LGPL-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        *_gnu("library", "Lesser General Public", "3"),
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright (CC0 1.0 public domain dedication)."],
     "proprietary": ["All rights reserved."],
-}
+})
 
 
 def _words(text: str) -> list[str]:
@@ -112,6 +164,7 @@ class Matcher:
         self.weights = {w: weigh(holding.get(w, 0)) for _, counts in self.templates for w in counts}
         self.norms = [math.sqrt(sum((n * self.weights[w]) ** 2 for w, n in counts.items())) for _, counts in self.templates]
         self.sizes = [sum(counts.values()) for _, counts in self.templates]
+        self.names = {name.lower(): name for name in templates}
         self.ids = {w: i for i, w in enumerate(self.weights)}
         # one row per word, the last for all words that no template has
         self.squares = np.array([*(v**2 for v in self.weights.values()), self.other**2])
@@ -164,18 +217,29 @@ class Matcher:
             for _, exact in self.cosines(words[i : i + size], [t]):
                 yield t, exact, size
 
+    def tags(self, text: str):
+        """SPDX tags with the name of a licence, the first one of an expression, as (licence, words)."""
+        for tag in _TAG.finditer(text) if "spdx" in text else ():
+            name = re.sub(r"(?:-only|-or-later|\+)$", "", tag[1].rstrip(".-"))
+            if name in self.names:
+                yield self.names[name], len(_words(tag[0]))
+
     def scan(self, text: str | None) -> tuple[str | None, float | None, bool, float]:
-        """Licence, cosine, whether found, and the share of the words in the largest block of the licence."""
+        """Licence, cosine, whether found, and the notice's share of the words."""
         text = (text or "").lower()
         words = _words(text)
-        best, license, blocks = (False, 0.0), None, {}
+        best, license, blocks = (0, 0.0), None, {}
         for t, cosine, size in self.matches(text, words):
-            order = (self.sizes[t] >= LONG, cosine)
+            order = (2 if self.sizes[t] >= LONG else 0, cosine)
             if order > best:
                 best, license = order, self.templates[t][0]
             if cosine > blocks.get(t, (0.0, 0))[0]:
                 blocks[t] = (cosine, size)
-        largest = max((size for t, (_, size) in blocks.items() if self.templates[t][0] == license), default=0)
+        for name, size in self.tags(text):
+            if (1, 1.0) > best:
+                best, license = (1, 1.0), name
+            blocks.setdefault(None, (1.0, size))
+        largest = max((size for _, size in blocks.values()), default=0)
         return license, best[1] or None, license is not None, largest / len(words) if license else 0.0
 
 
