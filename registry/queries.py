@@ -115,7 +115,7 @@ def _targeting_score(spark, sf_dir, **options):
 
 
 def _targeting_score_documents(spark, sf_dir):
-    docs = models.documents(_resolved(spark, sf_dir))
+    docs = models.documents(_resolved(spark, sf_dir), models.PARTS)
     return targeting_score_documents(docs["users"], docs["messages"], k=None)
 
 
@@ -397,7 +397,7 @@ def _constraint_violations(spark, sf_dir):
 def _model_consistency(spark, sf_dir):
     """Every analysis on all four models, compared row by row with the normalised one."""
     r = _resolved(spark, sf_dir)
-    norm, wide, docs, (vertices, edges) = models.normalised(r), models.denormalised(r), models.documents(r), models.graph(r)
+    norm, wide, docs, (vertices, edges) = models.normalised(r), models.denormalised(r), models.documents(r, models.PARTS), models.graph(r)
     sent, belongs, friends = edges["SENT_TO"], edges["BELONGS_TO"], edges["FRIENDS_WITH"]
     had, within = edges["HAD_EVENT"], edges["IN_CATEGORY"]
 

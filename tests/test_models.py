@@ -210,6 +210,32 @@ def test_command_line_writes_whole_results(spark, shop, tmp_path):
             main(bad)
 
 
+def test_a_stored_document_model_chooses_its_parts(spark, shop, tmp_path, rows):
+    folder, _ = shop
+    assert main(["load", f"{folder}/clean", str(tmp_path / "own"), "--forms", "document", "--parts", "5"]) == 0
+    stored = {5: read_tables(spark, str(tmp_path / "own/document"), ["users"]), 17: read_tables(spark, f"{folder}/models/document", ["users"])}
+    friends = read_tables(spark, f"{folder}/models/relational", ["friendships"])["friendships"]
+    want = rows(models.both_directions(friends))
+    for parts, tables in stored.items():
+        items = tables["users"].select("_id", "part", F.explode("friends").alias("friend"))
+        assert rows(items.select("_id", "friend")) == want
+        assert {p for (p,) in rows(items.select("part"))} == set(range(parts))
+        assert items.where(F.col("friend") % parts != F.col("part")).count() == 0
+    with pytest.raises(SystemExit):
+        main(["load", f"{folder}/clean", str(tmp_path / "none"), "--parts", "0"])
+
+
+@pytest.mark.parametrize("name", ["targeting_score_documents", "model_consistency"])
+def test_registered_queries_cut_the_documents_of_hubs(spark, monkeypatch, name):
+    from registry.queries import QUERIES
+
+    built, documents = [], models.documents
+    monkeypatch.setattr(models, "documents", lambda *given: built.append(documents(*given)) or built[-1])
+    QUERIES[name](spark, SF)
+    (docs,) = built
+    assert docs["users"].agg(F.max("part")).first()[0] == 16
+
+
 def test_many_keywords_give_all_their_rows(spark):
     categories = spark.range(30).selectExpr("id AS category_sk", "'tools.k' || id AS category_code")
     products = spark.range(300).selectExpr("id AS product_sk", "id AS product_id", "id % 30 AS category_sk", "'b' AS brand", "1.0D AS last_known_price")

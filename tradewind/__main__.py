@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators.storage import table_scope
 from .plans.analyses import ANALYSES, KEYWORDS, analyse
 from .plans.load import MODELS, clean_dataset, load_models
+from .plans.models import PARTS
 
 
 class _Stored(dict):
@@ -30,6 +31,12 @@ def _number(text: str) -> int | None:
     return None if text == "all" else int(text)
 
 
+def _parts(text: str) -> int:
+    if int(text) < 1:
+        raise ValueError(text)
+    return int(text)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tradewind", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
@@ -41,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("clean_folder")
     load.add_argument("models_folder")
     load.add_argument("--forms", nargs="+", choices=MODELS, default=list(MODELS))
+    load.add_argument("--parts", type=_parts, default=PARTS, help="rows that a user's document is cut into, 1 for a single one")
     run = commands.add_parser("run", help="one analysis on one model")
     run.add_argument("models_folder")
     run.add_argument("form", choices=MODELS)
@@ -68,7 +76,7 @@ def main(arguments: list[str]) -> int:
     if given.command == "clean":
         _report(clean_dataset(spark, given.raw_folder, given.clean_folder, given.multi_line))
     elif given.command == "load":
-        _report(load_models(spark, given.clean_folder, given.models_folder, tuple(given.forms)))
+        _report(load_models(spark, given.clean_folder, given.models_folder, tuple(given.forms), given.parts))
     else:
         passed = {name for name in ("k", "limit", "exclusion", "match", "n") if f"--{name}" in (a.split("=")[0] for a in arguments)}
         if surplus := passed - set(OPTIONS[given.analysis]):

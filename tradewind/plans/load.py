@@ -54,17 +54,19 @@ def clean_dataset(spark: SparkSession, raw_folder: str, folder: str, multi_line:
         return _kept(union_all(reports))
 
 
-def load_models(spark: SparkSession, clean_folder: str, folder: str, forms: tuple[str, ...] = MODELS) -> DataFrame:
+def load_models(
+    spark: SparkSession, clean_folder: str, folder: str, forms: tuple[str, ...] = MODELS, parts: int = models.PARTS
+) -> DataFrame:
     """Store the chosen models of a cleaned data set, each under ``folder``/<form>.
 
     Returns the audit: what each foreign key dropped (table, key, n_rows, dropped), and with key
     "rows" the size of each resolved table. Resolved tables are written once, and all forms are made
-    from them.
+    from them. ``parts`` is the layout of the document form's users.
     """
     with table_scope(spark):
         resolved, dropped = models.resolve_with_audit(read_clean(spark, clean_folder))
         resolved = {name: materialise(df, name) for name, df in resolved.items()}
-        write_models(resolved, folder, forms)
+        write_models(resolved, folder, forms, parts)
         sizes = row_counts(resolved).select(
             F.col("name").alias("table"), F.lit("rows").alias("key"), F.col("n").alias("n_rows"), F.lit(0).cast("bigint").alias("dropped")
         )
@@ -76,17 +78,21 @@ def _kept(report: DataFrame) -> DataFrame:
     return report.sparkSession.createDataFrame(report.collect(), report.schema)
 
 
-def write_models(resolved: dict[str, DataFrame], folder: str, forms: tuple[str, ...] = MODELS) -> None:
+def write_models(
+    resolved: dict[str, DataFrame], folder: str, forms: tuple[str, ...] = MODELS, parts: int = models.PARTS
+) -> None:
     """Store models of resolved tables. The relational forms keep their events by month."""
     for form in forms:
         layout = models.PARTITION_BY if form in ("relational", "wide") else None
-        write_tables(tables_of(resolved, form), f"{folder}/{form}", layout)
+        write_tables(tables_of(resolved, form, parts), f"{folder}/{form}", layout)
 
 
-def tables_of(resolved: dict[str, DataFrame], form: str) -> dict[str, DataFrame]:
+def tables_of(resolved: dict[str, DataFrame], form: str, parts: int = models.PARTS) -> dict[str, DataFrame]:
     """The tables of one model; a graph's are its vertex labels and edge types."""
     if form == "graph":
         vertices, edges = models.graph(resolved)
         return {**vertices, **edges}
-    builders = {"relational": models.normalised, "wide": models.denormalised, "document": models.documents}
+    if form == "document":
+        return models.documents(resolved, parts)
+    builders = {"relational": models.normalised, "wide": models.denormalised}
     return builders[form](resolved)

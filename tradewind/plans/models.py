@@ -17,6 +17,8 @@ from ..operators.quality import check, foreign_key, not_null, union_all, unique
 from ..schemas import CAMPAIGN_COLUMNS, EVENT_COLUMNS, MESSAGE_COLUMNS
 
 MONEY = "decimal(10,2)"
+# Fixed value: parts of each user's document in stored models and registered queries. A prime, as ids may come in steps.
+PARTS = 17
 NOT_IN_EVENT_DOCUMENTS = ["product_id", "category_id", "category_code", "category_sk", "brand", "event_month"]
 
 
