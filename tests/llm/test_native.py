@@ -62,6 +62,15 @@ def test_quality_rules_name_what_is_broken(spark):
     assert {tuple(r["failed"]) for r in quality.apply_rules(docs, rules=only).collect()} == {("longer",)}
 
 
+def test_repeated_lines_are_compared_with_their_white_space(spark):
+    body = " ".join(f"the word{i}" for i in range(30))
+    texts = [f"{body}\nalpha\n  alpha\nalpha\t\nalpha\r", f"{body}\nalpha\n  alpha\nalpha\n  alpha", f"{body}\n\n \n\n ", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_dup_lines"], r["kept"]) for r in quality.apply_rules(docs).collect()}
+    assert found == {0: (0, True), 1: (2, True), 2: (0, True), 3: (0, False)}
+    assert {r["doc_id"] for r in quality.quality_filter(docs).collect()} == {0, 1, 2}
+
+
 def test_line_dedup_of_odd_documents(spark):
     docs = cases.documents(spark)
     found = line_dedup.remove_boilerplate(docs)

@@ -5,9 +5,10 @@ shuffle. Ratios of a text without words (or lines) are NULL and fail no rule by
 text fails for its length.
 
 Defined results: NULL text is a text without words; lines are parted by ``\\n``, and a line without
-a word is never a repeated line; documents are judged one by one, so repeated rows get the same
-verdict each; an empty table gives no rows. Other columns pass through untouched; one that has the
-name of a result of ``apply_rules`` is replaced.
+a word is never a repeated line; a line repeats another if all characters are the same, white space at
+the ends too; documents are judged one by one, so repeated rows get the same verdict each; an empty
+table gives no rows. Other columns pass through untouched; one that has the name of a result of
+``apply_rules`` is replaced.
 """
 
 from collections.abc import Callable
@@ -15,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import LOWER, UPPER, count_of, field, numbers, packed, trimmed_lines, unpacked, without_spaces, words
+from .columns import LOWER, SPACES, UPPER, count_of, field, numbers, packed, trimmed_lines, unpacked, without_spaces, words
 
 # Frequent words of the four languages of the corpus.
 STOP_WORDS = (
@@ -90,7 +91,7 @@ def _counts(text: Column) -> Column:
             "n_stop_words": long(F.size(F.filter(split, lambda w: F.translate(w, UPPER, LOWER).isin(STOP_WORDS)))),
             "n_repeat_words": _repeat_words(split),
             "n_lines": long(F.size(lines)),
-            "n_dup_lines": long(F.size(lines) - F.size(F.array_distinct(lines))),
+            "n_dup_lines": long(F.size(d["whole"]) - F.size(F.array_distinct(d["whole"]))),
             "n_ellipsis_lines": long(F.size(F.filter(lines, lambda x: x.endswith("...") | x.endswith("…")))),
             "n_bullet_lines": long(F.size(F.filter(lines, lambda x: F.substring(x, 1, 1).isin("-", "*", "•")))),
         }
@@ -98,7 +99,8 @@ def _counts(text: Column) -> Column:
 
     plain = F.coalesce(text, F.lit(""))
     lines = F.array_remove(trimmed_lines(text), "")
-    return let(F.struct(plain.alias("text"), words(text).alias("words"), lines.alias("lines")), of)
+    whole = F.filter(F.split(plain, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
+    return let(F.struct(plain.alias("text"), words(text).alias("words"), lines.alias("lines"), whole.alias("whole")), of)
 
 
 def _failed(counts: Column, rules) -> Column:
