@@ -53,3 +53,13 @@ def unpacked(rows: DataFrame, names: list[str], outputs: dict[str, Column]) -> D
     """The columns ``names`` of a packed frame and the outputs, which replace columns of their name."""
     old = [(outputs[n] if n in outputs else field(n)).alias(n) for n in names]
     return rows.select(*old, *[c.alias(n) for n, c in outputs.items() if n not in names])
+
+
+def whole_vectors(rows: DataFrame, vector: str, scale: float, offset: int = 0) -> DataFrame:
+    """The rows whose vector has components, all of them finite, and ``x``: floor(scale * component) + offset of each."""
+    given = F.transform(vector, lambda c: c.cast("double"))
+    infinite = [F.lit(float(v)) for v in ("inf", "-inf", "nan")]
+    sound = F.size(vector).cast("int") > 0
+    sound &= ~F.exists(given, lambda c: c.isNull() | c.isin(*infinite))
+    whole = F.transform(given, lambda c: F.floor(c * scale) + F.lit(offset).cast("long"))
+    return rows.where(F.coalesce(sound, F.lit(False))).withColumn("x", whole)

@@ -69,4 +69,18 @@ DECONTAMINATE = r"""
     FROM dw LEFT JOIN n USING (r) LEFT JOIN it USING (r)"""
 
 
-ORACLE = {"op2_line_dedup": _line_dedup(), "op6_quality_rules": _quality(), "op9_decontaminate": DECONTAMINATE}
+TOP_K = """
+    WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(256 * c::double)) AS x
+               FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint AS score
+          FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+    SELECT query_id, rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::int AS rank FROM s) WHERE rank <= 5"""
+
+
+ORACLE = {
+    "op2_line_dedup": _line_dedup(),
+    "op6_quality_rules": _quality(),
+    "op9_decontaminate": DECONTAMINATE,
+    "op12_top_k": TOP_K,
+}

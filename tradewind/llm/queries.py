@@ -13,6 +13,9 @@ from .oracle import ORACLE
 from .ppm import score_texts
 from .quality import COUNTS, apply_rules
 from .simhash import near_duplicates
+from .spelling import dropped_letter, spelling_variants
+from .topk import top_k
+from .whitening import whiten
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -90,6 +93,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "path", "license", "cosine", "is_license_file", "inherited_from")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"), edit=dropped_letter)
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -103,5 +119,8 @@ QUERIES = {
         op8_suffix_levels,
         op9_decontaminate,
         op10_licenses,
+        op11_spelling,
+        op12_top_k,
+        op13_whitening,
     )
 }
