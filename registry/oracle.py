@@ -168,11 +168,15 @@ def _flag(c: str) -> str:
 
 
 def _time(c: str) -> str:
-    return f"TRY_CAST(trim({c}) AS TIMESTAMP)"
+    """UTC time of a text without zone, or with an offset of hours and minutes; any other zone gives NULL."""
+    offset = f"regexp_extract(trim({c}), '([+-])(\\d\\d):(\\d\\d)$'"
+    minutes = f"CASE {offset}, 1) WHEN '' THEN 0 ELSE CAST({offset}, 1) || '1' AS INT) * (CAST({offset}, 2) AS INT) * 60 + CAST({offset}, 3) AS INT)) END"
+    plain = f"regexp_replace(trim({c}), '(UTC|Z|[+-]\\d\\d:\\d\\d)$', '')"
+    return f"CASE WHEN regexp_matches({plain}, '[A-Za-z]{{2,}}') THEN NULL ELSE TRY_CAST(trim({plain}) AS TIMESTAMP) - to_minutes({minutes}) END"
 
 
 def _whole(c: str) -> str:
-    return f"TRY_CAST(TRY_CAST(trim({c}) AS DECIMAL(38,6)) AS BIGINT)"
+    return f"CASE WHEN regexp_full_match(trim({c}), '[+-]?\\d+(\\.0*)?') THEN TRY_CAST(TRY_CAST(trim({c}) AS DECIMAL(38,6)) AS BIGINT) END"
 
 
 def _number(c: str) -> str:
@@ -282,6 +286,20 @@ def _edges() -> str:
     return _sql("\nUNION ALL ".join(parts), "fx_clients", "fx_friends", "fx_versions", "fx_keyed", "resolved_messages")
 
 
+_MONTH = "CASE WHEN m BETWEEN '1994-01' AND '1996-12' THEN m ELSE 'outside' END"
+
+
+def _events_between(start: str, stop: str) -> str:
+    return _sql(
+        f"""
+SELECT event_id, event_time, event_type, product_sk, user_id, user_session, price, {_MONTH} AS event_month
+FROM (SELECT *, strftime(event_time, '%Y-%m') AS m FROM numbered) t
+WHERE event_time >= TIMESTAMP '{start}' AND event_time < TIMESTAMP '{stop}'""",
+        "numbered",
+        numbered=_EVENT_IDS,
+    )
+
+
 def _bad(constraint: str, count: str) -> str:
     return f"SELECT '{constraint}' AS \"constraint\", CAST(({count}) AS BIGINT) AS n_bad"
 
@@ -371,6 +389,23 @@ def _consistency() -> str:
     )
 
 
+def _user_documents(parts: int) -> str:
+    return _sql(
+        f"""
+SELECT coalesce(u.user_id, c.user_id, f.user_id) AS user_id, coalesce(u.part, c.part, f.part) AS part, clients, friends
+FROM (SELECT user_id, 0 AS part FROM all_users) u
+FULL JOIN (SELECT user_id, CAST(client_id % {parts} AS INT) AS part,
+             string_agg(concat_ws(':', client_id, user_device_id, first_purchase_date), ',' ORDER BY client_id) AS clients
+           FROM fx_clients GROUP BY 1, 2) c ON c.user_id = u.user_id AND c.part = u.part
+FULL JOIN (SELECT user_id, CAST(friend_id % {parts} AS INT) AS part,
+             string_agg(CAST(friend_id AS VARCHAR), ',' ORDER BY friend_id) AS friends
+           FROM sides GROUP BY 1, 2) f ON f.user_id = coalesce(u.user_id, c.user_id) AND f.part = coalesce(u.part, c.part)""",
+        "all_users",
+        "fx_clients",
+        "sides",
+    )
+
+
 ORACLE: dict[str, str] = {
     "campaign_conversion": _conversion(tail=_TOP_CAMPAIGNS),
     "campaign_conversion_require_client": _conversion("m.client_id IS NOT NULL", _TOP_CAMPAIGNS),
@@ -406,6 +441,8 @@ FROM resolved_messages GROUP BY campaign_id, message_type""",
     "search_graph": _search("contains"),
     **{f"clean_{t}": _clean_sql(f"SELECT * FROM cleaned_{t}", f"cleaned_{t}") for t in ("events", "campaigns", "friends")},
     "csv_events": _clean_sql("SELECT * FROM cleaned_events", "cleaned_events"),
+    "csv_typed": _clean_sql("SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM cleaned_messages", "cleaned_messages"),
+    "csv_subset": _clean_sql("SELECT user_id, price, event_time, event_type FROM cleaned_events", "cleaned_events"),
     "csv_messages": _clean_sql("SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM cleaned_messages", "cleaned_messages"),
     "clean_messages": _clean_sql("SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM cleaned_messages", "cleaned_messages"),
     "clean_audit": _audit(),
@@ -464,31 +501,8 @@ GROUP BY user_id, product_sk""",
         "fx_messages",
         "raw_first_purchase",
     ),
-    "doc_users": _sql(
-        """
-SELECT u.user_id, 0 AS part, c.clients, f.friends FROM all_users u
-LEFT JOIN (SELECT user_id, string_agg(concat_ws(':', client_id, user_device_id, first_purchase_date), ',' ORDER BY client_id) AS clients
-           FROM fx_clients GROUP BY user_id) c ON c.user_id = u.user_id
-LEFT JOIN (SELECT user_id, string_agg(CAST(friend_id AS VARCHAR), ',' ORDER BY friend_id) AS friends
-           FROM sides GROUP BY user_id) f ON f.user_id = u.user_id""",
-        "all_users",
-        "fx_clients",
-        "sides",
-    ),
-    "doc_users_parts": _sql(
-        """
-SELECT coalesce(u.user_id, c.user_id, f.user_id) AS user_id, coalesce(u.part, c.part, f.part) AS part, clients, friends
-FROM (SELECT user_id, 0 AS part FROM all_users) u
-FULL JOIN (SELECT user_id, CAST(client_id % 3 AS INT) AS part,
-             string_agg(concat_ws(':', client_id, user_device_id, first_purchase_date), ',' ORDER BY client_id) AS clients
-           FROM fx_clients GROUP BY 1, 2) c ON c.user_id = u.user_id AND c.part = u.part
-FULL JOIN (SELECT user_id, CAST(friend_id % 3 AS INT) AS part,
-             string_agg(CAST(friend_id AS VARCHAR), ',' ORDER BY friend_id) AS friends
-           FROM sides GROUP BY 1, 2) f ON f.user_id = coalesce(u.user_id, c.user_id) AND f.part = coalesce(u.part, c.part)""",
-        "all_users",
-        "fx_clients",
-        "sides",
-    ),
+    "doc_users": _user_documents(17),
+    "doc_users_parts": _user_documents(3),
     "doc_products": _sql(
         """
 SELECT product_sk, product_id, category_id, category_code, brand, CAST(last_known_price AS DOUBLE) AS last_known_price
@@ -575,6 +589,15 @@ FROM numbered n JOIN ordered e USING (event_id)""",
     "events_by_month": _sql(
         "SELECT strftime(event_time, '%Y-%m') AS event_month, count(*) AS n FROM fx_events GROUP BY 1", "fx_events"
     ),
+    "events_one_month": _events_between("1995-03-01", "1995-04-01"),
+    "events_across_bounds": _events_between("1996-12-10 12:00:00", "1997-01-20"),
+    "events_in_and_outside_months": _sql(
+        f"SELECT {_MONTH} AS event_month, count(*) AS n FROM (SELECT strftime(event_time, '%Y-%m') AS m FROM fx_events) t GROUP BY 1", "fx_events"
+    ),
+    "publish_twice": _counted(
+        {"clients": "fx_clients", "categories": "fx_categories", "products": "fx_versions", "events": "fx_keyed", "friends": "fx_friends"},
+        "fx_clients", "fx_categories", "fx_versions", "fx_keyed", "fx_friends",
+    ),
     "constraint_violations": _violations(),
     "model_consistency": _consistency(),
 }

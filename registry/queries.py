@@ -2,16 +2,19 @@
 
 import uuid
 from collections.abc import Callable
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewind.operators.constraints import violations
+from tradewind.operators.fingerprint import consistency
 from tradewind.operators.integrity import keep_known
-from tradewind.operators.quality import compared, null_counts, row_counts, union_all, violations
+from tradewind.operators.quality import null_counts, row_counts, union_all
 from tradewind.operators.storage import materialise, shared_folder
 from tradewind.plans import models
 from tradewind.plans.campaigns import campaign_conversion, campaign_conversion_documents, campaign_conversion_graph
-from tradewind.plans.clean import clean_campaigns, clean_events, clean_first_purchases, clean_friends, clean_messages
+from tradewind.plans.clean import CLEANERS, clean_and_audit, clean_campaigns, clean_events, clean_first_purchases, clean_friends, clean_messages
 from tradewind.plans.dimensions import assign_keys, build_clients, build_users, enforce_campaigns
 from tradewind.plans.recommend import (
     category_affinity,
@@ -25,8 +28,10 @@ from tradewind.plans.recommend import (
 )
 from tradewind.plans.search import search, search_documents, search_graph
 from tradewind.plans.targeting import targeting_score, targeting_score_documents, targeting_score_graph
-from tradewind.schemas import RAW
-from tradewind.sources.csv import read_csv
+from tradewind.schemas import CLEAN, RAW
+from tradewind.sources.csv import read_csv, read_typed_csv
+from tradewind.sources.months import Months, between, month_of
+from tradewind.sources.tables import current, publication, read_tables, write_tables
 from tradewind.sources.testdata import KEYWORDS, PHRASES, SEGMENTS, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,7 +75,7 @@ _keyed = _once("keyed", _build_keyed)
 def resolved_tables(spark: SparkSession, sf_dir: str) -> dict:
     keyed = _keyed(spark, sf_dir)
     clients, friends = view(spark, sf_dir, "fx_clients"), materialise(_friends(spark, sf_dir), "friends")
-    resolved = models.resolve(
+    return models.resolve(
         {
             **keyed,
             "users": build_users(keyed["events"], clients, friends),
@@ -80,7 +85,6 @@ def resolved_tables(spark: SparkSession, sf_dir: str) -> dict:
             "friends": friends,
         }
     )
-    return {name: materialise(df, name) for name, df in resolved.items()}
 
 
 _resolved = _once("resolved", resolved_tables)
@@ -189,32 +193,48 @@ def _search_graph(spark, sf_dir):
 
 # ── cleaning and dimensions ─────────────────────────────────────────────────────────────────────
 
-_CLEANERS = {"events": clean_events, "campaigns": clean_campaigns, "messages": clean_messages, "friends": clean_friends}
-
-
 def _cleaner(name: str) -> Query:
-    return lambda spark, sf_dir: _dates_as_text(_CLEANERS[name](view(spark, sf_dir, f"raw_{name}"))[0].select(*RAW[name]))
+    return lambda spark, sf_dir: _dates_as_text(CLEANERS[name](view(spark, sf_dir, f"raw_{name}"))[0].select(*RAW[name]))
 
 
 def _from_csv(name: str) -> Query:
     """The raw view written as CSV into the shared folder, read back and cleaned."""
 
     def query(spark, sf_dir):
-        path = f"{shared_folder(spark)}/csv/{name}-{uuid.uuid4().hex}.csv"
-        keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-        view(spark, sf_dir, f"raw_{name}").write.csv(path, header=True, escape='"', **keep)
-        return _dates_as_text(_CLEANERS[name](read_csv(spark, path, RAW[name]))[0].select(*RAW[name]))
+        path = _as_csv(view(spark, sf_dir, f"raw_{name}"), name)
+        return _dates_as_text(CLEANERS[name](read_csv(spark, path, RAW[name]))[0].select(*RAW[name]))
 
     return query
 
 
+def _as_csv(df: DataFrame, name: str) -> str:
+    """Write a table as CSV into the shared folder, and return its path."""
+    path = f"{shared_folder(df.sparkSession)}/csv/{name}-{uuid.uuid4().hex}.csv"
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}
+    df.write.options(header=True, escape='"', **keep).csv(path)
+    return path
+
+
+def _csv_typed(spark, sf_dir):
+    """Cleaned messages as a CSV file, read back with their types."""
+    messages, _ = clean_messages(view(spark, sf_dir, "raw_messages"))
+    return _dates_as_text(read_typed_csv(spark, _as_csv(messages.select(*RAW["messages"]), "clean_messages"), CLEAN["messages"]))
+
+
+def _csv_subset(spark, sf_dir):
+    """Four columns of cleaned events in a CSV file of nine, in another order."""
+    events, _ = clean_events(view(spark, sf_dir, "raw_events"))
+    path = _as_csv(events.select(*RAW["events"]), "clean_events")
+    return read_typed_csv(spark, path, CLEAN["events"], ["user_id", "price", "event_time", "event_type"])
+
+
 def _dates_as_text(df: DataFrame) -> DataFrame:
     """Engines hand dates to Python in different types; as text they compare."""
     return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
 
 
 def _clean_audit(spark, sf_dir):
-    return union_all([clean(view(spark, sf_dir, f"raw_{name}"))[1] for name, clean in _CLEANERS.items()])
+    return union_all([clean(view(spark, sf_dir, f"raw_{name}"))[1] for name, clean in CLEANERS.items()])
 
 
 def _build_clients(spark, sf_dir):
@@ -269,7 +289,7 @@ def _messages_client_fk(spark, sf_dir):
 # ── models ──────────────────────────────────────────────────────────────────────────────────────
 
 
-def _doc_users(spark, sf_dir, parts=1):
+def _doc_users(spark, sf_dir, parts=models.PARTS):
     users = models.documents(_resolved(spark, sf_dir), parts)["users"]
 
     def text(c):
@@ -331,7 +351,7 @@ def _graph_violations_found(spark, sf_dir):
     vertices = models.graph(_resolved(spark, sf_dir))[0]
     users = vertices["User"]
     twice = users.unionByName(users.filter(F.col("user_id") % 10 == 0))
-    return violations([c for c in models.vertex_checks({**vertices, "User": twice})][:1])
+    return violations({**vertices, "User": twice}, models.vertex_constraints()[:1])
 
 
 def _load_audit(spark, sf_dir):
@@ -352,7 +372,7 @@ def _load_audit(spark, sf_dir):
 
 
 def _graph_violations(spark, sf_dir):
-    return violations(models.vertex_checks(models.graph(_resolved(spark, sf_dir))[0]))
+    return violations(models.graph(_resolved(spark, sf_dir))[0], models.vertex_constraints())
 
 
 def _graph_vertices(spark, sf_dir):
@@ -378,6 +398,45 @@ def _events_by_month(spark, sf_dir):
     return models.month_counts(models.normalised(_resolved(spark, sf_dir))["events"])
 
 
+# Months that the registered layout has folders for. Events go from 1992 to 1998.
+_MONTHS: Months = ("1994-01", "1996-12")
+
+
+def _store_events(spark, sf_dir) -> dict:
+    """Events of the normalised model, written by month."""
+    events = models.normalised(_resolved(spark, sf_dir))["events"].withColumn("event_month", month_of("event_time", _MONTHS))
+    folder = f"{shared_folder(spark)}/tables/by-month-{uuid.uuid4().hex}"
+    write_tables({"events": events}, folder, models.PARTITION_BY)
+    return {"folder": folder}
+
+
+_stored_events = _once("by-month", _store_events)
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_stored_events(spark, sf_dir)['folder']}/events")
+
+
+def _events_between(spark, sf_dir, start, stop):
+    """Events of a time range from the stored layout."""
+    return _double_price(between(stored_events(spark, sf_dir), start, stop))
+
+
+def _publish_twice(spark, sf_dir):
+    """Row counts of cleaned tables after a load, a second one with other rows, and a third that fails midway."""
+    keyed, clients, friends = _keyed(spark, sf_dir), view(spark, sf_dir, "fx_clients"), _friends(spark, sf_dir)
+    tables = {**keyed, "clients": clients, "friends": friends}
+    folder = f"{shared_folder(spark)}/tables/published-{uuid.uuid4().hex}"
+    with publication(spark, folder) as version:
+        version.write({name: df.limit(1) for name, df in tables.items()})
+    with publication(spark, folder) as version:
+        version.write(tables)
+    with suppress(InterruptedError), publication(spark, folder) as version:
+        version.write({"clients": clients.limit(0), "friends": friends.limit(0)})
+        raise InterruptedError
+    return row_counts(read_tables(spark, current(spark, folder), list(tables)))
+
+
 def _constraint_violations(spark, sf_dir):
     """The constraints of the normalised model, on tables whose foreign keys were not resolved."""
     keyed = _keyed(spark, sf_dir)
@@ -391,7 +450,7 @@ def _constraint_violations(spark, sf_dir):
         "events": _resolved(spark, sf_dir)["events"],
         "friendships": pairs,
     }
-    return violations(models.constraint_checks(unresolved))
+    return violations(unresolved, models.constraints(unresolved))
 
 
 def _model_consistency(spark, sf_dir):
@@ -440,11 +499,7 @@ def _model_consistency(spark, sf_dir):
         "total_sent", F.col("total_sent") + F.coalesce("more", F.lit(0))
     )
     others["conversion", "one row changed"] = wrong.drop("more")
-    reports = [
-        compared(base[query], result).select(F.lit(query).alias("query"), F.lit(model).alias("model"), "n_rows", "n_diff")
-        for (query, model), result in others.items()
-    ]
-    return union_all(reports)
+    return consistency(base, others)
 
 
 QUERIES: dict[str, Query] = {
@@ -480,6 +535,8 @@ QUERIES: dict[str, Query] = {
     "clean_friends": _cleaner("friends"),
     "csv_events": _from_csv("events"),
     "csv_messages": _from_csv("messages"),
+    "csv_typed": _csv_typed,
+    "csv_subset": _csv_subset,
     "clean_audit": _clean_audit,
     "clean_messages_integrity": _clean_messages_integrity,
     "build_clients": lambda s, d: _dates_as_text(_build_clients(s, d)),
@@ -512,6 +569,10 @@ QUERIES: dict[str, Query] = {
     "wide_messages": _wide_messages,
     "table_counts": _table_counts,
     "events_by_month": _events_by_month,
+    "events_one_month": lambda s, d: _events_between(s, d, "1995-03-01", "1995-04-01"),
+    "events_across_bounds": lambda s, d: _events_between(s, d, "1996-12-10T12:00", "1997-01-20"),
+    "events_in_and_outside_months": lambda s, d: models.month_counts(stored_events(s, d)),
+    "publish_twice": _publish_twice,
     "constraint_violations": _constraint_violations,
     "model_consistency": _model_consistency,
 }

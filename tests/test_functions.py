@@ -45,6 +45,25 @@ def test_lenient_parsers_turn_bad_text_into_null(spark):
     ]
 
 
+def test_no_digit_of_a_number_is_cut(spark):
+    whole = {"146.000000000000000000": 146, "5.": 5, ".0": 0, "-0": 0, "1.50e1": 15, "100E-2": 1, "0.5e1": 5, "12e1": 120, "+7e0": 7, "0e-9": 0}
+    assert values(spark, lenient_long, list(whole)) == list(whole.values())
+    broken = ["146.0000001", "146.00000000000000000000001", "1.55e1", "1e-1", "150e-2", "1e40", "9223372036854775808", "e5", ".", "1e", "12d", "0x10"]
+    assert values(spark, lenient_long, broken) == [None] * len(broken)
+    with pytest.raises(Exception, match="bad value in x"):
+        values(spark, lambda c: strict_long(c, "x"), ["146.0000001"])
+
+
+def test_lenient_times_take_offsets_off_and_know_no_other_zones(spark):
+    inputs = ["2019-10-01T00:00:00+05:00", "2019-10-01 00:00:00-0930", "2019-10-01 10:00 UTC", "2019-10-01T10:00:00Z", "2019-10", " 2019 "]
+    assert values(spark, lenient_timestamp, inputs) == [
+        dt.datetime(2019, 9, 30, 19), dt.datetime(2019, 10, 1, 9, 30), dt.datetime(2019, 10, 1, 10), dt.datetime(2019, 10, 1, 10),
+        dt.datetime(2019, 10, 1), dt.datetime(2019, 1, 1),
+    ]
+    assert values(spark, lenient_timestamp, ["2019-10-01 00:00:00 Europe/Paris", "2019-10-01 CET", "2019-10-01T00:00:00+5", "2019-02-30"]) == [None] * 4
+    assert values(spark, lenient_date, ["2019-10-01T00:00:00+05:00", "2019-10-01 Europe/Paris"]) == [dt.date(2019, 9, 30), None]
+
+
 @given(st.integers(-(2**63), 2**63 - 1))
 @settings(max_examples=15, deadline=None)
 def test_long_ids_stay_exact(number):

@@ -1,23 +1,30 @@
 import datetime as dt
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tradewind.__main__ import main
-from tradewind.operators.quality import diff, violations
+from tradewind.operators.constraints import violations
+from tradewind.operators.quality import diff
 from tradewind.operators.storage import shared_folder
 from tradewind.plans import models
 from tradewind.plans.analyses import ANALYSES, analyse
-from tradewind.plans.load import MODELS, clean_dataset, load_models, tables_of
+from tradewind.plans.load import MODELS, clean_dataset, load_models, read_model, tables_of
 from tradewind.schemas import CLEAN, EVENT_COLUMNS, MESSAGE_COLUMNS, RAW
 from tradewind.sources.csv import NO_VALUE, read_clean_csv, read_csv, read_typed_csv
-from tradewind.sources.tables import read_clean, read_tables
+from tradewind.sources.months import between
+from tradewind.sources.tables import current, publication, published, read_clean, read_tables
 from tradewind.sources.testdata import KEYWORDS, view
 
 SF = "/root/testdata/sf0.001"
 
 
+def models_of(spark, folder):
+    return current(spark, f"{folder}/models")
+
+
 def stored_tables(spark):
     folder = f"{shared_folder(spark)}/tables"
     return sorted(os.listdir(folder)) if os.path.isdir(folder) else []
@@ -60,6 +67,20 @@ def test_typed_csv(spark, tmp_path, rows):
     assert rows(read_typed_csv(spark, path, schema, ["s", "n"])) == sorted([("007", 146), (None, None)], key=repr)
 
 
+def test_a_subset_makes_no_other_columns(spark, tmp_path, rows):
+    path = tmp_path / "x.csv"
+    path.write_text("a,b,c,d\n1,2,3,4\n5,6,7,8\n")
+    some = read_typed_csv(spark, str(path), "a bigint, b string, c bigint, d double", ["d", "a"])
+    assert rows(some) == [(4.0, 1), (8.0, 5)] and some.dtypes == [("d", "double"), ("a", "bigint")]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<a:string,d:string,_malformed:string>" in plan
+    path.write_text("a,b,c,d\n1,2,3,4\n5,6,7\n")
+    subset = read_typed_csv(spark, str(path), "a bigint, b string, c bigint, d double", ["a"])
+    for unread in (subset.count, subset.collect):
+        with pytest.raises(Exception, match="malformed row"):
+            unread()
+
+
 def test_malformed_rows_fail_the_job(spark, tmp_path):
     for i, row in enumerate(("1,2,3", "1", '"a\nb",2')):
         path = tmp_path / f"{i}.csv"
@@ -103,8 +124,8 @@ def test_cleaning_run_writes_typed_tables_and_an_audit(spark, shop):
 
 def test_stored_normalised_model_keeps_all_constraints(spark, shop, rows):
     folder, _ = shop
-    m = read_tables(spark, f"{folder}/models/relational", ["users", "clients", "categories", "products", "campaigns", "messages", "events", "friendships"])
-    bad = {c: n for c, n in rows(violations(models.constraint_checks(m))) if n}
+    m = read_tables(spark, f"{models_of(spark, folder)}/relational", ["users", "clients", "categories", "products", "campaigns", "messages", "events", "friendships"])
+    bad = {c: n for c, n in rows(violations(m, models.constraints(m))) if n}
     # Several clients share a user and have no device, which is allowed; nothing else is off.
     assert set(bad) <= {"clients.user_id not null", "clients unique user and device"}
     assert m["events"].columns == [*EVENT_COLUMNS, "event_month"] and m["messages"].columns == MESSAGE_COLUMNS
@@ -115,7 +136,7 @@ def test_stored_normalised_model_keeps_all_constraints(spark, shop, rows):
 
 def test_events_are_stored_by_month_and_read_by_month(spark, shop):
     folder, _ = shop
-    path = f"{folder}/models/relational/events"
+    path = f"{models_of(spark, folder)}/relational/events"
     months = {d.split("=")[1] for d in os.listdir(path) if "=" in d}
     events = spark.read.parquet(path)
     assert months == {r[0] for r in events.select(F.date_format("event_time", "yyyy-MM")).distinct().collect()}
@@ -126,9 +147,98 @@ def test_events_are_stored_by_month_and_read_by_month(spark, shop):
     assert events.filter((F.col("event_month") == month) & (F.date_trunc("month", "event_time") != F.lit(month + "-01").cast("timestamp_ntz"))).count() == 0
 
 
+def test_time_ranges_read_their_months_and_what_lies_outside(spark, shop, tmp_path, rows):
+    folder, _ = shop
+    times = ["1996-12-31 23:59:59.999999", "1997-01-01", "1997-01-31 23:59:59.999999", "1997-02-01", "1997-03-31 12:00:00", "1997-04-01", None]
+    events = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "id int, t string").selectExpr("id", "CAST(t AS TIMESTAMP_NTZ) AS event_time")
+    laid = events.withColumn("event_month", models.month_of("event_time", ("1997-01", "1997-03")))
+    assert rows(laid, "id", "event_month") == [(0, "outside"), (1, "1997-01"), (2, "1997-01"), (3, "1997-02"), (4, "1997-03"), (5, "outside"), (6, "outside")]
+    laid.write.partitionBy("event_month").parquet(f"{tmp_path}/events")
+    stored = spark.read.parquet(f"{tmp_path}/events")
+    ids = lambda start, stop: [i for (i,) in rows(between(stored, start, stop), "id")]
+    assert ids("1997-01-01", "1997-02-01") == [1, 2] and ids("1996-01-01", "1997-01-01") == [0] and ids("1997-03-31T12:00", "1998-01-01") == [4, 5]
+    assert ids("1996-12-31T23:59:59.999999", "1997-02-01T00:00:00.000001") == [0, 1, 2, 3] and ids("1997-02-01", "1997-02-01") == []
+    report = load_models(spark, f"{folder}/clean", str(tmp_path / "bounded"), ("relational",), months=("1994-01", "1995-12"))
+    months = {d.split("=")[1] for d in os.listdir(f"{current(spark, str(tmp_path / 'bounded'))}/relational/events") if "=" in d}
+    assert months and months <= {f"{y}-{m:02}" for y in (1994, 1995) for m in range(1, 13)} | {"outside"} and "outside" in months
+    assert report.count() == 14
+
+
+def test_one_month_reads_one_folder(spark):
+    from registry.queries import QUERIES, stored_events
+
+    query = QUERIES["events_one_month"](spark, SF)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*event_month#\d+ >= 1995-03.*event_month#\d+ <= 1995-03", plan)
+    months = {r["event_month"] for r in query.collect()}
+    read = query._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numPartitions").value()
+    assert months == {"1995-03"} and read == 2 < stored_events(spark, SF).select("event_month").distinct().count()
+
+
+def test_a_failed_load_leaves_the_former_tables(spark, shop, tmp_path, monkeypatch):
+    folder, _ = shop
+    target = str(tmp_path / "models")
+    load_models(spark, f"{folder}/clean", target, ("relational", "wide"))
+    first = published(spark, target)
+    n = read_model(spark, target, "relational", ["events"])["events"].count()
+    written = []
+
+    def failing(tables, path, layout=None):
+        written.append(path)
+        if len(written) == 2:
+            raise InterruptedError("killed midway")
+        return write(tables, path, layout)
+
+    from tradewind.plans import load
+    write = load.write_tables
+    monkeypatch.setattr(load, "write_tables", failing)
+    with pytest.raises(InterruptedError):
+        load_models(spark, f"{folder}/clean", target, ("relational", "wide"))
+    monkeypatch.undo()
+    # The first form was written in full, and is gone with the rest of the failed load.
+    assert len(written) == 2 and published(spark, target) == first and len(os.listdir(f"{target}/_versions")) == 1
+    assert read_model(spark, target, "relational", ["events"])["events"].count() == n
+
+
+def test_versions_switch_as_a_whole_and_old_ones_go(spark, tmp_path, rows):
+    folder = str(tmp_path / "tables")
+    assert current(spark, folder) == folder and published(spark, folder) == []
+    readers = []
+    for i in range(4):
+        with publication(spark, folder) as version:
+            stored = version.write({"a": spark.range(i + 1), "b": spark.range(2 * i)})
+            assert stored["a"].count() == i + 1
+            assert not i or current(spark, folder) == readers[-1][0]
+        readers.append((current(spark, folder), read_tables(spark, current(spark, folder), ["a", "b"])))
+    assert len(published(spark, folder)) == len(os.listdir(f"{folder}/_versions")) == 2
+    # A reader that began before the last load still sees its own version.
+    assert [t.count() for t in readers[2][1].values()] == [3, 4] and [t.count() for t in readers[3][1].values()] == [4, 6]
+    with pytest.raises(ValueError), publication(spark, folder) as version:
+        version.write({"a": spark.range(9)})
+        raise ValueError
+    # What a killed load left behind goes with the load after the next.
+    os.makedirs(f"{folder}/_versions/000001-killed")
+    with publication(spark, folder) as early:
+        with publication(spark, folder) as late:
+            late.write({"a": spark.range(7)})
+        early.write({"a": spark.range(8)})
+    assert current(spark, folder).split("/")[-1] == max(early.name, late.name)
+    assert "000001-killed" not in os.listdir(f"{folder}/_versions")
+
+
+def test_a_load_reads_each_table_once_for_its_audit(spark, shop, monkeypatch):
+    """The events are scanned for each foreign key's distinct values, once for the numbering, and never for counts."""
+    folder, _ = shop
+    clean = read_clean(spark, f"{folder}/clean")
+    _, audit = models.resolve_with_audit(clean)
+    plan = audit._jdf.queryExecution().executedPlan().toString()
+    assert f"{folder}/clean" not in plan and "LeftAnti" not in plan
+    assert plan.count("Scan parquet") == 4  # three stored tables, and the offsets of the numbering
+
+
 def test_wide_tables_hold_user_product_and_category(spark, shop):
     folder, _ = shop
-    wide = read_tables(spark, f"{folder}/models/wide", ["events", "messages", "products", "categories"])
+    wide = read_tables(spark, f"{models_of(spark, folder)}/wide", ["events", "messages", "products", "categories"])
     assert {"product_id", "brand", "category_id", "category_code", "category_sk"} <= set(wide["events"].columns)
     assert wide["messages"].columns[4:7] == ["client_id", "user_id", "user_device_id"]
     through = wide["events"].join(wide["products"].select("product_sk", F.col("category_sk").alias("c")), "product_sk")
@@ -137,7 +247,7 @@ def test_wide_tables_hold_user_product_and_category(spark, shop):
 
 def test_documents_are_nested(spark, shop):
     folder, _ = shop
-    docs = read_tables(spark, f"{folder}/models/document", ["users", "products", "campaigns", "messages", "events"])
+    docs = read_tables(spark, f"{models_of(spark, folder)}/document", ["users", "products", "campaigns", "messages", "events"])
     assert dict(docs["users"].dtypes)["clients"].startswith("array<struct<client_id:bigint,user_device_id:bigint,first_purchase_date:string")
     assert docs["products"].columns == ["_id", "product_id", "category", "brand", "last_known_price"]
     assert docs["campaigns"].select("_id.campaign_id", "_id.campaign_type").distinct().count() == docs["campaigns"].count()
@@ -171,7 +281,7 @@ def test_a_hub_user_is_spread_over_parts(spark, rows):
 
 def test_graph_edges_point_to_vertices(spark, shop):
     folder, _ = shop
-    g = read_tables(spark, f"{folder}/models/graph", ["User", "Client", "Product", "Category", "Campaign", "BELONGS_TO", "FRIENDS_WITH", "IN_CATEGORY", "HAD_EVENT", "SENT_TO"])
+    g = read_tables(spark, f"{models_of(spark, folder)}/graph", ["User", "Client", "Product", "Category", "Campaign", "BELONGS_TO", "FRIENDS_WITH", "IN_CATEGORY", "HAD_EVENT", "SENT_TO"])
     ends = {
         "BELONGS_TO": (("Client", "client_id"), ("User", "user_id")),
         "FRIENDS_WITH": (("User", "user_id"), ("User", "user_id")),
@@ -190,7 +300,7 @@ def test_graph_edges_point_to_vertices(spark, shop):
 @pytest.mark.parametrize("name", ANALYSES)
 def test_every_analysis_runs_on_every_stored_model(spark, shop, form, name):
     folder, _ = shop
-    path = f"{folder}/models/{form}"
+    path = f"{models_of(spark, folder)}/{form}"
     tables = read_tables(spark, path, [t for t in os.listdir(path)])
     result = analyse(name, form, tables, ["light", "saw"]).collect()
     assert result and len(result) <= 50
@@ -200,7 +310,7 @@ def test_command_line_writes_whole_results(spark, shop, tmp_path):
     folder, _ = shop
     out = str(tmp_path / "out")
     assert main(["run", f"{folder}/models", "wide", "q3", out, "light", "--n", "all"]) == 0
-    tables = read_tables(spark, f"{folder}/models/wide", ["categories", "products", "events"])
+    tables = read_tables(spark, f"{models_of(spark, folder)}/wide", ["categories", "products", "events"])
     want = analyse("q3", "wide", tables, ["light"], n=None)
     assert spark.read.parquet(out).count() == want.count() > 0
     assert main(["run", f"{folder}/models", "relational", "q2", out, "--limit=all", "--exclusion", "before_rank"]) == 0
@@ -213,8 +323,8 @@ def test_command_line_writes_whole_results(spark, shop, tmp_path):
 def test_a_stored_document_model_chooses_its_parts(spark, shop, tmp_path, rows):
     folder, _ = shop
     assert main(["load", f"{folder}/clean", str(tmp_path / "own"), "--forms", "document", "--parts", "5"]) == 0
-    stored = {5: read_tables(spark, str(tmp_path / "own/document"), ["users"]), 17: read_tables(spark, f"{folder}/models/document", ["users"])}
-    friends = read_tables(spark, f"{folder}/models/relational", ["friendships"])["friendships"]
+    stored = {5: read_tables(spark, f"{current(spark, str(tmp_path / 'own'))}/document", ["users"]), 17: read_tables(spark, f"{models_of(spark, folder)}/document", ["users"])}
+    friends = read_tables(spark, f"{models_of(spark, folder)}/relational", ["friendships"])["friendships"]
     want = rows(models.both_directions(friends))
     for parts, tables in stored.items():
         items = tables["users"].select("_id", "part", F.explode("friends").alias("friend"))

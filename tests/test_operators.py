@@ -9,7 +9,11 @@ from tradewind.operators.integrity import keep_known
 from tradewind.operators.joins import null_safe_join, salted_join
 from tradewind.operators.keys import dense_keys, rank_within
 from tradewind.operators.ordering import keep_one, nulls_last, top_per_group
-from tradewind.operators.quality import audit, check, compared, diff, foreign_key, not_null, null_counts, row_counts, unique, violations
+from tradewind.operators import fingerprint
+from tradewind.operators.constraints import Check, ForeignKey, Unique, not_null, violations
+from tradewind.operators.fingerprint import consistency
+from tradewind.operators.integrity import Parent, failures, first_failing, passed
+from tradewind.operators.quality import audit, compared, diff, null_counts, row_counts
 from tradewind.operators.storage import materialise, shared_folder, table_scope
 
 
@@ -155,17 +159,103 @@ def test_reports(spark, rows):
     assert rows(null_counts(a, ["k", "v"])) == [(1, 1)]
     assert rows(audit("t", a, b)) == [("t", 4, 1, 3)]
     report = violations(
+        {"a": a, "b": b},
         [
-            unique("pk", a, ["k"]),
-            not_null("a", a, ["k", "v"]),
-            foreign_key("fk", a, ["k"], b),
-            check("ck", a, F.col("v") < "y"),
-            unique("fine", b, ["k"]),
-        ]
+            Unique("pk", "a", ("k",)),
+            *not_null("a", ["k", "v"]),
+            ForeignKey("fk", "a", ("k",), "b", ("k",)),
+            Check("ck", "a", F.col("v") < "y"),
+            Unique("fine", "b", ("k",)),
+        ],
     )
     assert rows(report) == sorted([("pk", 1), ("a.k not null", 1), ("a.v not null", 1), ("fk", 1), ("ck", 2), ("fine", 0)])
 
 
+def scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("Scan parquet") + plan.count("Scan ExistingRDD")
+
+
+def test_constraints_read_each_table_once_and_share_the_parents_keys(spark, rows):
+    users = materialise(spark.range(100).selectExpr("id AS user_id"), "users")
+    # A third of all events are of one user; some users are unknown, some ids are repeated or missing.
+    events = spark.range(3000).selectExpr(
+        "if(id % 100 = 7, 7, id) AS event_id", "CAST(if(id % 3 = 0, 1, id % 130) AS INT) AS user_id",
+        "if(id % 50 = 0, NULL, CAST(id % 7 AS STRING)) AS kind", "id % 11 AS day",
+    )
+    events = materialise(events, "events")
+    friends = materialise(spark.range(200).selectExpr("id % 120 AS a", "id % 90 AS b", "'7' AS code"), "friends")
+    tables = {"users": users, "events": events, "friends": friends}
+    report = violations(
+        tables,
+        [
+            Unique("users key", "users", ("user_id",)),
+            Unique("events key", "events", ("event_id",)),
+            Unique("events user and day", "events", ("user_id", "day")),
+            ForeignKey("events user", "events", ("user_id",), "users", ("user_id",)),
+            ForeignKey("friends a", "friends", ("a",), "users", ("user_id",)),
+            ForeignKey("friends b", "friends", ("b",), "users", ("user_id",)),
+            ForeignKey("friends code", "friends", ("code",), "users", ("user_id",)),
+            ForeignKey("users in friends", "users", ("user_id",), "friends", ("a",)),
+            *not_null("events", ["kind", "day"]),
+            Check("order", "friends", F.col("a") >= F.col("b")),
+        ],
+    )
+    assert scans(report) == 3
+    e = [(7 if i % 100 == 7 else i, 1 if i % 3 == 0 else i % 130, i % 11) for i in range(3000)]
+    want = {
+        "users key": 0,
+        "events key": 3000 - len({x[0] for x in e}),
+        "events user and day": 3000 - len({x[1:] for x in e}),
+        "events user": sum(x[1] >= 100 for x in e),
+        "friends a": sum(i % 120 >= 100 for i in range(200)),
+        "friends b": 0,
+        "friends code": 0,
+        "users in friends": 0,
+        "events.kind not null": 60,
+        "events.day not null": 0,
+        "order": sum(i % 120 < i % 90 for i in range(200)),
+    }
+    assert dict(rows(report)) == want
+
+
+def test_first_failing_key_is_named_and_counted(spark, rows):
+    child = spark.createDataFrame([(1, 1, "a"), (2, 9, "a"), (3, 9, "z"), (4, 1, "z"), (5, None, "a"), (6, 1, None), (7, None, None)], "id int, k int, t string")
+    parents = [
+        Parent(["k"], spark.createDataFrame([(1,), (1,), (2,)], "k int")),
+        Parent(["t"], spark.createDataFrame([("a",)], "code string"), ["code"], allow_null=True),
+    ]
+    marked = materialise(first_failing(child, parents), "marked")
+    assert rows(marked, "id", "_failed") == [(1, 0), (2, 1), (3, 1), (4, 2), (5, 1), (6, 0), (7, 1)]
+    assert rows(passed(marked)) == sorted([(1, 1, "a"), (6, 1, None)], key=repr)
+    assert rows(failures("child", marked, parents)) == [("child", "k", 7, 4), ("child", "t", 3, 1)]
+    assert rows(failures("child", marked.limit(0), parents)) == [("child", "k", 0, 0), ("child", "t", 0, 0)]
+
+
+def test_consistency_compares_only_buckets_that_differ(spark, rows, monkeypatch):
+    base = spark.range(500).selectExpr("CAST(id % 90 AS INT) AS k", "if(id % 7 = 0, NULL, 'v' || id % 5) AS v", "id * 0.5D AS x", "id AS more")
+    same = base.drop("more").selectExpr("x", "CAST(k AS BIGINT) AS k", "v").repartition(3)
+    negative_zero = same.withColumn("x", F.when(F.col("x") == 0, F.lit(-0.0)).otherwise(F.col("x")))
+    changed = base.withColumn("x", F.when(F.col("more") == 3, 99.0).otherwise(F.col("x")))
+    doubled = base.unionByName(base.where("more = 4"))
+    seen = []
+    monkeypatch.setattr(fingerprint, "compared", lambda a, b: seen.append((a.count(), b.count())) or compared(a, b))
+    others = {("q", "same"): same, ("q", "zero"): negative_zero, ("p", "same"): base.select("k", "v").limit(0)}
+    frames = {"q": base, "p": base.limit(0), "r": base}
+    assert rows(consistency(frames, others)) == sorted([("q", "same", 500, 0), ("q", "zero", 500, 0), ("p", "same", 0, 0)], key=repr)
+    assert not seen
+    others |= {("q", "changed"): changed, ("r", "doubled"): doubled, ("r", "none"): base.limit(0)}
+    got = {(q, m): (n, d) for q, m, n, d in rows(consistency(frames, others))}
+    assert got["q", "changed"] == (500, 2) and got["r", "doubled"] == (500, 1) and got["r", "none"] == (500, 500)
+    assert got["q", "same"] == (500, 0) and len(seen) == 3 and min(a for a, _ in seen) < 10
+
+
+def test_fingerprints_shuffle_no_rows(spark):
+    df = spark.range(100).selectExpr("id", "id % 3 AS k", "'x' AS v")
+    plan = fingerprint.fingerprint(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(bucket" in plan.replace("_", "").replace("groupingexpression", "bucket")
+
+
 def test_diff_counts_copies_and_treats_nulls_as_equal(spark, rows):
     a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "k int, v string")
     b = spark.createDataFrame([(None, 1), ("y", 3)], "v string, k int")

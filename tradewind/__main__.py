@@ -13,6 +13,7 @@ from .operators.storage import table_scope
 from .plans.analyses import ANALYSES, KEYWORDS, analyse
 from .plans.load import MODELS, clean_dataset, load_models
 from .plans.models import PARTS
+from .sources.tables import current
 
 
 class _Stored(dict):
@@ -48,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("clean_folder")
     load.add_argument("models_folder")
     load.add_argument("--forms", nargs="+", choices=MODELS, default=list(MODELS))
+    load.add_argument("--months", nargs=2, metavar=("FIRST", "LAST"), help="months to store events by, as 2019-10; others lie together")
     load.add_argument("--parts", type=_parts, default=PARTS, help="rows that a user's document is cut into, 1 for a single one")
     run = commands.add_parser("run", help="one analysis on one model")
     run.add_argument("models_folder")
@@ -76,14 +78,14 @@ def main(arguments: list[str]) -> int:
     if given.command == "clean":
         _report(clean_dataset(spark, given.raw_folder, given.clean_folder, given.multi_line))
     elif given.command == "load":
-        _report(load_models(spark, given.clean_folder, given.models_folder, tuple(given.forms), given.parts))
+        _report(load_models(spark, given.clean_folder, given.models_folder, tuple(given.forms), given.parts, given.months and tuple(given.months)))
     else:
         passed = {name for name in ("k", "limit", "exclusion", "match", "n") if f"--{name}" in (a.split("=")[0] for a in arguments)}
         if surplus := passed - set(OPTIONS[given.analysis]):
             parser().error(f"{given.analysis} has no option {', '.join(sorted(surplus))}")
         options = {name: getattr(given, name) for name in passed}
         with table_scope(spark):
-            tables = _Stored(spark, f"{given.models_folder}/{given.form}")
+            tables = _Stored(spark, f"{current(spark, given.models_folder)}/{given.form}")
             result = analyse(given.analysis, given.form, tables, given.keywords or KEYWORDS, **options)
             result.write.mode("overwrite").parquet(given.out_folder)
     return 0

@@ -9,8 +9,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# A date, maybe a time of day, and maybe "UTC", "Z" or an offset. Spark's cast would ignore what follows the time.
+_ZONED = r"^\s*(\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?)\s*(?:UTC|Z|([+-])(\d{2}):?(\d{2}))?\s*$"
+_YEAR_OR_MONTH = r"^\s*\d{4}(-\d{1,2})?\s*$"
+
+
+def _utc(c: Column) -> Column:
+    """The wall-clock time in UTC, an offset taken off; NULL for any other text, with it any other name of a zone."""
+    local = F.regexp_extract(c, _ZONED, 1).try_cast("timestamp_ntz")
+    hours, minutes = (F.coalesce(F.regexp_extract(c, _ZONED, g).try_cast("int"), F.lit(0)) for g in (3, 4))
+    sign = F.when(F.regexp_extract(c, _ZONED, 2) == "-", 1).otherwise(-1)
+    return local + F.make_dt_interval(F.lit(0), sign * hours, sign * minutes)
+
+
 def lenient_timestamp(c: Column) -> Column:
-    return c.try_cast("timestamp_ntz")
+    """Times as in ``strict_utc_timestamp``, and a year or month alone as its first instant."""
+    return F.coalesce(_utc(c), F.when(c.rlike(_YEAR_OR_MONTH), c.try_cast("timestamp_ntz")))
 
 
 def lenient_date(c: Column) -> Column:
@@ -30,10 +44,23 @@ def whole(c: Column) -> Column:
     return F.when(c == F.floor(c), c.try_cast("bigint"))
 
 
+# Digits and a fraction of zeros; or digits, the zeros after them, a fraction without its last zeros, and an exponent.
+_WHOLE = r"^\s*[+-]?(\d+\.?0*|\.0+)\s*$"
+_SCIENTIFIC = r"(?i)^\s*[+-]?0*(\d*?)(0*)(?:\.(\d*?)0*)?e([+-]?\d+)\s*$"
+
+
+def _is_whole(c: Column) -> Column:
+    """The text is a whole number, judged by its own digits: no cast that drops digits decides."""
+    digits, zeros, fraction, exponent = (F.regexp_extract(c, _SCIENTIFIC, g) for g in (1, 2, 3, 4))
+    power = exponent.try_cast("int")
+    places = F.length(fraction) - power  # digits behind the point, or how many zeros before it must give way
+    whole = F.when(F.length(fraction) > 0, places <= 0).otherwise((F.length(digits) == 0) | (F.length(zeros) >= -power))
+    return c.rlike(_WHOLE) | (c.rlike(_NUMBER) & c.rlike(_SCIENTIFIC) & F.coalesce(whole, F.lit(False)))
+
+
 def lenient_long(c: Column) -> Column:
-    """Whole numbers, also when written with a fraction of zero ("146.0"); 64-bit ids stay exact."""
-    number = c.try_cast("decimal(38,6)")
-    return F.coalesce(c.try_cast("bigint"), F.when(number == F.floor(number), number.try_cast("bigint")))
+    """Whole numbers, also when written with a fraction of zero ("146.0") or an exponent; 64-bit ids stay exact."""
+    return F.coalesce(c.try_cast("bigint"), F.when(_is_whole(c), F.trim(c).try_cast("decimal(38,0)").try_cast("bigint")))
 
 
 def strict_long(c: Column, name: str, kept: Column | None = None) -> Column:
@@ -41,20 +68,12 @@ def strict_long(c: Column, name: str, kept: Column | None = None) -> Column:
     return _guarded(F.coalesce(lenient_long(c), _fail(name, c, "bigint")), kept)
 
 
-# A date, maybe a time of day, and maybe "UTC", "Z" or an offset. Spark's cast would ignore what follows the time.
-_ZONED = r"^\s*(\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?)\s*(?:UTC|Z|([+-])(\d{2}):?(\d{2}))?\s*$"
-
-
 def strict_utc_timestamp(c: Column, name: str, kept: Column | None = None) -> Column:
     """Time written as "2019-10-01 00:00:00 UTC", or with an offset, which is taken off.
 
     NULL stays NULL. Bad text, and with it any other name of a zone, is an error.
     """
-    local = F.regexp_extract(c, _ZONED, 1).try_cast("timestamp_ntz")
-    hours, minutes = (F.coalesce(F.regexp_extract(c, _ZONED, g).try_cast("int"), F.lit(0)) for g in (3, 4))
-    sign = F.when(F.regexp_extract(c, _ZONED, 2) == "-", 1).otherwise(-1)
-    time = local + F.make_dt_interval(F.lit(0), sign * hours, sign * minutes)
-    return _guarded(F.when(c.isNotNull(), F.coalesce(time, _fail(name, c, "timestamp_ntz"))), kept)
+    return _guarded(F.when(c.isNotNull(), F.coalesce(_utc(c), _fail(name, c, "timestamp_ntz"))), kept)
 
 
 def _guarded(value: Column, kept: Column | None) -> Column:

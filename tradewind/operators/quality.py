@@ -1,8 +1,8 @@
-"""Reports on tables: cleaning audit, row counts, constraint violations, differences."""
+"""Reports on tables: cleaning audit, row counts, differences."""
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,48 +33,6 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
 
 
-# ── constraints: each check returns rows (constraint, n_bad) ────────────────────────────────────
-
-
-def not_null(table: str, df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column, all counted in one pass."""
-    counts = [
-        F.struct(F.lit(f"{table}.{c} not null").alias("constraint"), F.col(c).cast("bigint").alias("n_bad")) for c in columns
-    ]
-    return null_counts(df, columns).select(F.inline(F.array(*counts)))
-
-
-def check(name: str, df: DataFrame, predicate: Column) -> DataFrame:
-    """Rows for which the predicate is false; NULL passes, as in SQL."""
-    return _report(name, df.filter(~predicate).agg(F.count("*").alias("n_bad")))
-
-
-def unique(name: str, df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows beyond the first of each key. A key with a NULL is never a duplicate, as in SQL."""
-    repeated = df.select(*keys).dropna().groupBy(*keys).count().filter(F.col("count") > 1)
-    return _report(name, repeated.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_bad")))
-
-
-def foreign_key(
-    name: str, child: DataFrame, keys: list[str], parent: DataFrame, parent_keys: list[str] | None = None
-) -> DataFrame:
-    """Child rows whose key has no parent; rows with a NULL key pass, as in SQL.
-
-    Rows are counted per key before the anti-join, so a hot key is one row in it.
-    """
-    values = parent.select(*[F.col(p).alias(k) for p, k in zip(parent_keys or keys, keys)])
-    per_key = child.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("_n"))
-    return _report(name, per_key.join(values, keys, "left_anti").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_bad")))
-
-
-def violations(checks: list[DataFrame]) -> DataFrame:
-    return union_all(checks)
-
-
-def _report(name: str, counted: DataFrame) -> DataFrame:
-    return counted.select(F.lit(name).alias("constraint"), F.col("n_bad").cast("bigint").alias("n_bad"))
-
-
 # ── differences ─────────────────────────────────────────────────────────────────────────────────
 
 

@@ -9,6 +9,7 @@ from ..functions.parse import lenient_date, lenient_double, lenient_long, lenien
 from ..functions.text import flag, normalize, strip
 from ..operators.ordering import keep_one
 from ..operators.quality import audit
+from ..operators.storage import materialise
 from ..schemas import CAMPAIGN_FLAGS, MESSAGE_FLAGS, MESSAGE_LABELS, MESSAGE_TIMES
 
 
@@ -118,3 +119,12 @@ def clean_friends(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         .dropDuplicates()
     )
     return clean, audit("friends", raw, clean)
+
+
+CLEANERS = {"events": clean_events, "campaigns": clean_campaigns, "messages": clean_messages, "friends": clean_friends}
+
+
+def clean_and_audit(name: str, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A stored cleaned table and its audit row. ``raw`` is best a stored table, too: both are counted as they lie."""
+    clean = materialise(CLEANERS[name](raw)[0], name)
+    return clean, audit(name, raw, clean)

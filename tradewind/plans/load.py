@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from ..operators.quality import audit, row_counts, union_all
 from ..operators.storage import materialise, table_scope
 from ..sources.csv import read_raw
-from ..sources.tables import read_clean, write_tables
+from ..sources.months import Months
+from ..sources.tables import current, publication, read_clean, read_tables, write_tables
 from . import models
-from .clean import clean_campaigns, clean_events, clean_first_purchases, clean_friends, clean_messages
+from .clean import CLEANERS, clean_and_audit, clean_first_purchases
 from .dimensions import assign_keys, build_clients, build_users, enforce_campaigns
 
 MODELS = ("relational", "wide", "document", "graph")
@@ -19,16 +20,19 @@ def clean_dataset(spark: SparkSession, raw_folder: str, folder: str, multi_line:
 
     Clients are taken from the messages before those without a known campaign are dropped. Each raw
     file is parsed once, into a table that goes with the other intermediate ones when the job ends.
+    The tables are published together, so a run that fails leaves the former ones in place.
     ``multi_line`` reads line breaks inside quotes.
     """
-    with table_scope(spark):
+    with table_scope(spark), publication(spark, folder) as version:
         raw = {name: materialise(df, f"raw-{name}") for name, df in read_raw(spark, raw_folder, multi_line).items()}
-        cleaners = {"events": clean_events, "campaigns": clean_campaigns, "messages": clean_messages, "friends": clean_friends}
-        clean = {name: materialise(cleaner(raw[name])[0], name) for name, cleaner in cleaners.items()}
+        clean, reports = {}, []
+        for name in CLEANERS:
+            clean[name], report = clean_and_audit(name, raw[name])
+            reports.append(report)
         categories, products, events = assign_keys(clean["events"])
         clients = build_clients(clean["messages"], clean_first_purchases(raw["client_first_purchase_date"]))
         messages = enforce_campaigns(clean["messages"], clean["campaigns"])
-        write_tables(
+        stored = version.write(
             {
                 "events": events,
                 "campaigns": clean["campaigns"],
@@ -37,14 +41,10 @@ def clean_dataset(spark: SparkSession, raw_folder: str, folder: str, multi_line:
                 "friends": clean["friends"],
                 "categories": categories,
                 "products": products,
-            },
-            folder,
+            }
         )
-        stored = {name: spark.read.parquet(f"{folder}/{name}") for name in ("events", "clients", "friends", "messages")}
-        write_tables({"users": build_users(stored["events"], stored["clients"], stored["friends"])}, folder)
-        users = spark.read.parquet(f"{folder}/users")
+        users = version.write({"users": build_users(stored["events"], stored["clients"], stored["friends"])})["users"]
         unmatched = stored["events"].filter("product_sk IS NULL")
-        reports = [audit(name, raw[name], clean[name]) for name in cleaners]
         reports += [
             audit("clients", raw["client_first_purchase_date"], stored["clients"]),
             audit("messages with a known campaign", clean["messages"], stored["messages"]),
@@ -55,24 +55,34 @@ def clean_dataset(spark: SparkSession, raw_folder: str, folder: str, multi_line:
 
 
 def load_models(
-    spark: SparkSession, clean_folder: str, folder: str, forms: tuple[str, ...] = MODELS, parts: int = models.PARTS
+    spark: SparkSession,
+    clean_folder: str,
+    folder: str,
+    forms: tuple[str, ...] = MODELS,
+    parts: int = models.PARTS,
+    months: Months | None = None,
 ) -> DataFrame:
-    """Store the chosen models of a cleaned data set, each under ``folder``/<form>.
+    """Store the chosen models of a cleaned data set, each as <form> in a new version of ``folder``.
 
     Returns the audit: what each foreign key dropped (table, key, n_rows, dropped), and with key
     "rows" the size of each resolved table. Resolved tables are written once, and all forms are made
-    from them. ``parts`` is the layout of the document form's users.
+    from them and published together. ``parts`` is the layout of the document form's users,
+    ``months`` bounds the months that events are stored by.
     """
-    with table_scope(spark):
-        resolved, dropped = models.resolve_with_audit(read_clean(spark, clean_folder))
-        resolved = {name: materialise(df, name) for name, df in resolved.items()}
-        write_models(resolved, folder, forms, parts)
+    with table_scope(spark), publication(spark, folder) as version:
+        resolved, dropped = models.resolve_with_audit(read_clean(spark, clean_folder), months)
+        write_models(resolved, version.path, forms, parts)
         sizes = row_counts(resolved).select(
             F.col("name").alias("table"), F.lit("rows").alias("key"), F.col("n").alias("n_rows"), F.lit(0).cast("bigint").alias("dropped")
         )
         return _kept(dropped.unionByName(sizes))
 
 
+def read_model(spark: SparkSession, folder: str, form: str, names: list[str]) -> dict[str, DataFrame]:
+    """Tables of one form in the current version of ``folder``."""
+    return read_tables(spark, f"{current(spark, folder)}/{form}", names)
+
+
 def _kept(report: DataFrame) -> DataFrame:
     """A report of some rows that outlives the tables it was made from."""
     return report.sparkSession.createDataFrame(report.collect(), report.schema)

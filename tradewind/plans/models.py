@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import whole
+from ..operators.constraints import Check, Constraint, ForeignKey, Unique, not_null
 from ..operators.embed import embed
-from ..operators.integrity import keep_known
+from ..operators.integrity import FAILED, Parent, failures, first_failing, passed
 from ..operators.keys import dense_keys
 from ..operators.ordering import keep_one, nulls_last
-from ..operators.quality import check, foreign_key, not_null, union_all, unique
+from ..operators.quality import union_all
+from ..operators.storage import materialise
 from ..schemas import CAMPAIGN_COLUMNS, EVENT_COLUMNS, MESSAGE_COLUMNS
+from ..sources.months import Months, month_of
 
 MONEY = "decimal(10,2)"
 # Fixed value: parts of each user's document in stored models and registered queries. A prime, as ids may come in steps.
@@ -27,53 +30,55 @@ def existing(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[c for c in columns if c in df.columns])
 
 
-def resolve(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables with every foreign key resolved and event_id 1..n in time order.
+def resolve(t: dict[str, DataFrame], months: Months | None = None) -> dict[str, DataFrame]:
+    """The tables with every foreign key resolved and event_id 1..n in time order, all of them stored.
 
-    Events get an event_month column, the layout column of event tables. Numbering leaves them
-    sorted by time, so writing them by month makes few files per month.
+    Events get an event_month column, the layout column of event tables; ``months`` bounds it.
+    Numbering leaves them sorted by time, so writing them by month makes few files per month.
     """
-    return resolve_with_audit(t)[0]
+    return resolve_with_audit(t, months)[0]
 
 
-def resolve_with_audit(t: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+def resolve_with_audit(t: dict[str, DataFrame], months: Months | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """``resolve``, and what each foreign key dropped: table, key, n_rows (before), dropped.
 
-    A key is checked on the rows that the keys before it kept.
+    A key is checked on the rows that the keys before it kept. Each table with foreign keys is
+    written once, rejected rows too, with the key that rejected them, and counted there.
     """
-    counts = []
+    campaigns = keep_one(t["campaigns"].withColumnRenamed("id", "campaign_id"), ["campaign_id", "campaign_type"])
+    campaigns, users = materialise(campaigns, "campaigns"), materialise(t["users"].select("user_id").distinct(), "users")
+    clients = materialise(keep_one(t["clients"], ["client_id"]), "clients")
 
-    def known(name: str, child: DataFrame, keys: list[str], parent: str, parent_keys: list[str] = None, allow_null: bool = False):
-        kept = keep_known(child, keys, parents[parent], parent_keys, allow_null)
-        number = F.lit("+".join(keys)).alias("key")
-        before = child.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table"), number, "n_rows", F.lit(0).cast("long").alias("left"))
-        after = kept.agg(F.count("*").alias("left")).select(F.lit(name).alias("table"), number, F.lit(0).cast("long").alias("n_rows"), "left")
-        counts.extend([before, after])
-        return kept
+    campaign = Parent(["campaign_id", "message_type"], campaigns, ["campaign_id", "campaign_type"])
+    client = Parent(["client_id"], clients, allow_null=True)
+    messages = materialise(first_failing(t["messages"], [campaign, client]), "messages")
 
-    campaigns = keep_one(t["campaigns"].withColumnRenamed("id", "campaign_id"), ["campaign_id", "campaign_type"])
-    parents = {**t, "campaigns": campaigns}
-    messages = known("messages", t["messages"], ["campaign_id", "message_type"], "campaigns", ["campaign_id", "campaign_type"])
-    messages = known("messages", messages, ["client_id"], "clients", allow_null=True)
-    events = known("events", t["events"], ["user_id"], "users")
-    events = known("events", events, ["product_sk"], "products")
-    first = ["event_time", "user_id", "product_sk"]
+    event_parents = [Parent(["user_id"], users), Parent(["product_sk"], t["products"])]
+    events = first_failing(t["events"], event_parents)
+    first = [FAILED, "event_time", "user_id", "product_sk"]
+    # Rejected rows come last, so the others are numbered without gaps.
     events = dense_keys(events, nulls_last(*first, *[c for c in events.columns if c not in first]), "event_id")
+
     friends = t["friends"].select(F.col("friend1").alias("user_id_1"), F.col("friend2").alias("user_id_2"))
-    friends = known("friendships", friends, ["user_id_1"], "users", ["user_id"])
-    friends = known("friendships", friends, ["user_id_2"], "users", ["user_id"])
+    friend_parents = [Parent([end], users, ["user_id"]) for end in ("user_id_1", "user_id_2")]
+    friends = materialise(first_failing(friends, friend_parents), "friendships")
+
     resolved = {
-        "users": t["users"].select("user_id").distinct(),
-        "clients": keep_one(t["clients"], ["client_id"]),
+        "users": users,
+        "clients": clients,
         "categories": t["categories"],
         "products": t["products"],
         "campaigns": campaigns,
-        "messages": messages,
-        "events": events.withColumn("event_month", F.date_format("event_time", "yyyy-MM")),
-        "friendships": friends,
+        "messages": passed(messages),
+        "events": passed(events).withColumn("event_month", month_of("event_time", months)),
+        "friendships": passed(friends),
     }
-    report = union_all(counts).groupBy("table", "key").agg(F.sum("n_rows").alias("n_rows"), F.sum("left").alias("left"))
-    return resolved, report.select("table", "key", "n_rows", (F.col("n_rows") - F.col("left")).alias("dropped"))
+    report = [
+        failures("messages", messages, [campaign, client]),
+        failures("events", events, event_parents),
+        failures("friendships", friends, friend_parents),
+    ]
+    return resolved, union_all(report)
 
 
 # Layout column per table, for write_tables.
@@ -210,8 +215,8 @@ def _edges(df: DataFrame, src: str, dst: str, properties: list[str] = ()) -> Dat
     return ends.select(F.col(src).alias("src"), F.col(dst).alias("dst"), *[c for c in properties if c in df.columns])
 
 
-def constraint_checks(m: dict[str, DataFrame]) -> list[DataFrame]:
-    """The constraints of the normalised model, as checks for ``quality.violations``."""
+def constraints(tables: dict[str, DataFrame]) -> list[Constraint]:
+    """The constraints of the normalised model, for ``constraints.violations``."""
     keys = {
         "users": ["user_id"],
         "clients": ["client_id"],
@@ -239,26 +244,27 @@ def constraint_checks(m: dict[str, DataFrame]) -> list[DataFrame]:
         ("friendships", ["user_id_1"], "users", ["user_id"]),
         ("friendships", ["user_id_2"], "users", ["user_id"]),
     ]
-    checks = [unique(f"{name} primary key", m[name], key) for name, key in keys.items()]
-    checks += [not_null(name, m[name], [*key, *required.get(name, [])]) for name, key in keys.items()]
-    checks += [
-        foreign_key(f"{child}.{'+'.join(cols)} in {parent}", m[child], cols, m[parent], parent_cols)
+    found = [Unique(f"{name} primary key", name, tuple(key)) for name, key in keys.items()]
+    for name, key in keys.items():
+        found += not_null(name, [*key, *required.get(name, [])])
+    found += [
+        ForeignKey(f"{child}.{'+'.join(cols)} in {parent}", child, tuple(cols), parent, tuple(parent_cols))
         for child, cols, parent, parent_cols in parents
     ]
-    checks += [
-        unique("clients unique user and device", m["clients"], ["user_id", "user_device_id"]),
-        unique("categories unique id and code", m["categories"], ["category_id", "category_code"]),
-        check("friendships lower user first", m["friendships"], F.col("user_id_1") < F.col("user_id_2")),
+    found += [
+        Unique("clients unique user and device", "clients", ("user_id", "user_device_id")),
+        Unique("categories unique id and code", "categories", ("category_id", "category_code")),
+        Check("friendships lower user first", "friendships", F.col("user_id_1") < F.col("user_id_2")),
     ]
-    if "message_id" in m["messages"].columns:
-        checks.append(unique("messages unique message_id", m["messages"], ["message_id"]))
-    return checks
+    if "message_id" in tables["messages"].columns:
+        found.append(Unique("messages unique message_id", "messages", ("message_id",)))
+    return found
 
 
-def vertex_checks(vertices: dict[str, DataFrame]) -> list[DataFrame]:
-    """The unique keys of the graph model's vertices, as checks for ``quality.violations``."""
+def vertex_constraints() -> list[Constraint]:
+    """The unique keys of the graph model's vertices."""
     keys = {"User": "user_id", "Client": "client_id", "Product": "product_sk", "Category": "category_sk"}
-    return [unique(f"{label} unique {key}", vertices[label], [key]) for label, key in keys.items()]
+    return [Unique(f"{label} unique {key}", label, (key,)) for label, key in keys.items()]
 
 
 def month_counts(events: DataFrame) -> DataFrame:

@@ -27,7 +27,8 @@ def _dirty_flag(key: str, shift: int) -> str:
 def _dirty_time(key: str, shift: int) -> str:
     return (
         f"CASE WHEN ({key} + {shift}) % 29 = 0 THEN 'not a time' WHEN ({key} + {shift}) % 5 = 1 THEN NULL "
-        "ELSE CAST(o_orderdate AS STRING) END"
+        "ELSE CAST(o_orderdate AS STRING) || "
+        f"CASE ({key} + {shift}) % 31 WHEN 3 THEN '+05:00' WHEN 4 THEN '-09:30' WHEN 5 THEN ' Europe/Paris' WHEN 6 THEN ' UTC' ELSE '' END END"
     )
 
 
@@ -37,7 +38,7 @@ _RAW_MESSAGE = {
     "ELSE 'm-' || CAST(o_orderkey AS STRING) || suffix END",
     "campaign_id": "CAST(o_orderkey % 25 AS STRING)",
     "message_type": "' ' || o_orderpriority || ' '",
-    "client_id": "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) || '.0' END",
+    "client_id": "CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 59 = 1 THEN '146.0000001' ELSE CAST(o_custkey AS STRING) || '.0' END",
     "user_id": "CASE WHEN o_orderkey % 53 = 0 THEN 'unknown' ELSE CAST(o_custkey - o_custkey % 2 AS STRING) END",
     "user_device_id": "CAST(o_custkey % 2 AS STRING)",
     "channel": "CASE o_orderkey % 3 WHEN 0 THEN ' Email' WHEN 1 THEN 'PUSH ' ELSE 'sms' END",
@@ -45,7 +46,8 @@ _RAW_MESSAGE = {
     "platform": "CASE o_orderkey % 4 WHEN 0 THEN 'Android ' WHEN 1 THEN ' iOS' WHEN 2 THEN NULL ELSE 'desktop' END",
     "email_provider": "CASE WHEN o_orderkey % 3 = 0 THEN ' Mail.Example' ELSE NULL END",
     "stream": "lower(o_orderstatus)",
-    "date": "CASE WHEN o_orderkey % 37 = 0 THEN '??' ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END",
+    "date": "CASE WHEN o_orderkey % 37 = 0 THEN '??' WHEN o_orderkey % 37 = 1 THEN substr(CAST(o_orderdate AS STRING), 1, 10) || ' 02:00:00+04:00' "
+    "ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END",
     **{c: _dirty_flag("o_orderkey", i) for i, c in enumerate(MESSAGE_FLAGS)},
     **{c: _dirty_time("o_orderkey", i) for i, c in enumerate(MESSAGE_TIMES)},
 }
@@ -55,9 +57,10 @@ _RAW_CAMPAIGN = {
     "campaign_type": "CASE WHEN copy = 1 THEN upper(campaign_type) ELSE ' ' || campaign_type END",
     "channel": "CASE WHEN copy = 1 THEN 'Push' ELSE ' EMAIL ' END",
     "topic": "CASE WHEN campaign_id % 5 = 0 THEN NULL ELSE 'Sale ' || CAST(campaign_id AS STRING) END",
-    "started_at": "CASE WHEN campaign_id % 7 = 0 THEN 'soon' ELSE '2021-04-30 07:22:36.615023' END",
+    "started_at": "CASE WHEN campaign_id % 7 = 0 THEN 'soon' WHEN campaign_id % 7 = 1 THEN '2021-04-30T22:00:00+05:30' ELSE '2021-04-30 07:22:36.615023' END",
     "finished_at": "CASE WHEN campaign_id % 3 = 0 THEN NULL ELSE '2021-05-01 08:00:00' END",
-    "total_count": "CASE WHEN campaign_id % 6 = 0 THEN 'many' ELSE CAST(campaign_id * 10 AS STRING) || '.0' END",
+    "total_count": "CASE WHEN campaign_id % 6 = 0 THEN 'many' WHEN campaign_id % 6 = 1 THEN CAST(campaign_id AS STRING) || '.0000001' "
+    "ELSE CAST(campaign_id * 10 AS STRING) || '.0' END",
     **{c: _dirty_flag("campaign_id", i) for i, c in enumerate(CAMPAIGN_FLAGS)},
     "hour_limit": "CASE WHEN campaign_id % 4 = 0 THEN '24' WHEN campaign_id % 8 = 1 THEN '1.5' WHEN campaign_id % 8 = 5 THEN '2.5f' ELSE NULL END",
     "subject_length": "CASE WHEN campaign_id % 9 = 0 THEN '-' ELSE CAST(40 + campaign_id AS STRING) END",
