@@ -227,7 +227,7 @@ def test_versions_switch_as_a_whole_and_old_ones_go(spark, tmp_path, rows):
 
 
 def test_a_load_reads_each_table_once_for_its_audit(spark, shop, monkeypatch):
-    """The events are scanned for each foreign key's distinct values, once for the numbering, and never for counts."""
+    """The events are scanned for each foreign key's distinct values, once for the numbering, and never again for counts."""
     folder, _ = shop
     clean = read_clean(spark, f"{folder}/clean")
     _, audit = models.resolve_with_audit(clean)

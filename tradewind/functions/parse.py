@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 
 # A date, maybe a time of day, and maybe "UTC", "Z" or an offset. Spark's cast would ignore what follows the time.
-_ZONED = r"^\s*(\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?)\s*(?:UTC|Z|([+-])(\d{2}):?(\d{2}))?\s*$"
+_ZONED = r"^\s*(\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?)\s*(?:UTC|Z|([+-]\d{2}:?\d{2}))?\s*$"
 _YEAR_OR_MONTH = r"^\s*\d{4}(-\d{1,2})?\s*$"
 
 
 def _utc(c: Column) -> Column:
     """The wall-clock time in UTC, an offset taken off; NULL for any other text, with it any other name of a zone."""
     local = F.regexp_extract(c, _ZONED, 1).try_cast("timestamp_ntz")
-    hours, minutes = (F.coalesce(F.regexp_extract(c, _ZONED, g).try_cast("int"), F.lit(0)) for g in (3, 4))
-    sign = F.when(F.regexp_extract(c, _ZONED, 2) == "-", 1).otherwise(-1)
-    return local + F.make_dt_interval(F.lit(0), sign * hours, sign * minutes)
+    offset = F.regexp_extract(c, _ZONED, 2)
+    minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.right(offset, F.lit(2)).try_cast("int")
+    ahead = F.when(offset == "", 0).when(F.left(offset, F.lit(1)) == "+", minutes).otherwise(-minutes)
+    return F.timestamp_add("MINUTE", -ahead, local)
 
 
 def lenient_timestamp(c: Column) -> Column:

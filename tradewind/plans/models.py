@@ -57,7 +57,9 @@ def resolve_with_audit(t: dict[str, DataFrame], months: Months | None = None) ->
     events = first_failing(t["events"], event_parents)
     first = [FAILED, "event_time", "user_id", "product_sk"]
     # Rejected rows come last, so the others are numbered without gaps.
-    events = dense_keys(events, nulls_last(*first, *[c for c in events.columns if c not in first]), "event_id")
+    numbered = dense_keys(events, nulls_last(*first, *[c for c in events.columns if c not in first]), "event_id")
+    # Written with their ids, so that the four forms read them without the offsets of the numbering.
+    events = materialise(passed(numbered).withColumn("event_month", month_of("event_time", months)), "events")
 
     friends = t["friends"].select(F.col("friend1").alias("user_id_1"), F.col("friend2").alias("user_id_2"))
     friend_parents = [Parent([end], users, ["user_id"]) for end in ("user_id_1", "user_id_2")]
@@ -70,12 +72,12 @@ def resolve_with_audit(t: dict[str, DataFrame], months: Months | None = None) ->
         "products": t["products"],
         "campaigns": campaigns,
         "messages": passed(messages),
-        "events": passed(events).withColumn("event_month", month_of("event_time", months)),
+        "events": events,
         "friendships": passed(friends),
     }
     report = [
         failures("messages", messages, [campaign, client]),
-        failures("events", events, event_parents),
+        failures("events", numbered, event_parents),
         failures("friendships", friends, friend_parents),
     ]
     return resolved, union_all(report)

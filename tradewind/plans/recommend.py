@@ -189,9 +189,9 @@ def _recommend(
         offered = salted_join(favourites, best, key, "inner", ["user_id"], NULLABLE)
         picked = offered.join(bought, ["user_id", "product_sk"], "left_anti")
     elif exclusion == "before_rank":
-        picked = _first_not_bought(favourites, rated, bought, key, n_products)
-        if names is not None:
-            picked = salted_join(picked, names, key, "inner", ["user_id"])
+        # Names come to the products, which are far fewer than the rows returned.
+        named = rated if names is None else salted_join(rated, names, key, "inner", ["product_sk"])
+        picked = _first_not_bought(favourites, named, bought, key, n_products)
     else:
         raise ValueError(f"unknown exclusion: {exclusion}")
     result = picked.withColumn("price", F.round(F.col("last_known_price"), 2)).withColumn(
@@ -212,7 +212,7 @@ def _first_not_bought(favourites: DataFrame, rated: DataFrame, bought: DataFrame
     """
     place = ["user_id", *key]
     block = [*place, "_block"]
-    ranked = rank_within(rated, key, _by_popularity(), "_rank", NULLABLE)
+    ranked = materialise(rank_within(rated, key, _by_popularity(), "_rank", NULLABLE), "ranked")
     taken = bought.join(ranked.select("product_sk", *key, "_rank"), "product_sk").select(*place, "_rank")
     # A mark behind the last rank closes the last gap.
     ends = favourites.select(*place, F.lit(2**62).alias("_rank"))
