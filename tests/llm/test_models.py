@@ -156,6 +156,37 @@ def test_toxicity_sample_and_odd_rows(spark):
     assert len({r["s"] for r in scores if not (r["text"] or "").strip()}) == 1
 
 
+def test_toxicity_sample_loses_no_document_to_copies(spark):
+    rows = [(1, "aa"), (1, "aa"), (1, "aa"), (2, "bb"), (3, "cc"), (3, "c"), (4, None), (4, None), (None, "n")]
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    texts, toxic = toxicity.sample(docs, labels, "doc_id", "text", "toxic", 100, 1 << 20)
+    assert sorted(zip(map(str, texts), toxic, strict=True)) in [
+        sorted([("aa", 1), ("bb", 0), (three, 0), ("None", 1)]) for three in ("c", "cc")
+    ]
+    again = toxicity.sample(docs.repartition(7), labels, "doc_id", "text", "toxic", 100, 1 << 20)
+    assert again == (texts, toxic)
+    assert len(toxicity.sample(docs, labels, "doc_id", "text", "toxic", 2, 1 << 20)[0]) == 2
+    assert len(toxicity.sample(docs, labels, "doc_id", "text", "toxic", 100, 4)[0]) >= 2
+
+
+def test_toxicity_scores_are_the_softmax_of_averaged_embeddings():
+    texts = ["you are a vile idiot", "the meadow is green", "vile vile idiot", "green green meadow grass", None, ""] * 4
+    toxic = [1, 0, 1, 0, 0, 0] * 4
+    table, out, bias = toxicity.embeddings(texts, toxic)
+    scorer = toxicity.Scorer(toxicity.train(texts, toxic))
+    for text in [*texts, "a vyle idoit in the grass", "naïve Übung, ÄÖ", "x" * 50]:
+        total, weight = np.zeros(toxicity.WIDTH), 0.0
+        for word in set((text or "").encode().lower().split()):
+            often = (text.encode().lower().split().count(word)) ** 0.5
+            for bucket in toxicity.subwords(word):
+                total += often * table[bucket]
+                weight += often
+        logits = out @ (total / (toxicity.PADDING + weight)) + bias
+        share = np.exp(logits - logits.max())
+        assert scorer.score(text) == pytest.approx(share[1] / share.sum(), abs=1e-5)
+
+
 @pytest.mark.parametrize("labelled, score", [([], 0.0), ([(1, 0), (2, 0)], 0.0), ([(1, 1), (2, 1)], 1.0)])
 def test_toxicity_without_both_classes(spark, labelled, score):
     docs = cases.documents(spark)

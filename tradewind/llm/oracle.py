@@ -23,12 +23,12 @@ def _quality() -> str:
             FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
     twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM tri) WHERE c > 1),
     covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
-    m AS (SELECT *, list_filter(list_transform(string_split(t, chr(10)),
-                    lambda x: regexp_replace(x, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')), lambda x: x <> '') AS ls FROM d),
+    l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS whole FROM d),
+    m AS (SELECT *, list_transform(whole, lambda x: regexp_replace(x, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')) AS ls FROM l),
     c AS (SELECT doc_id, len(w)::bigint AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g'))::bigint AS word_chars,
             {_count_of('#*$%&|<>')}::bigint AS n_symbols, {_count_of('!')} AS n_exclaims, {_count_of('A-Z')} AS n_upper,
             len(list_filter(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ({stops}))) AS n_stop_words,
-            len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::bigint AS n_dup_lines,
+            len(ls) AS n_lines, (len(whole) - len(list_distinct(whole)))::bigint AS n_dup_lines,
             len(list_filter(ls, lambda x: x LIKE '%...' OR x LIKE '%…')) AS n_ellipsis_lines,
             len(list_filter(ls, lambda x: x[1] IN ('-', '*', '•'))) AS n_bullet_lines,
             coalesce(n, 0)::bigint AS n_repeat_words
@@ -49,7 +49,8 @@ def _line_dedup(min_sites: int = 10) -> str:
              FROM l LEFT JOIN wide USING (k))
     SELECT doc_id, count(*)::bigint AS n_lines, count(*) FILTER (NOT keep)::bigint AS n_removed,
       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keep), '')) AS kept_sha256
-    FROM kept GROUP BY r, doc_id"""
+    FROM kept GROUP BY r, doc_id
+    UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL"""
 
 
 DECONTAMINATE = r"""

@@ -12,7 +12,7 @@ order of a hash of their ids, of which those are left out that would bring the t
 
 Defined results: only ASCII letters are lower-cased; NULL and wordless texts get the score of an empty
 bag. Labels that are NULL or belong to no document are not used; of several labels of a document the
-greatest counts. Without labelled rows of both classes the score is the share of toxic ones (0 if
+greatest counts, and of several rows with a labelled id the one with the least hash of its text. Without labelled rows of both classes the score is the share of toxic ones (0 if
 there are none). Equal texts get equal scores; an empty table gives no rows.
 """
 
@@ -68,10 +68,17 @@ class Model:
 
 
 def train(texts: list[str | None], toxic: list[int], seed: int = 0) -> Model:
-    y = np.array(toxic, np.int64)
+    """The model, with what each bucket adds to the log odds folded into one number."""
     if len(set(toxic)) < 2:
-        share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
+        share = min(max(float(np.mean(toxic)) if toxic else 0.0, 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
+    table, out, bias = embeddings(texts, toxic, seed)
+    return Model((table @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
+
+
+def embeddings(texts: list[str | None], toxic: list[int], seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings of the buckets, and weights and biases of the two classes, trained together."""
+    y = np.array(toxic, np.int64)
     known: dict[bytes, array] = {}
     bags = [_bag(t, known) for t in texts]
     known.clear()
@@ -101,7 +108,7 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 0) -> Model:
             for parameter, gradient, step in ((out, error.T @ mean, steps[1]), (bias, error.sum(axis=0), steps[2])):
                 step += gradient**2
                 parameter -= RATE * gradient / np.sqrt(step)
-    return Model((table @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
+    return table, out, bias
 
 
 class Scorer:
@@ -129,7 +136,7 @@ class Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, max_rows: int, max_bytes: int):
-    """Texts and labels to learn from, at most ``max_rows`` and ``max_bytes``."""
+    """Texts and labels to learn from, at most ``max_rows`` and ``max_bytes``, one text for each id."""
     place = F.xxhash64(F.col(id).cast("string"))
     chosen = (
         labels.where(F.col(id).isNotNull() & F.col(label).isNotNull())
@@ -138,21 +145,19 @@ def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, m
         .orderBy(place, id)
         .limit(max_rows)
     )
-    joined = docs.join(F.broadcast(chosen), id)  # at most max_rows rows
-    size = F.coalesce(F.octet_length(text), F.lit(0)).alias("size")
-    sizes = joined.select(id, size).orderBy(place, id, "size").limit(max_rows).toArrow().to_pylist()
-    total, fits = 0, set()
-    for row in sizes:
+    joined = docs.join(F.broadcast(chosen), id).withColumn("_hash", F.xxhash64(text))  # at most max_rows ids
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    first = joined.groupBy(id).agg(F.min(F.struct("_hash", size.alias("size"))).alias("first"))
+    total, fits = 0, []
+    for row in first.orderBy(place, id).select(id, "first.*").toArrow().to_pylist():
         if total + row["size"] <= max_bytes:
             total += row["size"]
-            fits.add((row[id], row["size"]))
+            fits.append((row[id], row["_hash"]))
     if not fits:
         return [], []
-    fitting = docs.sparkSession.createDataFrame(sorted(fits), docs.select(id, size).schema)
-    texts = joined.withColumn("_size", F.coalesce(F.octet_length(text), F.lit(0))).join(
-        F.broadcast(fitting.withColumnsRenamed({id: "_id", "size": "_s"})), (F.col(id) == F.col("_id")) & (F.col("_size") == F.col("_s"))
-    )
-    rows = texts.select(id, F.col(text).alias("text"), "_toxic").orderBy(place, id, "text").limit(len(fits)).toArrow().to_pylist()
+    fitting = docs.sparkSession.createDataFrame(fits, joined.select(id, "_hash").schema)
+    texts = joined.join(F.broadcast(fitting), [id, "_hash"], "left_semi").dropDuplicates([id])
+    rows = texts.select(id, F.col(text).alias("text"), "_toxic").orderBy(place, id).toArrow().to_pylist()
     return [r["text"] for r in rows], [int(r["_toxic"] > 0) for r in rows]
 
 
