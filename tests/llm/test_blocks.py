@@ -1,0 +1,72 @@
+"""Lookups of many blocks' keys in one table: replies, and that their cost follows the questions."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tradewind.llm import anchors, blocks
+
+PARTS = 3
+
+
+def asks_of(spark, n_blocks, keys_each):
+    """Every block asks each part for the same hot key and for keys of its own."""
+    rows = [
+        (p, b, blocks.dump(np.append(np.uint64(p), np.arange(keys_each, dtype=np.uint64) + np.uint64(100 + b * keys_each))))
+        for b in range(n_blocks)
+        for p in range(PARTS)
+    ]
+    return spark.createDataFrame(rows, "part int, block long, ask binary")
+
+
+def merge(asks):
+    keys, counts = np.unique(np.concatenate([blocks.load(a)[0] for a in asks]), return_counts=True)
+    return blocks.dump(keys)
+
+
+def answer(table, asks):
+    keys = blocks.load(table)[0]
+    return [np.isin(blocks.load(a)[0], keys).tobytes() + len(keys).to_bytes(4, "little") for a in asks]
+
+
+@pytest.mark.parametrize("n_blocks", [16, 64, 256])
+def test_copies_of_tables_follow_the_bytes_of_the_questions(spark, n_blocks):
+    asks = asks_of(spark, n_blocks, 5)
+    size = asks.agg(F.sum(F.octet_length("ask"))).first()[0]
+    limit = 2_000
+    slots = blocks.slots_of(asks, limit).agg(F.sum("slots")).first()[0]
+    assert size / limit <= slots <= size / limit + PARTS  # linear in the questions, whatever the blocks are
+    assert blocks.slots_of(asks).agg(F.sum("slots")).first()[0] == PARTS
+
+
+@pytest.mark.parametrize("answer_bytes", [500, 1 << 26])
+def test_lookup_answers_each_question_once(spark, answer_bytes):
+    asks = asks_of(spark, 40, 5)
+    found = blocks.lookup(asks, blocks.tables(asks, merge, fan_in=4), answer, answer_bytes).collect()
+    assert sorted((r["block"], r["part"]) for r in found) == [(b, p) for b in range(40) for p in range(PARTS)]
+    # every key is in the one table of its part: the hot key and five of each block
+    assert {bytes(r["reply"]) for r in found} == {b"\x01" * 6 + (1 + 40 * 5).to_bytes(4, "little")}
+
+
+def test_repeated_keys_equal_counting(spark):
+    rng = np.random.default_rng(4)
+    held = {b: np.append(rng.integers(0, 1 << 63, 50, np.uint64) * np.uint64(2), np.full(3, 7, np.uint64)) for b in range(30)}
+    held[30] = np.append(held[0][:20], np.uint64((1 << 64) - 1))
+    frames = [anchors.counted_keys(b, k) for b, k in held.items()]
+    rows = [tuple(map(int, r)) for f in frames for r in f.itertuples(index=False)]
+    asks = spark.createDataFrame(rows, "block long, key long, n long")
+    got = {(r["block"], r["key"] % (1 << 64)): r["hot"] for r in anchors.repeated_keys(asks, 10).collect()}
+    keys, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
+    total = dict(zip(keys.tolist(), counts.tolist(), strict=True))
+    assert got == {(b, k): total[k] > 10 for b, ks in held.items() for k in ks.tolist() if total[k] > 1}
+
+
+def test_rows_of_keys_are_one_per_block_and_key(spark, monkeypatch):
+    """A key that every text repeats is counted in its block and per task before it moves."""
+    frame = anchors.counted_keys(3, np.full(10_000, 9, np.uint64))
+    assert frame.to_dict("list") == {"block": [3], "key": [9], "n": [10_000]}
+
+
+def test_no_keys(spark):
+    asks = spark.createDataFrame([], "block long, key long, n long")
+    assert anchors.repeated_keys(asks, 10).count() == 0

@@ -4,8 +4,10 @@ A window is ``size`` units (words or bytes) in a row. Its anchor is the least ha
 grams, so equal windows have equal anchors, and a shard that holds all windows of an anchor holds
 all copies of each of them. The steps:
 
-1. Every block counts its anchors' occurrences; ``lookup`` says which occur twice or more in all. An
-   anchor that occurs once belongs to windows that stand once. Most text ends here.
+1. Every block counts its anchors' occurrences. They are summed over all blocks, and a join tells each
+   block which of its anchors occur twice or more in all. An anchor that occurs once belongs to
+   windows that stand once. Most text ends here. A key is one row per block that holds it, however
+   often, and is counted per task before it moves, so rows grow with the text and no key is hot.
 2. Runs of windows with the same living anchor are written out as segments, equal segments of a
    block once, with their places. An anchor that occurs more than ``hot`` times (a common phrase)
    would make an unbounded group; its windows are asked about again, each by a hash of the whole
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tradewind.operators.storage import materialise
 
-from .blocks import dealt, dump, load, lookup, pack, parts_for, sorted_bytes, tables, unpack, with_replies
+from .blocks import dump, load, pack, unpack
 
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 4 << 20
@@ -138,27 +140,28 @@ def runs_of(codes: np.ndarray, sizes: list[int], size: int, gram: int) -> tuple[
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def merge(asks: list[bytes]) -> bytes:
-    """Occurrences of the same anchors in sum."""
-    loaded = [load(a) for a in asks]
-    keys = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in loaded])
-    unique, place = np.unique(keys, return_inverse=True)
-    counts = np.minimum(np.bincount(place, np.concatenate([x[1] for x in loaded]), len(unique)), 1 << 30)
-    return dump(sorted_bytes(unique), counts.astype(np.uint32))
+def counted_keys(block: int, keys: np.ndarray) -> pd.DataFrame:
+    unique, counts = np.unique(keys, return_counts=True)
+    return pd.DataFrame({"block": block, "key": unique.view(np.int64), "n": counts})
 
 
-def _ask_rows(block: int, keys: np.ndarray, parts: int) -> pd.DataFrame:
-    unique, counts = np.unique(keys, return_counts=True)
-    rows = [(p, dump(sorted_bytes(unique[at]), counts[at].astype(np.uint32))) for p, at in dealt((unique % np.uint64(parts)).astype(np.int64), parts)]
-    return pd.DataFrame({"part": [p for p, _ in rows], "block": block, "ask": [a for _, a in rows]})
+def repeated_keys(asks: DataFrame, hot: int) -> DataFrame:
+    """block, key and whether hot of the keys (block, key, n) that stand twice or more in all blocks."""
+    stored = materialise(asks, "keys")
+    total = stored.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    return stored.select("block", "key").join(total.select("key", (F.col("n") > hot).alias("hot")), "key")
 
 
-def _states(unique: np.ndarray, replies: dict[int, bytes], parts: int) -> np.ndarray:
-    """0: stands once, 1: more often, 2: hot; of ascending keys."""
-    states = np.zeros(len(unique), np.uint8)
-    for p, at in dealt((unique % np.uint64(parts)).astype(np.int64), parts):
-        states[at] = np.frombuffer(replies[p], np.uint8)
-    return states
+def _states(keys: np.ndarray, reply: pd.DataFrame) -> np.ndarray:
+    """0: stands once, 1: more often, 2: hot; of each key."""
+    if not len(reply):
+        return np.zeros(len(keys), np.uint8)
+    known = reply["key"].to_numpy(np.int64)
+    order = np.argsort(known)
+    known, hot = known[order], reply["hot"].to_numpy(bool)[order]
+    wanted = keys.view(np.int64)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, 1 + hot[at], 0).astype(np.uint8)
 
 
 def repeated_windows(
@@ -175,7 +178,6 @@ def repeated_windows(
 ) -> DataFrame:
     """One row per document: id, n_units, n_removed, starts and ends (of removed runs of units) and kept (bytes)."""
     blocks = pack(docs, id, text, BLOCK_BYTES)
-    parts = parts_for(blocks)
 
     def of_block(payload: bytes):
         kind = units()
@@ -187,19 +189,10 @@ def repeated_windows(
         for frame in frames:
             for number, payload in zip(frame["block"], frame["payload"], strict=True):
                 _, split, codes = of_block(payload)
-                yield _ask_rows(number, runs_of(codes, [len(s) for s in split], size, gram)[3], parts)
-
-    def answer(table: bytes, asks: list[bytes]) -> list[bytes]:
-        keys, counts = load(table)
-        state = (counts > 1).astype(np.uint8) + (counts > hot)
-        keys = np.cumsum(keys, dtype=np.uint64)
-        return [state[np.searchsorted(keys, np.cumsum(load(a)[0], dtype=np.uint64))].tobytes() for a in asks]
+                yield counted_keys(number, runs_of(codes, [len(s) for s in split], size, gram)[3])
 
-    def known(asks: DataFrame) -> DataFrame:
-        stored = materialise(asks, "asks")
-        return materialise(lookup(stored, tables(stored, merge), answer), "replies")
-
-    replies = known(blocks.mapInPandas(asked, "part int, block long, ask binary"))
+    keys = "block long, key long, n long"
+    replies = repeated_keys(blocks.select("block", "payload").mapInPandas(asked, keys), hot)
 
     def segment_rows(number, kind, split, bases, chosen) -> pd.DataFrame:
         """Segments (key, first unit, windows) of pieces of text, equal ones in one row with all places.
@@ -238,26 +231,25 @@ def repeated_windows(
         stretches = list(zip(pieces[cuts].tolist(), firsts.tolist(), lengths.tolist(), strict=True))
         texts = [kind.joined(split[doc][first : first + n + size - 1]) for doc, first, n in stretches]
         places = [dump(np.array([[doc, first]], np.int64)) for doc, first, _ in stretches]
-        asks = _ask_rows(number, window_hashes(codes, at, size), parts)
+        asks = counted_keys(number, window_hashes(codes, at, size))
         return [
             pd.DataFrame({"kind": "stretch", "block": number, "segment": texts, "places": places}),
-            pd.DataFrame({"kind": "ask", "block": number, "part": asks["part"], "segment": asks["ask"]}),
+            pd.DataFrame({"kind": "keys", "block": [number], "segment": [asks["key"].to_numpy().tobytes()], "places": [asks["n"].to_numpy().tobytes()]}),
         ]
 
-    columns = ["kind", "block", "key", "digest", "segment", "copies", "places", "part"]
-    schema = "kind string, block long, key long, digest binary, segment binary, copies long, places binary, part int"
+    columns = ["kind", "block", "key", "digest", "segment", "copies", "places"]
+    schema = "kind string, block long, key long, digest binary, segment binary, copies long, places binary"
 
     def written(frames: list[pd.DataFrame]) -> pd.DataFrame:
         whole = pd.concat([f.astype(object) for f in frames]) if frames else pd.DataFrame()
         return whole.reindex(columns=columns).astype(object).where(lambda x: x.notna(), None)
 
     def segments(block: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
-        frames, replied = [], dict(zip(reply["part"], reply["reply"], strict=True))
+        frames = []
         for number, payload in zip(block["block"], block["payload"], strict=True):
             kind, split, codes = of_block(payload)
-            anchors, starts, lengths, chosen = runs_of(codes, [len(s) for s in split], size, gram)
-            unique = np.unique(chosen)
-            states = _states(unique, replied, parts)[np.searchsorted(unique, anchors)] if len(unique) else np.zeros(0, np.uint8)
+            anchors, starts, lengths, _ = runs_of(codes, [len(s) for s in split], size, gram)
+            states = _states(anchors, reply)
             runs, bases = (anchors, starts, lengths), [(i, 0) for i in range(len(split))]
             frames.append(segment_rows(number, kind, split, bases, [x[states == 1] for x in runs]))
             if (states == 2).any():
@@ -272,9 +264,14 @@ def repeated_windows(
     found = stored.where("kind = 'segment'").select("block", "key", "digest", "segment", "copies", "places")
     grouped = found.select("key", "digest", "segment", "copies")
 
-    asks = stored.where("kind = 'ask'").select("part", "block", F.col("segment").alias("ask"))
+    asks = stored.where("kind = 'keys'").select("block", "segment", "places")
     if asks.limit(1).count():
 
+        def spread(frames):
+            for frame in frames:
+                for number, some, counts in zip(frame["block"], frame["segment"], frame["places"], strict=True):
+                    yield pd.DataFrame({"block": number, "key": np.frombuffer(some, np.int64), "n": np.frombuffer(counts, np.int64)})
+
         def hot_segments(stretch: pd.DataFrame, reply: pd.DataFrame) -> pd.DataFrame:
             if not len(stretch):
                 return pd.DataFrame()
@@ -285,14 +282,12 @@ def repeated_windows(
             ends = np.cumsum([len(s) for s in split]).tolist()
             at = np.concatenate([np.arange(e - len(s), e - size + 1) for s, e in zip(split, ends, strict=True)])
             hashes = window_hashes(codes, at, size)
-            unique = np.unique(hashes)
-            replied = dict(zip(reply["part"], reply["reply"], strict=True))
-            repeated = _states(unique, replied, parts)[np.searchsorted(unique, hashes)] > 0
+            repeated = _states(hashes, reply) > 0
             chosen = [hashes[repeated], at[repeated], np.ones(int(repeated.sum()), np.int64)]
             return written([segment_rows(stretch["block"].iloc[0], kind, split, bases, chosen)])
 
         stretches = stored.where("kind = 'stretch'").select("block", "segment", "places")
-        more = materialise(joined(stretches, known(asks)).applyInPandas(hot_segments, schema), "hot-segments").select(found.columns)
+        more = materialise(joined(stretches, repeated_keys(asks.mapInPandas(spread, keys), hot)).applyInPandas(hot_segments, schema), "hot-segments").select(found.columns)
         counted = more.groupBy("key", "digest", "segment").agg(F.sum("copies").alias("copies"))
         grouped, found = grouped.unionByName(counted), found.unionByName(more)
 

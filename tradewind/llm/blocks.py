@@ -6,8 +6,11 @@ once. Block sizes do not depend on sources, ids or copies, so no block is hot; o
 that is longer than a block makes a larger one.
 
 ``lookup`` answers each block's keys from a table that all blocks make together. Keys are dealt into
-parts. The parts' tables grow by a tree of merges with a bounded fan-in, and a part's questions are
-answered in groups of as many blocks, so no task ever holds what all blocks ask.
+parts. The parts' tables grow by a tree of merges with a bounded fan-in. A part's questions are
+answered together, unless they are more than ``answer_bytes``: then they are dealt to so many tasks
+that each gets about that much, and only then the part's table is copied. A table is a merge of its
+part's questions, so all copies together grow with the bytes of the questions, not with blocks times
+tables.
 """
 
 import io
@@ -26,6 +29,7 @@ from tradewind.operators.storage import materialise
 BLOCK_BYTES = 8 << 20
 FAN_IN = 256
 PART_BYTES = 16 << 20  # of text for each part of a table
+ANSWER_BYTES = 64 << 20  # of questions that one task answers
 
 Merge = Callable[[list[bytes]], bytes]
 Answer = Callable[[bytes, list[bytes]], list[bytes]]
@@ -105,11 +109,17 @@ def tables(asks: DataFrame, merge: Merge, fan_in: int = FAN_IN) -> DataFrame:
             return level.drop("slot")
 
 
-def lookup(asks: DataFrame, found: DataFrame, answer: Answer, fan_in: int = FAN_IN) -> DataFrame:
+def slots_of(asks: DataFrame, answer_bytes: int = ANSWER_BYTES) -> DataFrame:
+    """part and slots: the number of tasks that answer its questions, a row per part."""
+    needed = F.ceil(F.sum(F.octet_length("ask")) / answer_bytes)
+    return asks.groupBy("part").agg(F.greatest(needed, F.lit(1)).cast("long").alias("slots"))
+
+
+def lookup(asks: DataFrame, found: DataFrame, answer: Answer, answer_bytes: int = ANSWER_BYTES) -> DataFrame:
     """block, part and reply of each ask (part, block, ask), from the ``tables`` of the parts."""
-    groups = max(1, -(-asks.select("block").distinct().count() // fan_in))
-    salted = asks.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    copies = found.select("part", "table", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("slot"))
+    slots = materialise(slots_of(asks, answer_bytes), "slots")
+    salted = asks.join(slots, "part").withColumn("slot", F.pmod(F.xxhash64("block"), F.col("slots")))
+    copies = found.join(slots, "part").select("part", "table", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"))
 
     def answered(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         replies = answer(table["table"].iloc[0], list(asked["ask"])) if len(asked) else []
