@@ -91,6 +91,19 @@ def test_nearest_directory_wins(spark):
     assert licenses.scan_licenses(docs.where(F.lit(False))).count() == 0
 
 
+def test_each_text_is_scanned_once(spark, tmp_path):
+    """Files with licences of their own, copies, and NULLs; the result does not scan again."""
+    mit = licenses.TEMPLATES["MIT"][0]
+    rows = [(f"d{i % 3}/f{i}", mit if i % 4 == 0 else f"own text {i % 5}") for i in range(40)] + [(None, None), ("d0/x", None)]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+    got = found.collect()
+    assert len(got) == len(rows)
+    assert sum(r["license"] == "MIT" and r["inherited_from"] is None for r in got) == 10
+    assert [r["license"] for r in got if r["path"] is None] == [None]
+
+
 def test_ties_and_own_templates(spark):
     docs = spark.createDataFrame([("d/one", "beta rule\nalpha rule"), ("d/two", "gamma")], "path string, text string")
     found = licenses.scan_licenses(docs, templates={"b": ["beta rule"], "a": ["alpha rule"]})

@@ -125,6 +125,23 @@ def test_decontamination_of_odd_documents(spark):
     same(found, views(docs, benchmark=benchmark), ORACLE["op9_decontaminate"])
 
 
+def test_decontamination_reads_documents_twice_for_items_of_all_lengths(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = cases.documents(spark)
+    body = cases.collected(docs)[22][1].split("\n")[2].split()
+    items = [(n, " ".join(body[n : n + n])) for n in range(1, 11)] + [(20 + n, cases.text(rng, n)) for n in range(1, 11)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    passes, old = [], decontaminate._fingerprinted
+    monkeypatch.setattr(decontaminate, "_fingerprinted", lambda rows, sizes, *a: passes.append((rows, sizes)) or old(rows, sizes, *a))
+    marked = decontaminate.mark_contaminated(docs, benchmark)
+    read = [sizes for rows, sizes in passes if "_id" in rows.columns]
+    assert read == [list(range(1, 11))] * 2
+    found = marked.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+    same(found, views(docs, benchmark=benchmark), ORACLE["op9_decontaminate"])
+
+
 def test_decontamination_without_documents_or_items(spark):
     docs = cases.documents(spark)
     benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")

@@ -8,7 +8,8 @@ few documents and windows that may match; those are written out in full; and the
 the benchmark's windows, word by word. Overlapping hits are joined to spans.
 
 A document's fingerprints are deduplicated before they leave its row, a window's items are gathered
-into one row before the join, and no pair of a document and an item is built.
+into one row before the join, and no pair of a document and an item is built. Windows of all sizes
+are looked for together: the documents are read twice, whatever the lengths of the items.
 
 Defined results: only ASCII letters are lower-cased; words are runs of ASCII digits, lower-case
 letters and all characters beyond ASCII. NULL or wordless texts and items have no windows. Rows
@@ -39,17 +40,34 @@ def _grams(words: str, k: int) -> Column:
     )
 
 
-def _fingerprinted(rows: DataFrame, size: int, k: int) -> DataFrame:
-    """Adds _least: the fingerprint of each window of ``size`` words, by its first word."""
-    k = min(k, size)
-    span = size - k + 1
-    hashed = rows.withColumn("_grams", _grams("_words", k))
-    if span == 1:
-        return hashed.withColumnRenamed("_grams", "_least")
-    least = F.transform(
-        numbers(0, F.size("_words") - size), lambda i: F.least(*[F.get("_grams", i + j) for j in range(span)])
-    )
-    return hashed.withColumn("_least", least).drop("_grams")
+def _least(size: int, gram: int) -> Column:
+    if size == gram:
+        return F.col(f"_grams{gram}")
+    span = range(size - gram + 1)
+    return F.transform(numbers(0, F.size("_words") - size), lambda i: F.least(*[F.get(f"_grams{gram}", i + j) for j in span]))
+
+
+def _sized(size: int) -> Column:
+    return F.transform(f"_least{size}", lambda h: F.xxhash64(h, F.lit(size)))
+
+
+def _texts(size: int, found) -> Column:
+    """A struct for each window of ``size`` words, of its fingerprint, first word, end and text, by ``found``."""
+    return F.transform(f"_least{size}", lambda h, i: found(h, i, (i + size).alias("end"), _window_text(i, size).alias("words")))
+
+
+def _fingerprinted(rows: DataFrame, sizes: list[int], window: int, k: int) -> DataFrame:
+    """Adds _least{size} for each size: the fingerprint of each window of so many words, by its first word.
+
+    Windows below the full size have their size in the fingerprint, so that they meet their like only.
+    """
+    for gram in sorted({min(k, size) for size in sizes}):
+        rows = rows.withColumn(f"_grams{gram}", _grams("_words", gram))
+    for size in sizes:
+        rows = rows.withColumn(f"_least{size}", _least(size, min(k, size)))
+        if size < window:
+            rows = rows.withColumn(f"_least{size}", _sized(size))
+    return rows.drop(*[f"_grams{min(k, size)}" for size in sizes])
 
 
 def _window_text(start: Column, size: int) -> Column:
@@ -58,21 +76,15 @@ def _window_text(start: Column, size: int) -> Column:
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """size, fingerprint, words and items (ids as strings) of each different window."""
-    shorter = {}
     listed = items.where(F.size("_words") > 0).withColumn("_size", F.least(F.size("_words"), F.lit(window)))
-    for size in range(1, window + 1):
-        rows = _fingerprinted(listed.where(F.col("_size") == size), size, k)
-        starts = F.explode(F.transform("_least", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        shorter[size] = rows.withColumn("_at", starts).select(
-            F.lit(size).alias("size"),
-            F.col("_at.h").alias("fingerprint"),
-            _window_text(F.col("_at.i"), size).alias("words"),
-            "item_id",
-        )
-    union = shorter[window]
-    for size in range(1, window):
-        union = union.unionByName(shorter[size])
-    return union.groupBy("size", "fingerprint", "words").agg(F.collect_set("item_id").alias("items"))
+    sizes = list(range(1, window + 1))
+    rows = _fingerprinted(listed, sizes, window, k)
+    at = F.lit(None)
+    for size in sizes:
+        found = _texts(size, lambda h, i, end, words: F.struct(h.alias("fingerprint"), words))
+        at = F.when(F.col("_size") == size, found).otherwise(at)
+    each = rows.select("item_id", F.col("_size").alias("size"), F.explode(at).alias("w")).select("size", "w.*", "item_id")
+    return each.groupBy("size", "fingerprint", "words").agg(F.collect_set("item_id").alias("items"))
 
 
 def find_leaks(
@@ -91,33 +103,34 @@ def find_leaks(
         F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), item_words(F.col(item_text)).alias("_words")
     )
     windows = materialise(benchmark_windows(items, window, k), "benchmark-windows")
-    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most ``window`` rows
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most ``window`` rows
     listed = docs.select(F.col(id).alias("_id"), F.xxhash64(F.col(text)).alias("_key"), item_words(F.col(text)).alias("_words"))
-    hits = None
-    for size in sorted(sizes, reverse=True):
-        these = windows.where(F.col("size") == size)
-        marks = materialise(these.select("fingerprint").distinct(), "benchmark-fingerprints")
-        rows = _fingerprinted(listed, size, k)
+    if sizes:
+        marks = materialise(windows.select("fingerprint").distinct(), "benchmark-fingerprints")
+        every = F.concat(*[F.col(f"_least{size}") for size in sizes])
         suspects = (
-            rows.select("_id", "_key", F.explode(F.array_distinct("_least")).alias("fingerprint"))
+            _fingerprinted(listed, sizes, window, k)
+            .select("_id", "_key", F.explode(F.array_distinct(every)).alias("fingerprint"))
             .join(marks, "fingerprint", "left_semi")
             .groupBy("_id", "_key")
             .agg(F.collect_set("fingerprint").alias("_marks"))
         )
         suspects = materialise(suspects.withColumnsRenamed({"_id": "_sid", "_key": "_skey"}), "suspects")
         same = listed["_id"].eqNullSafe(suspects["_sid"]) & (listed["_key"] == suspects["_skey"])
-        narrowed = _fingerprinted(listed.join(suspects, same), size, k)
-        places = F.filter(
-            F.transform("_least", lambda h, i: F.when(F.array_contains("_marks", h), i)), lambda i: i.isNotNull()
-        )
-        found = (
-            narrowed.select("_id", "_key", F.explode(F.transform(places, lambda i: F.struct(i.alias("start"), _window_text(i, size).alias("words")))).alias("w"))
-            .select("_id", "_key", "w.start", "w.words")
-            .join(these.select("words", "items"), "words")
-            .select("_id", "_key", "start", (F.col("start") + size).alias("end"), "items")
+        narrowed = _fingerprinted(listed.join(suspects, same), sizes, window, k)
+
+        def place(h, i, end, words):
+            return F.when(F.array_contains("_marks", h), F.struct(i.alias("start"), end, words))
+
+        places = [F.filter(_texts(size, place), lambda w: w.isNotNull()) for size in sizes]
+        # a text of words tells its size, so windows of all sizes meet in one join
+        hits = (
+            narrowed.select("_id", "_key", F.explode(F.concat(*places)).alias("w"))
+            .select("_id", "_key", "w.start", "w.end", "w.words")
+            .join(windows.select("words", "items"), "words")
+            .select("_id", "_key", "start", "end", "items")
         )
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
+    else:
         hits = listed.where(F.lit(False)).select(
             "_id", "_key", F.lit(0).alias("start"), F.lit(0).alias("end"), F.array(F.lit("")).alias("items")
         )

@@ -267,16 +267,23 @@ def scan_licenses(
     held = {r["word"]: r["n"] for r in counted.collect()}  # at most the templates' words
     shared = spark.sparkContext.broadcast(Matcher(templates, held.pop("", 0), held, threshold))
 
-    @F.pandas_udf("license string, cosine double, found boolean, share double")
-    def scanned(batch: pd.Series) -> pd.DataFrame:
-        rows = [shared.value.scan(t) for t in batch]
-        return pd.DataFrame(rows, columns=["license", "cosine", "found", "share"])
+    def scanned(frames):
+        for frame in frames:
+            rows = [(key, *shared.value.scan(t)) for key, t in zip(frame["key"], frame["text"], strict=True)]
+            found = [(key, license, cosine, share) for key, license, cosine, holds, share in rows if holds]
+            yield pd.DataFrame(found, columns=["key", "license", "cosine", "share"])
 
     parents = F.regexp_extract(field(path), "^(.*)/[^/]*$", 1)
     directory = F.when(field(path).isNull(), F.lit(None)).otherwise(parents)
-    rows = packed(files).withColumn("_scan", scanned(field(text))).withColumn("_dir", directory)
+    # every text is scanned once; only those with a licence are written, once for equal texts
+    keyed = files.select(F.md5(F.col(text)).alias("key"), F.col(text).alias("text"))
+    every = keyed.mapInPandas(scanned, "key string, license string, cosine double, share double")
+    found = every.groupBy(F.col("key").alias("_text")).agg(F.first(F.struct("license", "cosine", "share")).alias("_scan"))
+    found = materialise(found, "licences")
+    rows = packed(files).withColumns({"_key": F.md5(field(text)), "_dir": directory})
+    rows = rows.join(found, F.col("_key") == F.col("_text"), "left")
     slim = rows.select("_scan", "_dir")
-    slim = materialise(slim.groupBy("_dir", "_scan.license", "_scan.cosine", (F.col("_scan.share") >= file_share).alias("file")).count(), "licences")
+    slim = materialise(slim.groupBy("_dir", "_scan.license", "_scan.cosine", (F.col("_scan.share") >= file_share).alias("file")).count(), "directories-with-licences")
     speaks = (
         slim.where(F.col("file") & F.col("license").isNotNull() & F.col("_dir").isNotNull())
         .groupBy("_dir")
@@ -300,7 +307,7 @@ def scan_licenses(
     outputs = {
         "license": F.coalesce(own, "given"),
         "cosine": F.col("_scan.cosine"),
-        "is_license_file": F.col("_scan.found") & (F.col("_scan.share") >= file_share),
+        "is_license_file": F.coalesce(F.col("_scan.share") >= file_share, F.lit(False)),
         "inherited_from": F.when(own.isNull(), F.col("above")),
     }
     return unpacked(joined, files.columns, outputs)
