@@ -41,6 +41,12 @@ STRETCH = 1 << 20  # windows whose anchors are computed at once
 Index = Callable[[list[bytes], np.ndarray, int], list[np.ndarray]]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
 class Bytes:
     """Units of one byte."""
 
@@ -49,8 +55,8 @@ class Bytes:
     def split(self, text: bytes):
         return text
 
-    def hashed(self, units: bytes) -> np.ndarray:
-        return self.codes[np.frombuffer(units, np.uint8)]
+    def hashed(self, texts: list[bytes]) -> np.ndarray:
+        return self.codes[np.frombuffer(b"".join(texts), np.uint8)]
 
     def joined(self, units: bytes) -> bytes:
         return units
@@ -59,30 +65,35 @@ class Bytes:
 class Words:
     """Units between white space (space and \\x09-\\x0D), unchanged."""
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+    factor = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
 
     def split(self, text: bytes):
         return text.split()
 
-    def hashed(self, units: list[bytes]) -> np.ndarray:
-        if len(self.known) > 500_000:
-            self.known.clear()
-        known = self.known
-        for word in set(units).difference(known):
-            known[word] = xxhash.xxh64_intdigest(word)
-        return np.fromiter(map(known.__getitem__, units), np.uint64, len(units))
+    def hashed(self, texts: list[list[bytes]]) -> np.ndarray:
+        """A word's hash is a polynomial of its bytes, taken from sums that run over a stretch of text.
+
+        Words of one hash share a shard and no more: the index compares the words themselves.
+        """
+        line = np.frombuffer(b" ".join([w for words in texts for w in words]), np.uint8)
+        if not len(line):
+            return np.zeros(0, np.uint64)
+        gaps = np.flatnonzero(line == 32)
+        starts, ends = np.append(0, gaps + 1), np.append(gaps, len(line))
+        result = np.zeros(len(starts), np.uint64)
+        cuts = np.append(np.flatnonzero(np.diff(starts // STRETCH, prepend=-1)), len(starts))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            base, n = starts[i], int(ends[j - 1] - starts[i])
+            powers = np.cumprod(np.full(n, self.factor, np.uint64))
+            sums = np.append(np.uint64(0), np.cumsum(Bytes.codes[line[base : base + n]] * powers, dtype=np.uint64))
+            inverse = np.cumprod(np.full(n, pow(self.factor, -1, 1 << 64), np.uint64))
+            result[i:j] = (sums[ends[i:j] - base] - sums[starts[i:j] - base]) * inverse[starts[i:j] - base]
+        return _mixed(result)
 
     def joined(self, units: list[bytes]) -> bytes:
         return b" ".join(units)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
 def gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
     """A hash of each ``gram`` units in a row, built by doubling."""
     n = len(codes) - gram + 1
@@ -182,8 +193,7 @@ def repeated_windows(
     def of_block(payload: bytes):
         kind = units()
         split = [kind.split(t) for t in unpack(payload)[1]]
-        hashed = [kind.hashed(s) for s in split]
-        return kind, split, np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
+        return kind, split, kind.hashed(split)
 
     def asked(frames):
         for frame in frames:
@@ -277,7 +287,7 @@ def repeated_windows(
                 return pd.DataFrame()
             kind = units()
             split = [kind.split(t) for t in stretch["segment"]]
-            codes = np.concatenate([kind.hashed(s) for s in split])
+            codes = kind.hashed(split)
             bases = [tuple(load(p)[0][0].tolist()) for p in stretch["places"]]
             ends = np.cumsum([len(s) for s in split]).tolist()
             at = np.concatenate([np.arange(e - len(s), e - size + 1) for s, e in zip(split, ends, strict=True)])
