@@ -81,6 +81,10 @@ class FmIndex:
             transform = np.concatenate([transform[bits == 0], transform[bits == 1]])
         self.first = first
 
+    def of_symbol(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges of suffixes that begin with a symbol, where every search starts."""
+        return self.smaller[symbol], self.smaller[symbol + 1]
+
     def extended(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The end of a range of suffixes after a symbol is put in front."""
         at = place
@@ -112,8 +116,10 @@ def repeats(segments: list[bytes], copies: np.ndarray, size: int) -> list[np.nda
     low, high = np.zeros(len(job), np.int64), lengths[job] - size
     while len(job):
         place = high + size - 1
-        begin, end = np.zeros(len(job), np.int64), np.full(len(job), index.size, np.int64)
-        open_ = np.arange(len(job))
+        begin, end = index.of_symbol(text[starts[job] + place])
+        open_ = np.flatnonzero(index.weight(begin, end) >= 2)
+        place[open_] -= 1
+        open_ = open_[place[open_] >= low[open_]]
         while len(open_):
             symbol = text[starts[job[open_]] + place[open_]]
             both = index.extended(np.concatenate([symbol, symbol]), np.concatenate([begin[open_], end[open_]]))
