@@ -70,3 +70,22 @@ def test_rows_of_keys_are_one_per_block_and_key(spark, monkeypatch):
 def test_no_keys(spark):
     asks = spark.createDataFrame([], "block long, key long, n long")
     assert anchors.repeated_keys(asks, 10).count() == 0
+
+
+def test_squeezed_arrays_come_back():
+    rng = np.random.default_rng(5)
+    arrays = [rng.integers(0, 1 << 63, 300, np.uint64), np.zeros(0, np.int64), rng.normal(size=70), np.arange(-9, 9, dtype=np.int32)]
+    for some in (arrays, arrays[1:2], []):
+        back = blocks.unsqueeze(blocks.squeeze(*some))
+        assert [a.dtype for a in back] == [a.dtype for a in some]
+        assert all(np.array_equal(a, b) for a, b in zip(back, some, strict=True))
+    sorted_keys = np.sort(rng.integers(0, 1 << 40, 100_000))
+    assert len(blocks.squeeze(blocks.sorted_bytes(sorted_keys))) < 0.5 * sorted_keys.nbytes
+
+
+@pytest.mark.parametrize("parts", [7, 1 << 16, 1 << 17])
+def test_keys_are_dealt_to_their_parts(parts):
+    part = np.random.default_rng(6).integers(0, parts, 5000)
+    seen = {p: at for p, at in blocks.dealt(part, parts)}
+    assert sorted(np.concatenate(list(seen.values())).tolist()) == list(range(5000))
+    assert all((part[at] == p).all() and (np.diff(at) > 0).all() for p, at in seen.items())

@@ -15,6 +15,7 @@ tables.
 
 import io
 import pickle
+import struct
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -87,6 +88,7 @@ def parts_for(blocks: DataFrame, part_bytes: int = PART_BYTES) -> int:
 
 def dealt(part: np.ndarray, parts: int) -> Iterable[tuple[int, np.ndarray]]:
     """(part, places of its keys in order) of each part that has keys."""
+    part = part.astype(np.uint16) if parts <= 1 << 16 else part  # which numpy sorts by radix
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.unique(part).tolist():
@@ -151,3 +153,22 @@ def dump(*arrays: np.ndarray) -> bytes:
 
 def load(blob: bytes) -> tuple[np.ndarray, ...]:
     return pickle.loads(blob)
+
+
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers in few bytes: first all lowest bytes, then all next ones, compressed."""
+    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<cBI", a.dtype.kind.encode(), a.itemsize, len(a)) for a in arrays)
+    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return head + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes) -> tuple[np.ndarray, ...]:
+    kinds = [struct.unpack_from("<cBI", blob, 1 + 6 * i) for i in range(blob[0])]
+    sizes = [width * n for _, width, n in kinds]
+    planes = np.frombuffer(pa.decompress(blob[1 + 6 * len(kinds) :], sum(sizes), "zstd", asbytes=True), np.uint8)
+    arrays, at = [], 0
+    for (kind, width, n), size in zip(kinds, sizes, strict=True):
+        bytes_ = np.ascontiguousarray(planes[at : at + size].reshape(width, n).T)
+        arrays.append(bytes_.view(f"{kind.decode()}{width}").reshape(n))
+        at += size
+    return tuple(arrays)

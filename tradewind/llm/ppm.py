@@ -12,7 +12,8 @@ As every count of a longer context is also counted in the shorter one, what is e
 the symbols of the longer one, so the exclusion is a number per context and the whole model is a
 table of (context, symbol) counts. It is kept in parts by the last two bytes of the context, which
 hold the orders above one; the first two orders have at most 257 squared counts and go to every
-task. Blocks of documents ask for each (context, symbol) that they hold once, however often.
+task. Blocks of documents ask for each (context, symbol) that they hold once, however often, and a
+part computes the probability of each that it is asked for once, however many blocks ask.
 
 The base is a word model with the same training texts: words by counts, plus 0.1.
 
@@ -21,7 +22,8 @@ its end alone. Without training texts all symbols are equally likely. Each row c
 ones too; an empty table gives no rows. Words are compared by a 64-bit hash.
 """
 
-from collections import Counter
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 
 from tradewind.operators.storage import materialise
 
-from .blocks import dealt, dump, load, lookup, pack, parts_for, sorted_bytes, tables, unpack, with_replies
+from .blocks import dealt, lookup, pack, parts_for, sorted_bytes, squeeze, tables, unpack, unsqueeze, with_replies
 
-ORDER = 4
+ORDER = 6  # the longest context whose key, with its symbol, has 63 bits
+ANSWER_BYTES = 16 << 20  # of questions, squeezed to some two bytes a key
+CHUNK = 1 << 20  # keys whose probabilities are computed at once
 MARK = 256  # the start, in contexts, and the end, as a symbol
 SYMBOLS = 257
 _BITS = 9
@@ -127,43 +131,60 @@ def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((pair * 0x9E3779B1) >> 7) % parts
 
 
-def _word_keys(counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Hashes in ascending order, their counts and words."""
-    words = list(counts)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    order = np.argsort(hashes)
-    return hashes[order], np.array([counts[w] for w in words], np.int64)[order], [words[i] for i in order]
-
-
-def _block_keys(texts: list[bytes], train: list[bool], order: int):
-    """Symbol keys and word keys of a block, with counts in its training texts, and all texts' symbol keys."""
-    keys, starts = symbol_keys(texts, order)
-    counted = np.repeat(np.array(train, bool), [len(t) + 1 for t in texts])
-    unique, counts = np.unique(keys[counted], return_counts=True)
-    others = np.setdiff1d(keys[~counted], unique, assume_unique=False)
-    both = np.concatenate([unique, others])
-    place = np.argsort(both)
-    counts = np.concatenate([counts, np.zeros(len(others), np.int64)])[place]
-    words: Counter = Counter()
-    for text, learns in zip(texts, train, strict=True):
-        if learns:
-            words.update(text.split())
-    for text, learns in zip(texts, train, strict=True):
-        if not learns:
-            for w in text.split():
-                words.setdefault(w, 0)
-    return (both[place], counts), _word_keys(words), (keys, starts)
+def _hash_part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (hashes % np.uint64(parts)).astype(np.int64)
+
+
+class Symbols:
+    """The different (context, symbol) keys of a block, ascending, with counts in its training texts."""
+
+    def __init__(self, texts: list[bytes], train: np.ndarray, order: int):
+        keys, self.starts = symbol_keys(texts, order)
+        self.keys, self.place = np.unique(keys, return_inverse=True)
+        learnt = np.repeat(train, np.diff(np.append(self.starts, len(keys))))
+        self.counts = np.bincount(self.place[learnt], minlength=len(self.keys))
+
+
+class Words:
+    """The hashes of a block's different words, ascending, with counts in its training texts."""
+
+    def __init__(self, texts: list[bytes], train: np.ndarray):
+        sizes: list[int] = []
+        numbers: defaultdict = defaultdict(count().__next__)
+
+        def tokens():
+            for text in texts:
+                found = text.split()
+                sizes.append(len(found))
+                yield from found
+
+        codes = np.fromiter(map(numbers.__getitem__, tokens()), np.int64)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
+        self.hashes, number = np.unique(hashes, return_inverse=True)
+        self.place, self.sizes = number[codes], np.array(sizes, np.int64)
+        self.counts = np.bincount(self.place[np.repeat(train, self.sizes)], minlength=len(self.hashes))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """For each text the sum of its words' values."""
+        return np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes), values[self.place], len(self.sizes))
 
 
 def merge(asks: list[bytes]) -> bytes:
     """Counts of the same keys in sum; keys that no training text holds go."""
-    loaded = [load(a) for a in asks]
+    loaded = [unsqueeze(a) for a in asks]
     summed = []
     for i in (0, 2):
         keys = np.concatenate([np.cumsum(x[i], dtype=x[i].dtype) for x in loaded])
         unique, counts = _summed(keys, np.concatenate([x[i + 1] for x in loaded]))
         summed += [sorted_bytes(unique[counts > 0]), counts[counts > 0]]
-    return dump(*summed)
+    return squeeze(*summed)
+
+
+def _answers(found: list[Level], asked: list[np.ndarray]) -> list[np.ndarray]:
+    """The log10 probabilities of several ascending lists of keys, each different key's taken once."""
+    every = np.unique(np.concatenate(asked))
+    logs = np.concatenate([log_probability(every[i : i + CHUNK], found) for i in range(0, len(every), CHUNK)] or [np.zeros(0)])
+    return [logs[np.searchsorted(every, keys)] for keys in asked]
 
 
 def score_texts(
@@ -179,18 +200,19 @@ def score_texts(
     parts = parts_for(blocks)
 
     def prepared(ids, texts):
-        return [r["id"] for r in ids], [r["train"] for r in ids], [t.lower() for t in texts]
+        return [r["id"] for r in ids], np.array([r["train"] for r in ids], bool), [t.lower() for t in texts]
 
     def asked(frames):
         for frame in frames:
             for number, payload in zip(frame["block"], frame["payload"], strict=True):
                 _, learns, texts = prepared(*unpack(payload))
-                (keys, counts), (hashes, word_counts, _), _ = _block_keys(texts, learns, order)
-                by_part = {p: [keys[at], counts[at], hashes[:0], word_counts[:0]] for p, at in dealt(_part_of(keys, parts), parts)}
-                for p, at in dealt((hashes % np.uint64(parts)).astype(np.int64), parts):
+                symbols, words = Symbols(texts, learns, order), Words(texts, learns)
+                keys, counts, hashes, uses = symbols.keys, symbols.counts, words.hashes, words.counts
+                by_part = {p: [keys[at], counts[at], hashes[:0], uses[:0]] for p, at in dealt(_part_of(keys, parts), parts)}
+                for p, at in dealt(_hash_part(hashes, parts), parts):
                     row = by_part.setdefault(p, [keys[:0], counts[:0], None, None])
-                    row[2:] = hashes[at], word_counts[at]
-                asks = [dump(sorted_bytes(k), c.astype(np.int32), sorted_bytes(h), w.astype(np.int32)) for k, c, h, w in by_part.values()]
+                    row[2:] = hashes[at], uses[at]
+                asks = [squeeze(sorted_bytes(k), c, sorted_bytes(h), w) for k, c, h, w in by_part.values()]
                 yield pd.DataFrame({"part": list(by_part), "block": number, "ask": asks})
 
     asks = materialise(blocks.mapInPandas(asked, "part int, block long, ask binary"), "asks")
@@ -200,7 +222,7 @@ def score_texts(
         """Order 1 counts, and the sums that the base needs."""
         for frame in frames:
             for table in frame["table"]:
-                keys, counts, hashes, word_counts = load(table)
+                keys, counts, hashes, word_counts = unsqueeze(table)
                 low, n = _summed(_suffix(np.cumsum(keys), 1), counts)
                 yield pd.DataFrame({"key": np.append(low, [-1, -2]), "n": np.append(n, [word_counts.sum(), len(hashes)])})
 
@@ -213,44 +235,41 @@ def score_texts(
     shared = spark.sparkContext.broadcast((low_keys, np.array([sums[k] for k in low_keys.tolist()], np.int64)))
 
     def answer(table: bytes, asked: list[bytes]) -> list[bytes]:
-        keys, counts, hashes, word_counts = load(table)
+        keys, counts, hashes, word_counts = unsqueeze(table)
         hashes = np.cumsum(hashes, dtype=np.uint64)
         found = levels(np.cumsum(keys), counts, low_levels(*shared.value), order)
+        questions = [unsqueeze(a) for a in asked]
         replies = []
-        for ask in asked:
-            wanted, _, words, _ = load(ask)
+        for logs, (_, _, words, _) in zip(_answers(found, [np.cumsum(q[0]) for q in questions]), questions, strict=True):
             at, known = _find(hashes, np.cumsum(words, dtype=np.uint64))
             n = np.where(known, word_counts[at], 0) if len(hashes) else np.zeros(len(words), np.int64)
-            replies.append(dump(log_probability(np.cumsum(wanted), found), n))
+            values, place = np.unique(logs, return_inverse=True)  # counts are small numbers, so logarithms repeat
+            replies.append(squeeze(values, place.astype(np.int32), n))
         return replies
 
     def scored(ids, texts, replies):
         ids, learns, texts = prepared(ids, texts)
-        (unique, _), (hashes, _, words), (keys, starts) = _block_keys(texts, learns, order)
-        logs, counts = np.zeros(len(unique)), np.zeros(len(hashes), np.int64)
-        loaded = {p: load(r) for p, r in replies.items()}
-        for p, at in dealt(_part_of(unique, parts), parts):
-            logs[at] = loaded[p][0]
-        for p, at in dealt((hashes % np.uint64(parts)).astype(np.int64), parts):
-            counts[at] = loaded[p][1]
+        symbols, words = Symbols(texts, learns, order), Words(texts, learns)
+        logs, counts = np.zeros(len(symbols.keys)), np.zeros(len(words.hashes), np.int64)
+        loaded = {p: unsqueeze(r) for p, r in replies.items()}
+        for p, at in dealt(_part_of(symbols.keys, parts), parts):
+            logs[at] = loaded[p][0][loaded[p][1]]
+        for p, at in dealt(_hash_part(words.hashes, parts), parts):
+            counts[at] = loaded[p][2]
         whole = total + 0.1 * (kinds + 1)
-        base = dict(zip(words, np.log10((counts + 0.1) / whole).tolist(), strict=True))
-        known = {w for w, c in zip(words, counts.tolist(), strict=True) if c}
-        end = float(np.log10((trained + 0.1) / whole))
-        score = np.add.reduceat(logs[np.searchsorted(unique, keys)], starts) if len(texts) else np.zeros(0)
-        tokens = [t.split() for t in texts]
+        end = np.log10((trained + 0.1) / whole)
         return pd.DataFrame(
             {
                 "id": ids,
-                "n_tokens": [len(t) + 1 for t in tokens],
-                "n_known": [sum(map(known.__contains__, t)) + (trained > 0) for t in tokens],
+                "n_tokens": words.sizes + 1,
+                "n_known": words.sums(counts > 0).astype(np.int64) + (trained > 0),
                 "train_tokens": total,
-                "base_score": [sum(map(base.__getitem__, t)) + end for t in tokens],
-                "score": score,
+                "base_score": words.sums(np.log10((counts + 0.1) / whole)) + end,
+                "score": np.add.reduceat(logs[symbols.place], symbols.starts) if len(texts) else np.zeros(0),
             }
         )
 
     kind = docs.schema[id].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    replies = lookup(asks, model, answer)
+    replies = lookup(asks, model, answer, ANSWER_BYTES)
     return with_replies(blocks, replies, scored, schema).withColumnRenamed("id", id)
