@@ -35,7 +35,7 @@ from tradewind.operators.storage import materialise
 
 from .blocks import dealt, lookup, pack, parts_for, sorted_bytes, squeeze, tables, unpack, unsqueeze, with_replies
 
-ORDER = 6  # the longest context whose key, with its symbol, has 63 bits
+ORDER = 5  # at most 6: a key, with its symbol, then has 63 bits
 ANSWER_BYTES = 16 << 20  # of questions, squeezed to some two bytes a key
 CHUNK = 1 << 20  # keys whose probabilities are computed at once
 MARK = 256  # the start, in contexts, and the end, as a symbol
