@@ -113,15 +113,17 @@ def log_probability(keys: np.ndarray, found: list[Level]) -> np.ndarray:
 def symbol_keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """The (context, symbol) keys of all texts one after another, and where each text begins."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    line = np.full(int((sizes + order).sum()), MARK, np.int64)
+    line = np.full(int((sizes + order).sum()), MARK, np.uint16)
     ends = np.cumsum(sizes + order)
     own = np.ones(len(line), bool)
     for end, size, text in zip(ends.tolist(), sizes.tolist(), texts, strict=True):
         line[end - size : end - 1] = np.frombuffer(text, np.uint8)
         own[end - size - order : end - size] = False
-    keys = np.zeros(max(len(line) - order, 0), np.int64)
-    for k in range(order + 1):
-        keys = (keys << _BITS) | line[k : len(line) - order + k]
+    n = max(len(line) - order, 0)
+    keys = line[:n].astype(np.int64)
+    for k in range(1, order + 1):
+        keys <<= _BITS
+        keys |= line[k : k + n]
     return keys[own[order:]], np.cumsum(sizes) - sizes
 
 
@@ -140,9 +142,16 @@ class Symbols:
 
     def __init__(self, texts: list[bytes], train: np.ndarray, order: int):
         keys, self.starts = symbol_keys(texts, order)
-        self.keys, self.place = np.unique(keys, return_inverse=True)
         learnt = np.repeat(train, np.diff(np.append(self.starts, len(keys))))
-        self.counts = np.bincount(self.place[learnt], minlength=len(self.keys))
+        self.codes, unique = pd.factorize(keys)  # by a hash table, which takes half the memory of sorting
+        ascending = np.argsort(unique)
+        self.keys, self.rank = unique[ascending], np.empty_like(ascending)
+        self.rank[ascending] = np.arange(len(unique))
+        self.counts = np.bincount(self.codes[learnt], minlength=len(unique))[ascending]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """For each text the sum of its symbols' values."""
+        return np.add.reduceat(values[self.rank][self.codes], self.starts) if len(self.starts) else np.zeros(0)
 
 
 class Words:
@@ -202,12 +211,17 @@ def score_texts(
     def prepared(ids, texts):
         return [r["id"] for r in ids], np.array([r["train"] for r in ids], bool), [t.lower() for t in texts]
 
+    def counted_keys(texts, learns):
+        symbols = Symbols(texts, learns, order)
+        return symbols.keys, symbols.counts
+
     def asked(frames):
         for frame in frames:
             for number, payload in zip(frame["block"], frame["payload"], strict=True):
                 _, learns, texts = prepared(*unpack(payload))
-                symbols, words = Symbols(texts, learns, order), Words(texts, learns)
-                keys, counts, hashes, uses = symbols.keys, symbols.counts, words.hashes, words.counts
+                keys, counts = counted_keys(texts, learns)
+                words = Words(texts, learns)
+                hashes, uses = words.hashes, words.counts
                 by_part = {p: [keys[at], counts[at], hashes[:0], uses[:0]] for p, at in dealt(_part_of(keys, parts), parts)}
                 for p, at in dealt(_hash_part(hashes, parts), parts):
                     row = by_part.setdefault(p, [keys[:0], counts[:0], None, None])
@@ -249,13 +263,17 @@ def score_texts(
 
     def scored(ids, texts, replies):
         ids, learns, texts = prepared(ids, texts)
-        symbols, words = Symbols(texts, learns, order), Words(texts, learns)
-        logs, counts = np.zeros(len(symbols.keys)), np.zeros(len(words.hashes), np.int64)
-        loaded = {p: unsqueeze(r) for p, r in replies.items()}
+        symbols = Symbols(texts, learns, order)
+        logs = np.zeros(len(symbols.keys))
         for p, at in dealt(_part_of(symbols.keys, parts), parts):
-            logs[at] = loaded[p][0][loaded[p][1]]
+            values, place, _ = unsqueeze(replies[p])
+            logs[at] = values[place]
+        score = symbols.sums(logs)
+        del symbols, logs
+        words = Words(texts, learns)
+        counts = np.zeros(len(words.hashes), np.int64)
         for p, at in dealt(_hash_part(words.hashes, parts), parts):
-            counts[at] = loaded[p][2]
+            counts[at] = unsqueeze(replies[p])[2]
         whole = total + 0.1 * (kinds + 1)
         end = np.log10((trained + 0.1) / whole)
         return pd.DataFrame(
@@ -265,7 +283,7 @@ def score_texts(
                 "n_known": words.sums(counts > 0).astype(np.int64) + (trained > 0),
                 "train_tokens": total,
                 "base_score": words.sums(np.log10((counts + 0.1) / whole)) + end,
-                "score": np.add.reduceat(logs[symbols.place], symbols.starts) if len(texts) else np.zeros(0),
+                "score": score,
             }
         )
 
