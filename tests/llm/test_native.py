@@ -1,4 +1,4 @@
-"""Quality rules, line dedup and decontamination, against SQL and hand-made cases."""
+"""Native operators and the others that SQL can express, against SQL and hand-made cases."""
 
 import random
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import canonical, connect
 from tests.llm import cases
-from tradewind.llm import decontaminate, line_dedup, quality
+from tradewind.llm import decontaminate, fm_index, line_dedup, quality, suffix_levels
 from tradewind.llm.oracle import ORACLE
 from tradewind.llm.queries import QUERIES
 
@@ -31,6 +31,17 @@ def test_queries_equal_sql(spark, name):
     same(QUERIES[name](spark, cases.SF), connect(cases.SF), ORACLE[name])
 
 
+@pytest.mark.parametrize("name, operator", [("op3_fm_index", fm_index.remove_repeats), ("op8_suffix_levels", suffix_levels.remove_repeats)])
+def test_repeats_of_odd_documents_equal_sql(spark, name, operator):
+    passage = " ".join(f"w{i}é" for i in range(60))
+    texts = [passage, f"a {passage}\nb {passage}", None, "", " \t", passage[:210], "x " * 300, passage, "tail " + passage[-215:]]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = operator(docs)
+    spans = [F.size("starts").cast("long").alias("n_spans")] if name == "op8_suffix_levels" else []
+    assert found.agg(F.sum("n_removed")).first()[0] > 0
+    same(found.select("doc_id", found.columns[1], "n_removed", *spans, F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")), views(docs), ORACLE[name])
+
+
 def test_quality_of_odd_documents(spark):
     docs = cases.documents(spark)
     found = quality.apply_rules(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept")

@@ -53,6 +53,33 @@ def _line_dedup(min_sites: int = 10) -> str:
     UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL"""
 
 
+def _repeated_words(size: int = 35) -> str:
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+    g AS (SELECT r, i, array_to_string(w[i:i + {size - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {size - 2})) AS i FROM d)),
+    s AS (SELECT r, i AS p, i AS start FROM g JOIN (SELECT g FROM g GROUP BY g HAVING count(*) > 1) USING (g)),
+    u AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+    c AS (SELECT r, p, word, coalesce(p - max(start) OVER (PARTITION BY r ORDER BY p) < {size}, false) AS gone FROM u LEFT JOIN s USING (r, p)),
+    n AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM c GROUP BY r)
+    SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN n USING (r)"""
+
+
+def _repeated_bytes(size: int = 200) -> str:
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    u AS (SELECT r, b, unnest(range(1, octet_length(b) + 1)) AS p FROM d),
+    h AS MATERIALIZED (SELECT r, p, hash(b[p:p + {size - 1}]) AS h FROM u WHERE p + {size - 1} <= octet_length(b)),
+    g AS (SELECT r, p, b[p:p + {size - 1}] AS g FROM h JOIN d USING (r) WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+    s AS (SELECT r, p, p AS start FROM g JOIN (SELECT g FROM g GROUP BY g HAVING count(*) > 1) USING (g)),
+    c AS (SELECT r, p, hex(b[p:p]) AS byte, coalesce(p - max(start) OVER (PARTITION BY r ORDER BY p) < {size}, false) AS gone FROM u LEFT JOIN s USING (r, p)),
+    e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS opens FROM c),
+    n AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS kept FROM e GROUP BY r)
+    SELECT doc_id, octet_length(b)::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans,
+      sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+    FROM d LEFT JOIN n USING (r)"""
+
+
 DECONTAMINATE = r"""
     WITH up AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
     dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, up),
@@ -81,7 +108,9 @@ TOP_K = """
 
 ORACLE = {
     "op2_line_dedup": _line_dedup(),
+    "op3_fm_index": _repeated_words(),
     "op6_quality_rules": _quality(),
+    "op8_suffix_levels": _repeated_bytes(),
     "op9_decontaminate": DECONTAMINATE,
     "op12_top_k": TOP_K,
 }
