@@ -51,20 +51,28 @@ def suffix_level(segments: list[bytes], first: int, size: int) -> tuple[Level, n
     counts = np.maximum(lengths - size + 1, 0)
     begins = np.cumsum(lengths) - lengths
     places = np.arange(counts.sum()) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
-    order = np.argsort(words[places], kind="stable")
-    group = np.append(0, np.cumsum(words[places][order][1:] != words[places][order][:-1]))[: len(order)]
+    value = words[places]
+    order = np.argsort(value)
+    value = value[order]
+    group = np.append(0, np.cumsum(value[1:] != value[:-1]))[: len(order)]
+    rows = np.arange(len(order))
     for offset in _offsets(size)[1:]:
-        alone = np.append(True, group[1:] != group[:-1])[: len(group)]
-        alone &= np.append(group[1:] != group[:-1], True)[: len(group)]
-        rows = np.nonzero(~alone)[0]
+        # of the windows that still have equals, those of a group that differ here are sorted and parted
+        new = np.append(True, group[rows][1:] != group[rows][:-1])[: len(rows)]
+        rows = rows[~(new & np.append(new[1:], True)[: len(rows)])]
         if not len(rows):
             break
-        value = words[places[order[rows]] + offset]
-        sorted_ = np.lexsort((value, group[rows]))
-        order[rows], value = order[rows[sorted_]], value[sorted_]
-        # a new group begins where the word changes inside an old one
+        value, own = words[places[order[rows]] + offset], group[rows]
+        differs = np.append((own[1:] == own[:-1]) & (value[1:] != value[:-1]), False)
+        begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        mixed = np.repeat(np.logical_or.reduceat(differs, begins), np.diff(np.append(begins, len(rows))))
+        if not mixed.any():
+            continue
+        some, value, own = rows[mixed], value[mixed], own[mixed]
+        sorted_ = np.lexsort((value, own))
+        order[some], value = order[some[sorted_]], value[sorted_]
         fresh = np.zeros(len(order), np.int64)
-        fresh[rows[1:]] = (group[rows[1:]] == group[rows[:-1]]) & (value[1:] != value[:-1])
+        fresh[some[1:]] = (own[1:] == own[:-1]) & (value[1:] != value[:-1])
         group = group + np.cumsum(fresh)
     same = group[1:] == group[:-1] if len(group) else np.zeros(0, bool)
     twice = np.append(same, False)[: len(order)] | np.append(False, same)[: len(order)]
@@ -81,6 +89,12 @@ def scan(level: Level, batch: Level, size: int) -> tuple[np.ndarray, np.ndarray]
         if not len(rows):
             break
         value = batch.word(rows, offset)
+        # a range of one word, and a value outside of the range, need no search
+        least, most = level.word(low[rows], offset), level.word(high[rows] - 1, offset)
+        above, below = value > most, value < least
+        low[rows[above]], high[rows[below]] = high[rows[above]], low[rows[below]]
+        left = ~above & ~below & (least != most)
+        rows, value = rows[left], value[left]
         bounds = []
         for after in (False, True):
             a, b = low[rows], high[rows]
