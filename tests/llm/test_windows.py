@@ -50,6 +50,18 @@ def test_levels_merge_geometrically(monkeypatch):
     assert made == [0, 0, 1, 0, 0, 1, 2]
 
 
+def test_fm_index_leaps_over_windows_that_stand_once(monkeypatch):
+    """Each segment repeats a phrase, but no window: about as many words are searched as there are windows."""
+    searched = []
+    extended = fm_index.FmIndex.extended
+    monkeypatch.setattr(fm_index.FmIndex, "extended", lambda self, symbol, place: searched.append(len(place)) or extended(self, symbol, place))
+    phrase = [f"p{i}" for i in range(30)]
+    texts = [[*(f"a{d}-{i}" for i in range(60)), *phrase, *(f"b{d}-{i}" for i in range(60))] for d in range(20)]
+    found = fm_index.repeats([" ".join(t).encode() for t in texts], np.ones(20, int), 35)
+    assert not np.concatenate(found).any()
+    assert sum(searched) < 2 * sum(len(f) for f in found)
+
+
 def test_fm_index_finds_pattern_ranges():
     text = np.array([1, 2, 1, 2, 1, 0, 2, 1, 3, 0])
     index = fm_index.FmIndex(text, np.ones(len(text), int))

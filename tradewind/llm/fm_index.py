@@ -6,8 +6,10 @@ the word numbers, packed, with running bit counts. Backward search narrows the r
 that start with a pattern, word by word from its end. Segments are streamed through the index side
 by side: each is matched backwards from its end as far as the text repeats, which gives the
 matching statistics that matter here, the longest repeat that ends at a place. Repeats that reach
-the threshold are reported as intervals, and the search goes on left of where it broke off. The
-range of suffixes is weighed by the copies of their segments.
+the threshold are reported as intervals, and the search goes on left of where it broke off. Where
+text stands once, the search leaps: words that several windows have in common are matched first,
+and if they stand once, so do all of these windows. The range of suffixes is weighed by the copies
+of their segments.
 
 Defined results: NULL text has no words; windows never cross documents; equal windows of the same
 document count as repeats too; repeated rows are documents of their own; an empty table gives no
@@ -25,19 +27,36 @@ GRAM = 12
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, by doubling; ``symbols`` are ranks of single symbols."""
-    rank, span = np.unique(symbols, return_inverse=True)[1].astype(np.int64), 1
+    """Order of all suffixes, by doubling; ``symbols`` are ranks of single symbols.
+
+    The first sort sees two symbols at once. After each, only suffixes that still have equals are sorted
+    on, by what follows, inside their group: a suffix's rank is the first row of its group.
+    """
+    n = len(symbols)
+    later = np.append(symbols[1:].astype(np.int64) + 1, 0)[:n]
+    key = symbols.astype(np.int64) * (int(symbols.max(initial=0)) + 2) + later
+    order = np.argsort(key)
+    rank, rows, span = np.empty(n, np.int64), np.arange(n), 2
+    value = key[order]
     while True:
-        later = np.zeros(len(rank), np.int64)
-        later[:-span] = rank[span:] + 1
-        key = rank * (len(rank) + 1) + later
-        order = np.argsort(key)
-        fresh = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = fresh
-        span *= 2
-        if fresh[-1] == len(order) - 1 or span >= len(order):
+        # rows are those sorted last, value tells which of them are equal
+        new = np.append(True, value[1:] != value[:-1])[: len(rows)]
+        rank[order[rows]] = np.maximum.accumulate(np.where(new, rows, 0))
+        rows = rows[~(new & np.append(new[1:], True)[: len(rows)])]
+        if not len(rows):
             return order
+        suffixes = order[rows]
+        ahead = suffixes + span
+        inside = ahead < n
+        later = np.zeros(len(rows), np.int64)
+        later[inside] = rank[ahead[inside]] + 1
+        value = rank[suffixes] * (n + 1) + later
+        sorted_ = np.argsort(value)
+        order[rows], value = suffixes[sorted_], value[sorted_]
+        span *= 2
+
+
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)  # the bits under each place of a word
 
 
 class BitVector:
@@ -50,8 +69,7 @@ class BitVector:
     def ones(self, stop: np.ndarray) -> np.ndarray:
         """Ones before each place."""
         word = stop >> 6
-        mask = (np.uint64(1) << (stop & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & mask)
+        return self.before.take(word) + np.bitwise_count(self.words.take(word) & _BELOW.take(stop & 63))
 
 
 class FmIndex:
@@ -99,27 +117,28 @@ class FmIndex:
 
 def repeats(segments: list[bytes], copies: np.ndarray, size: int) -> list[np.ndarray]:
     """For each segment (words joined by a space), which of its windows of ``size`` words stand twice or more."""
-    split = [s.split(b" ") for s in segments]
-    numbers: dict[bytes, int] = {}
-    text = np.zeros(sum(map(len, split)) + len(split), np.int64)
-    starts, at = np.zeros(len(split), np.int64), 0
-    for i, words in enumerate(split):
-        starts[i] = at
-        text[at : at + len(words)] = [numbers.setdefault(w, len(numbers) + 1) for w in words]
-        at += len(words) + 1
-    lengths = np.array([len(w) for w in split], np.int64)
+    lengths = np.array([s.count(b" ") + 1 for s in segments], np.int64)
+    words = b" ".join(segments).split(b" ")
+    numbers = dict(zip(dict.fromkeys(words), range(1, len(words) + 1)))
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    text = np.zeros(len(words) + len(segments), np.int64)
+    text[np.arange(len(words)) + np.repeat(np.arange(len(segments)), lengths)] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
     index = FmIndex(text, np.repeat(copies, lengths + 1))
     found = [np.zeros(max(n - size + 1, 0), bool) for n in lengths.tolist()]
 
-    # each job searches windows low … high of a segment, backwards from the end of window high
+    # Each job searches windows low … high of a segment, backwards. A leap is a number of windows, high the
+    # last of them, whose common words are searched: if these stand once, so do all of the windows.
     job = np.nonzero(lengths >= size)[0]
     low, high = np.zeros(len(job), np.int64), lengths[job] - size
+    widest = max(1, size * 2 // 3)
+    leap = np.ones(len(job), np.int64)
     while len(job):
-        place = high + size - 1
+        place = high + size - leap
+        least = np.where(leap > 1, high, low)
         begin, end = index.of_symbol(text[starts[job] + place])
         open_ = np.flatnonzero(index.weight(begin, end) >= 2)
         place[open_] -= 1
-        open_ = open_[place[open_] >= low[open_]]
+        open_ = open_[place[open_] >= least[open_]]
         while len(open_):
             symbol = text[starts[job[open_]] + place[open_]]
             both = index.extended(np.concatenate([symbol, symbol]), np.concatenate([begin[open_], end[open_]]))
@@ -128,14 +147,16 @@ def repeats(segments: list[bytes], copies: np.ndarray, size: int) -> list[np.nda
             open_ = open_[goes]
             begin[open_], end[open_] = new_begin[goes], new_end[goes]
             place[open_] -= 1
-            open_ = open_[place[open_] >= low[open_]]
-        # the text repeats from place + 1 to the end of window high
-        reported = np.nonzero(place < high)[0]
-        for i in reported.tolist():
+            open_ = open_[place[open_] >= least[open_]]
+        # the text repeats from place + 1 to the end of what was searched
+        repeated, whole = place < high, leap == 1
+        for i in np.nonzero(repeated & whole)[0].tolist():
             found[job[i]][max(place[i] + 1, low[i]) : high[i] + 1] = True
-        high = np.minimum(place, high - 1)
+        high = np.where(repeated, np.where(whole, place, high), high - leap)
+        # words that repeat are searched anew with all of their window; after a repeat's end leaps are wide, else they double
+        leap = np.where(repeated, np.where(whole, widest, 1), np.minimum(2 * leap, widest))
         left = high >= low
-        job, low, high = job[left], low[left], high[left]
+        job, low, high, leap = job[left], low[left], high[left], leap[left]
     return found
 
 
