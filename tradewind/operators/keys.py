@@ -25,10 +25,13 @@ def dense_keys(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     sizes = placed.groupBy(partition.alias("_partition")).agg(F.count("*").alias("_size"))
     # One row per range partition, so as many as spark.sql.shuffle.partitions says, in one small task.
     before = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialise(sizes.select("_partition", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")), "offsets")
-    key = F.col("_offset") + F.col("_place").bitwiseAND((1 << _ROW_BITS) - 1) + 1
-    numbered = placed.withColumn("_partition", partition).join(F.broadcast(offsets), "_partition")
-    return numbered.select(key.alias(name), *df.columns)
+    starts = sizes.select("_partition", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    # Stored as one array by partition number, NULL for empty ones, which is looked up without a join, and only where the key is wanted.
+    held = starts.agg(F.map_from_entries(F.collect_list(F.struct("_partition", "_offset"))).alias("_held"), F.max("_partition").alias("_last"))
+    by_number = F.transform(F.sequence(F.lit(0), "_last"), lambda p: F.element_at("_held", p))
+    offsets = materialise(held.select(by_number.alias("_offsets")), "offsets")
+    key = offsets.scalar()[partition] + F.col("_place").bitwiseAND((1 << _ROW_BITS) - 1) + 1
+    return placed.select(key.alias(name), *df.columns)
 
 
 def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str, nullable: list[str] = ()) -> DataFrame:

@@ -58,7 +58,7 @@ def resolve_with_audit(t: dict[str, DataFrame], months: Months | None = None) ->
     first = [FAILED, "event_time", "user_id", "product_sk"]
     # Rejected rows come last, so the others are numbered without gaps.
     numbered = dense_keys(events, nulls_last(*first, *[c for c in events.columns if c not in first]), "event_id")
-    # The numbering has written the events; its offsets, a row per range partition, are added as they are read.
+    # The numbering has written the events; its offsets, one per range partition, are looked up where ids are read.
     events = passed(numbered).withColumn("event_month", month_of("event_time", months))
 
     friends = t["friends"].select(F.col("friend1").alias("user_id_1"), F.col("friend2").alias("user_id_2"))
@@ -77,7 +77,7 @@ def resolve_with_audit(t: dict[str, DataFrame], months: Months | None = None) ->
     }
     report = [
         failures("messages", messages, [campaign, client]),
-        failures("events", numbered, event_parents),
+        failures("events", numbered, event_parents, "event_id"),
         failures("friendships", friends, friend_parents),
     ]
     return resolved, union_all(report)
